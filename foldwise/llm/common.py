@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,15 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder of the session and cut its lineage.
-
-    The folder is the session's `spark.checkpoint.dir`; a temporary one is made only where none is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
-    return df.checkpoint(eager=True)
+def words(text: Column) -> Column:
+    """The words of a text as an array; none for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
 def chunks(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
