@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foldwise.llm.common import chunks, table
 
 #: The byte-level pre-tokenizer's published pattern; \s without the four separators U+001C to U+001F, which it doesn't count as space. Fixed value.
-SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
+SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Characters of text in one round, pieces that a task remembers at most.
 ROUND_CHARS, MOST_PIECES = 2 << 20, 400_000
