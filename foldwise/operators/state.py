@@ -37,3 +37,13 @@ def global_position(df: DataFrame, order: list[Column], name: str = "pos") -> Da
         known = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
         start = F.element_at(known, part)
     return at.withColumn(name, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on the columns `on` so that adaptive execution can split a hot key's rows.
+
+    A side that is already partitioned by the key (an aggregate's result) has no exchange of its own, and Spark then leaves
+    its partner's hot partitions whole. A second key, derived from the first, makes both sides exchange.
+    """
+    key = F.xxhash64(*on)
+    return left.withColumn("_key", key).join(right.withColumn("_key", key), [*on, "_key"], how).drop("_key")
