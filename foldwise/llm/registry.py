@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and, where SQL can express the query, ORACLE.
-MODULES = ("sharding", "bpe", "quality_rules", "mixing", "secrets", "toxicity", "simhash", "embeddings")
+MODULES = ("sharding", "bpe", "quality_rules", "mixing", "secrets", "toxicity", "simhash", "embeddings", "quality_classifier")
 
 
 def queries() -> dict:
