@@ -17,7 +17,7 @@ from foldwise.operators.state import checkpoint, global_position
 
 SHARE, WEIGHTS, MOST_COPIES, SEED = 1.5, (5, 2, 1), 2, 11
 #: Documents of one source and length that are ranked together, on average.
-CELL = 1000
+CELL = 250
 
 
 def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies: int = MOST_COPIES) -> tuple[int, np.ndarray]:
@@ -82,13 +82,13 @@ def targets(sources: DataFrame, share: float, weights: tuple[int, ...], most_cop
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, most_copies: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """How often the mix takes each row of `df`.
 
-    Returns doc_id, source, size, source_size, target, copies and taken (copies * size). A null text has no words; rows
+    Returns doc_id, text_hash, source, size, source_size, target, copies and taken (copies * size). A null text has no words; rows
     without words are never taken. The null source comes last. Ties of the seeded order are broken by `key`; equal rows are
     interchangeable. Other columns are not read; an empty table gives no rows. A source and length with many documents is
     ranked in cells of about CELL documents, whose quotas are running differences of the cells' counts.
     """
-    docs = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
-    docs = checkpoint(docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")))
+    docs = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    docs = checkpoint(docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")))
     lengths = checkpoint(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), share, weights, most_copies)
 
@@ -109,11 +109,11 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     cells = some.groupBy("source", "size", "cell", "more").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("c")
     cells = cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("cell").alias("_c"), (F.col("more") - before).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("h", "doc_id", "text_hash"))
     some = some.withColumn("rank", rank).join(cells, some["source"].eqNullSafe(cells["_s"]) & (some["size"] == cells["_z"]) & (some["cell"] == cells["_c"]))
     some = some.withColumn("copies", F.col("base") + (F.col("rank") <= F.col("quota")).cast("long"))
     rest = docs.where((F.col("more") == 0) | (F.col("more") == F.col("n"))).withColumn("copies", F.col("base") + (F.col("more") > 0).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    columns = ["doc_id", "text_hash", "source", "size", "source_size", "target", "copies"]
     return some.select(columns).unionByName(rest.select(columns)).withColumn("taken", F.col("copies") * F.col("size"))
 
 

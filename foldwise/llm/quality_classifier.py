@@ -144,6 +144,15 @@ def scored(df: DataFrame, model: CoTrained, text: str = "text", source: str = "s
     return out.select("row", "score", (F.col("score") >= THRESHOLD).alias("kept"), "text_odds", "meta_odds")
 
 
+def kept_rows(found: DataFrame) -> DataFrame:
+    """The rows of a `scored` frame that are kept, as they were.
+
+    A plain filter would be pushed below the measures and compute them again inside its condition, many times over; the
+    outer explode holds it above.
+    """
+    return found.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).where("row is not null").select("row.*")
+
+
 def op8_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).select("row.doc_id", "score", "kept", "text_odds", "meta_odds")

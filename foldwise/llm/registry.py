@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: Modules that define QUERIES and, where SQL can express the query, ORACLE.
 MODULES = ("sharding", "bpe", "quality_rules", "mixing", "secrets", "toxicity", "simhash", "embeddings", "quality_classifier")
 
 
 def queries() -> dict:
-    return {k: f for m in _loaded() for k, f in m.QUERIES.items()}
+    return {k: f for m in _loaded() for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -153,6 +153,12 @@ def markov_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], rati
     return out
 
 
+def all_spans(texts: list[str], ratios: np.ndarray, margin: float = MARGIN) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """The base spans of each text, and these with the models' spans."""
+    bases = [base_spans(t) for t in texts]
+    return bases, [sorted(b + m) for b, m in zip(bases, markov_spans(texts, bases, ratios, margin))]
+
+
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     """`text` with every run of overlapping spans replaced by `mask`."""
     out, end = [], 0
@@ -163,34 +169,45 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join(out) + text[end:]
 
 
-def scan(df: DataFrame, key: str, text: str, ratios: np.ndarray, margin: float = MARGIN, mask: str | None = None) -> DataFrame:
-    """Secrets of every whole text: `key`, n_assign, n_access, n_hex, base_sha256, spans; with `mask` also the masked text.
+def scan(df: DataFrame, key: str, text: str, ratios: np.ndarray, margin: float = MARGIN) -> DataFrame:
+    """Secrets of every whole text: `key`, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind as in KINDS. A null text counts as empty and
-    has no spans (masked: null); equal rows give equal results; texts are never cut; other columns are not read; an empty
+    has no spans; equal rows give equal results; texts are never cut; other columns are not read; an empty
     table gives no rows.
     """
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", masked string" * (mask is not None)
+    schema = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                given = batch.column(1).to_pylist()
-                texts = ["" if t is None else t for t in given]
-                bases = [base_spans(t) for t in texts]
-                spans = [sorted(b + m) for b, m in zip(bases, markov_spans(texts, bases, ratios, margin))]
+                bases, spans = all_spans(["" if t is None else t for t in batch.column(1).to_pylist()], ratios, margin)
                 columns = [batch.column(0), *(pa.array([sum(k == x[1] for x in b) for b in bases], pa.int64()) for k in range(3))]
                 columns += [pa.array([hashlib.sha256(said(b).encode()).hexdigest() for b in bases], pa.string()), pa.array(map(said, spans), pa.string())]
-                if mask is not None:
-                    columns.append(pa.array([t if not s else masked(t, s, mask) for t, s in zip(given, spans)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", *["masked"] * (mask is not None)])
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def redact(df: DataFrame, text: str, ratios: np.ndarray, mask: str = "[SECRET]", margin: float = MARGIN) -> DataFrame:
+    """`df` with every secret in the column `text` replaced by `mask`; nulls stay null, all other columns as they are."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                batch = whole.slice(lo, 1000)
+                given = batch.column(at).to_pylist()
+                spans = all_spans(["" if t is None else t for t in given], ratios, margin)[1]
+                clean = pa.array([t if not s else masked(t, s, mask) for t, s in zip(given, spans)], pa.string())
+                yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan(docs, "doc_id", "text", train(labelled_samples(docs, "doc_id", "text")))

@@ -42,14 +42,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp): the fingerprint of every whole text, as a signed long; null texts have no words."""
+    """(key, h, fp): the fingerprint of every whole text, as a signed long, and the text's hash; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=[key, "h", "fp"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(F.col(key), F.col(text), F.xxhash64(text).alias("h")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, h long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Fingerprint and component of every row of `df`.
 
-    Returns `key`, fp (signed long), root (a fingerprint that names the component) and component_id, the least `key` whose
+    Returns `key`, h (the text's hash), fp (signed long), root (a fingerprint that names the component) and component_id, the least `key` whose
     fingerprint links lead to. Null and empty texts have fingerprint 0 and link like any other; null keys never are a
     component_id, unless the whole component has none (null then); equal rows share a fingerprint and so a component; other
     columns are not read; an empty table gives no rows. Texts with the same fingerprint are one vertex, so that groups of
@@ -174,7 +174,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", limi
     member = checkpoint(leads.join(found, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
     least = member.groupBy("root").agg(F.min("lead").alias("component_id"))
     member = skew_join(member.select("fp", "root"), least, ["root"])
-    return skew_join(docs, member, ["fp"]).select(key, "fp", "root", "component_id")
+    return skew_join(docs, member, ["fp"]).select(key, "h", "fp", "root", "component_id")
+
+
+def leaders(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row (key, h) of each component of `near_duplicates`: the least key, then the least hash; a null key only if all are null."""
+    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key), "h"))
+    return found.groupBy("root").agg(first.alias("first")).select(f"first.{key}", "first.h")
 
 
 def hexadecimal(fp: Column) -> Column:
