@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("split_queries",)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in importlib.import_module(f"foldwise.plans.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for m in MODULES for k, sql in importlib.import_module(f"foldwise.plans.{m}").ORACLE.items()}
