@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("split_queries",)
+MODULES = ("split_queries", "model_queries", "experiment_queries")
 
 
 def queries() -> dict:
