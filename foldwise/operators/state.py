@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +48,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     """
     key = F.xxhash64(*on)
     return left.withColumn("_key", key).join(right.withColumn("_key", key), [*on, "_key"], how).drop("_key")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write `df` as a Parquet table in the shared checkpoint folder and read it again: as `checkpoint`, but in columns and compressed."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
