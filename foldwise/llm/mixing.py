@@ -18,13 +18,16 @@ from foldwise.operators.state import checkpoint, global_position
 SHARE, WEIGHTS, MOST_COPIES, SEED = 1.5, (5, 2, 1), 2, 11
 #: Documents of one source and length that are ranked together, on average.
 CELL = 250
+#: Words that are fitted by the dynamic programme alone.
+SMALL = 2048
 
 
 def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies: int = MOST_COPIES) -> tuple[int, np.ndarray]:
     """Copies of every document, and how many documents of each size get one more, so that the words come to `budget` or just below.
 
-    sizes: distinct positive sizes; counts: documents of each. The remaining budget below three times the largest size is
-    fitted by the dynamic programme, whose bits are the reachable sums.
+    sizes: distinct positive sizes; counts: documents of each. A budget beyond twice the largest size is spread over all sizes
+    in proportion first. What remains, less than three times that size or SMALL, is fitted by the dynamic programme, whose
+    bits are the reachable sums.
     """
     extra = np.zeros(len(sizes), dtype=np.int64)
     total = int((sizes * counts).sum())
@@ -34,11 +37,11 @@ def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies:
     rest = budget - base * total
     if base == most_copies or rest <= 0:
         return base, extra
-    extra = np.array([int(c) * rest // total for c in counts.tolist()], dtype=np.int64)
-    rest -= int((extra * sizes).sum())
+    order, room = np.argsort(-sizes), max(2 * int(sizes.max()), SMALL)
+    if rest > room:
+        extra = np.array([int(c) * rest // total for c in counts.tolist()], dtype=np.int64)
+        rest -= int((extra * sizes).sum())
     left = counts - extra
-    order = np.argsort(-sizes)
-    room = 2 * int(sizes.max())
     for i in order.tolist():
         more = min(int(left[i]), max(0, rest - room) // int(sizes[i]))
         extra[i] += more
