@@ -74,12 +74,13 @@ def transitions(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def generated_samples(seed: int = SEED) -> pd.DataFrame:
-    """Seeded random strings over hexadecimal, alphanumeric and base64 alphabets, labelled random."""
+    """Seeded random strings over hexadecimal, alphanumeric and base64 alphabets, labelled random, and plain numbers, labelled ordinary."""
     rng, rows = np.random.default_rng(seed), []
     for letters in ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
         picks = rng.integers(0, len(letters), size=(GENERATED, 32))
         rows += ["".join(letters[i] for i in p) for p in picks.tolist()]
-    return pd.DataFrame({"string": rows, "label": 1})
+    numbers = ["".join(map(str, rng.integers(0, 10, n).tolist())) for n in rng.integers(8, 24, GENERATED)]
+    return pd.DataFrame({"string": rows + numbers, "label": [1] * len(rows) + [0] * len(numbers)})
 
 
 def labelled_samples(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> DataFrame:
