@@ -1,0 +1,36 @@
+"""Every registered query against its oracle on the small tables, and the driver's entry point."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__
+from foldwise.plans import registry
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{sf}/{f}')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_query(spark, duck, sf, name):
+    got = registry.queries()[name](spark, sf).toPandas()
+    if name not in registry.oracle_sql():
+        assert len(got)
+        return
+    want = duck.sql(registry.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    rows = lambda df: Counter(map(repr, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
