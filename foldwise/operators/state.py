@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes a query's shuffle files as soon as the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder of the session and cut its lineage.
@@ -51,10 +54,19 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write `df` as a Parquet table in the shared checkpoint folder and read it again: as `checkpoint`, but in columns and compressed."""
+    """Write `df` as a Parquet table in the shared checkpoint folder and read it again: as `checkpoint`, but in columns and compressed.
+
+    The table needs the write's shuffle files no more: they are removed at its end, not when the driver next collects garbage.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
