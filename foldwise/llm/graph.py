@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import min_labels
-from foldwise.operators.state import checkpoint, skew_join
+from foldwise.operators.state import skew_join, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     joins. Links of an id with itself and repeated links do no harm; nulls are left out; no links give no rows.
     """
     links = links.where("a is not null and b is not null and a <> b")
-    now = checkpoint(shrink(links).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(shrink(links).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     was = state(now)
     while True:
@@ -51,7 +51,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = skew_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = skew_join(large, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        now = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         if (new := state(now)) == was:
             break
         was = new
