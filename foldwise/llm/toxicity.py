@@ -12,15 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import chunks, table
-from foldwise.operators.state import checkpoint
+from foldwise.operators.state import checkpoint, skew_join
 
 ORDER, DISCOUNT, SURE = 5, 0.75, 2.5
-#: Sequences in a short and a long window, floor of a ratio that counts as excess; most cells of the lookup table (the bound of what is broadcast).
-SHORT, LONG, FLOOR, CELLS = 3, 8, 0.5, 1 << 22
+#: Sequences in a short and a long window, floor of a ratio that counts as excess; most sequences whose ratios are broadcast (others are joined), joined rows in a batch.
+SHORT, LONG, FLOOR, KEYS, ROWS = 3, 8, 0.5, 1 << 22, 50_000
 EVIDENCE = ("whole", "weight", "peak", "stretch", "excess")
 #: Labels are broadcast up to so many rows, else joined by a shuffle; rows that calibrate, at most in expectation; characters at a time.
 BROADCAST_LABELS, CALIBRATING, CHUNK = 1_000_000, 20_000, 2 << 20
@@ -62,6 +63,37 @@ def cell(keys: np.ndarray, cells: int) -> np.ndarray:
     return (keys * np.uint32(2654435769)) >> np.uint32(32 - (cells - 1).bit_length())
 
 
+class Lookup:
+    """Values of different keys in an open-addressed table with two cells a key at least; it holds every key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.cells = 1 << max(10, (2 * len(keys)).bit_length())
+        home = cell(keys, self.cells).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        rank = np.arange(len(keys))
+        at = np.maximum.accumulate(home[order] - rank) + rank  # its own cell, or the next after those before it
+        size = max(self.cells, int(at[-1]) + 1 if len(at) else 0) + 1
+        self.held, self.of = np.full(size, 0xFFFFFFFF, dtype=np.uint32), np.zeros(size, dtype=np.float32)
+        self.held[at], self.of[at] = keys[order], values[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is held, and its value, else 0."""
+        at = cell(keys, self.cells).astype(np.int64)
+        held = self.held[at]
+        known = held == keys
+        value = np.where(known, self.of[at], np.float32(0))
+        left = np.flatnonzero(~known & (held != 0xFFFFFFFF))
+        at = at[left]
+        while len(left):
+            at += 1
+            held = self.held[at]
+            hit = held == keys[left]
+            known[left[hit]], value[left[hit]] = True, self.of[at[hit]]
+            go = ~hit & (held != 0xFFFFFFFF)
+            left, at = left[go], at[go]
+        return known, value
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """How many texts have each sequence (key, n_other, n_ordinary, n_toxic), of docs (text, role); role 1 ordinary, 2 toxic, else none."""
 
@@ -90,7 +122,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """(key, seen, ratio): log P(toxic)/P(ordinary) of each whole sequence that a class has, as far as it is sure.
+    """(key, seen, ratio): how many texts have each whole sequence that a class has, and its log P(toxic)/P(ordinary), as far as it is sure.
 
     A sequence's probability is the product of its characters' after those before them. Each is interpolated Kneser-Ney: a
     class discounts its counts of up to five characters and spreads what that frees by its own model of one character less,
@@ -117,51 +149,106 @@ def ratios(counts: DataFrame) -> DataFrame:
         out = out.withColumn("start", F.shiftright("key", 6 * (ORDER - order))).join(step, "start", "left").withColumn("raw", F.col("raw") + F.coalesce("step", F.lit(0.0))).drop("start", "step")
     error = F.sqrt(1 / (F.col("n_toxic") + 0.5) + 1 / (F.col("n_ordinary") + 0.5))
     ratio = (F.signum("raw") * F.greatest(F.abs("raw") - SURE * error, F.lit(0))).cast("float")
-    return out.select("key", (F.col("n_toxic") + F.col("n_ordinary")).alias("seen"), ratio.alias("ratio")).where("ratio <> 0")
+    return out.select("key", (F.col("n_other") + F.col("n_toxic") + F.col("n_ordinary")).alias("seen"), ratio.alias("ratio")).where("ratio <> 0")
 
 
-def lookup(table: DataFrame, key: str, value: str, weight: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(cells, keys, values) of a table that holds one key for each cell, the one of greatest weight.
+def split(model: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The sequences whose ratios are broadcast, at most `most`, and the others, if any.
 
-    There are at least four cells a key, but never more than CELLS, whatever the table's size.
+    The first are those that many texts have, from a power of two on. Of the others no one is in more than about twice as
+    many texts as a sequence of the model is on average for each that could be broadcast, so that no key of their join is hot.
     """
-    cells = min(CELLS, 1 << max(10, (4 * table.count()).bit_length()))
-    at = F.shiftrightunsigned((F.col(key) * F.lit(2654435769)).bitwiseAND(F.lit((1 << 32) - 1)), 32 - (cells - 1).bit_length())
-    best = table.groupBy(at.alias("cell")).agg(F.max(F.struct(weight, F.col(key).alias("k"), F.col(value).alias("v"))).alias("b"))
-    got = best.select("b.k", "b.v").toArrow()
-    return cells, got["k"].to_numpy().astype(np.uint32), got["v"].to_numpy().astype(np.float32)
+    level = F.floor(F.log2(F.greatest("seen", F.lit(1)).cast("double"))).cast("int")
+    levels = sorted(map(tuple, model.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    if sum(n for _, n in levels) <= most:
+        return model, None
+    total, least = 0, levels[0][0] + 1
+    for at, n in levels:
+        if total + n > most:
+            break
+        total, least = total + n, at
+    return model.where(level >= least), model.where(level < least)
 
 
-def evidence(docs: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
-    """`key` and EVIDENCE: the mean ratio over each text's sequences, the same in standard errors (but for a factor), the mean over its best window of SHORT and of LONG sequences, and the logarithm of the sequences' mean excess over FLOOR."""
-    shared = docs.sparkSession.sparkContext.broadcast(lookup(model, "key", "ratio", "seen"))
+def joined(docs: DataFrame, text: str, known: Broadcast, rest: DataFrame) -> DataFrame:
+    """(digest, keys, ratios): what each different text has of the sequences in `rest`, which aren't broadcast.
+
+    The different sequences of each text are dealt by the sequence, joined with the ratios and brought together by the text's
+    digest; equal texts become one before the join.
+    """
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in chunks(np.array([len(t) for t in texts], dtype=np.int64), CHUNK):
+                keys, n = grams(texts[lo:hi])
+                own = np.unique(np.repeat(np.arange(lo, hi, dtype=np.uint64), n) << np.uint64(6 * ORDER) | keys)
+                key = (own & np.uint64((1 << 6 * ORDER) - 1)).astype(np.uint32)
+                left = np.flatnonzero(~found(known.value).find(key)[0])
+                for at in range(0, len(left), ROWS):
+                    some = left[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array((own[some] >> np.uint64(6 * ORDER)).astype(np.int64))), pa.array(key[some].astype(np.int64))], names=["digest", "key"])
+
+    pairs = docs.select(digest(text).alias("digest"), F.col(text).alias("text")).mapInArrow(wanted, "digest string, key long").distinct()
+    got = skew_join(pairs, rest.select("key", "ratio"), ["key"]).groupBy("digest").agg(F.collect_list(F.struct("key", "ratio")).alias("got"))
+    return got.select("digest", F.col("got.key").alias("keys"), F.col("got.ratio").alias("ratios"))
+
+
+def digest(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def found(arrays: tuple[np.ndarray, np.ndarray]) -> Lookup:
+    """The table of a broadcast, made once in a task."""
+    if _made.get("of") is not arrays:
+        _made.update(of=arrays, table=Lookup(*arrays))
+    return _made["table"]
+
+
+_made: dict = {}
+
+
+def evidence(docs: DataFrame, key: str, text: str, model: DataFrame, most: int | None = None) -> DataFrame:
+    """`key` and EVIDENCE: the mean ratio over each text's sequences, the same in standard errors (but for a factor), the mean over its best window of SHORT and of LONG sequences, and the logarithm of the sequences' mean excess over FLOOR.
+
+    Every sequence of `model` counts. Up to `most` ratios are broadcast (KEYS by default); if there are more, the others come
+    by a join, with equal results.
+    """
+    common, rest = split(model, KEYS if most is None else most)
+    partly = rest is not None
+    got = common.select("key", "ratio").toArrow()
+    known = docs.sparkSession.sparkContext.broadcast((got["key"].to_numpy().astype(np.uint32), got["ratio"].to_numpy().astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, known, values = shared.value
-        held, of = np.full(cells, 0xFFFFFFFF, dtype=np.uint32), np.zeros(cells, dtype=np.float32)
-        at = cell(known, cells)
-        held[at], of[at] = known, values
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in chunks(np.array([len(t) for t in texts], dtype=np.int64), CHUNK):
                 keys, n = grams(texts[lo:hi])
-                at = cell(keys, cells)
-                value = np.where(held[at] == keys, of[at], np.float32(0))
                 first = np.cumsum(n) - n
+                value = found(known.value).find(keys)[1]
+                if partly:
+                    own, ratio = batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo)
+                    for k in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                        at = slice(first[k], first[k] + n[k])
+                        has, more = Lookup(own[k].values.to_numpy().astype(np.uint32), ratio[k].values.to_numpy()).find(keys[at])
+                        value[at] = np.where(has, more, value[at])
                 sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
                 last = np.repeat(first + n, n)
                 window = lambda span: (sums[np.minimum(np.arange(len(value)) + span, last)] - sums[:-1]) / span  # noqa: B023, E731
                 total = sums[first + n] - sums[first]
-                found = [
+                columns = [
                     total / n,
                     total / np.sqrt(n),
                     np.maximum.reduceat(window(SHORT), first),
                     np.maximum.reduceat(window(LONG), first),
                     np.log(1e-4 + np.add.reduceat(np.maximum(value - FLOOR, 0), first) / n),
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, found)], names=[key, *EVIDENCE])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, columns)], names=[key, *EVIDENCE])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(score, f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{x} double" for x in EVIDENCE))
+    rows = docs.select(F.col(key), F.col(text))
+    if partly:
+        rows = skew_join(rows.withColumn("digest", digest(text)), joined(docs, text, known, rest), ["digest"], "left").select(key, text, "keys", "ratios")
+    return rows.mapInArrow(score, f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{x} double" for x in EVIDENCE))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:

@@ -249,6 +249,29 @@ def test_toxicity_learns(spark):
     assert len(got) > 100 and np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got]) > 0.97
 
 
+def test_toxicity_keeps_every_sequence(spark):
+    texts = [prose(k, 3000, "abcdefghijklmnopqrstuvwxyz") for k in range(4)]
+    keys = np.unique(toxicity.grams(texts)[0]).astype(int)
+    ratio = {k: 1 + i % 7 / 8 for i, k in enumerate(keys.tolist())}
+    model = spark.createDataFrame([(k, 1 + i % 9, r) for i, (k, r) in enumerate(ratio.items())], "key long, seen long, ratio float")
+    rows = [*enumerate(texts), (7, texts[0]), (7, texts[0]), (8, None), (None, "abc"), (9, "zzz qqq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((i, np.mean([ratio.get(k, 0.0) for k in toxicity.grams([t or ""])[0].tolist()])) for i, t in rows)
+    got = toxicity.evidence(docs, "doc_id", "text", model).collect()
+    assert sorted((r["doc_id"] or -1, round(r["whole"], 9)) for r in got) == sorted((i or -1, round(w, 9)) for (i, w), n in want.items() for _ in range(n))
+
+
+@pytest.mark.parametrize("most", [0, 40, 3000])
+def test_toxicity_joins_what_is_not_broadcast(spark, docs, most):
+    counts = toxicity.counted(docs.select("text", (F.coalesce("doc_id", F.lit(0)) % 3).cast("int").alias("role")))
+    model = toxicity.ratios(counts).select("key", "seen", (F.col("key") % 11 - 5).cast("float").alias("ratio")).cache()
+    assert model.count() > most
+    common, rest = toxicity.split(model, most)
+    assert common.count() <= most and common.count() + rest.count() == model.count()
+    want, got = (counted(toxicity.evidence(docs, "doc_id", "text", model, m).collect()) for m in (1 << 22, most))
+    assert got == want
+
+
 def test_quality_classifier(spark, docs, empty, labels):
     model = quality_classifier.fit(docs, labels)
     found = quality_classifier.scored(docs, model)
