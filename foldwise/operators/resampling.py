@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import RANK_DOMAIN, rank_state, signed, with_finalized, with_rank
-from foldwise.operators.state import checkpoint, global_position
+from foldwise.operators.state import checkpoint, global_position, skew_join
 from foldwise.sources.rows import DataError, Rows, require_unique
 
+#: Most different group sizes whose turns are broadcast; more are joined by a shuffle.
+BROADCAST_SIZES = 20_000
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -62,34 +63,55 @@ def group_sizes(rows: Rows) -> DataFrame:
     return rows.df.groupBy(F.col(rows.group).alias("group")).agg(F.count(F.lit(1)).alias("n"), F.min(rows.row_id).cast("long").alias("first"))
 
 
-def grouped_k_fold(rows: Rows, k: int, seed: int, domain: str = RANK_DOMAIN, exact_groups: int = 1_000_000) -> Plan:
+def packing(classes: list[tuple[int, int]], k: int) -> list[tuple[int, list[int], list[list[int]]]]:
+    """Where the greedy packing puts the groups of each size: (size, starts, orders), of classes (size, groups), the largest size first.
+
+    From position starts[i] on, counted over all classes, the groups go round the folds of orders[i]. The greedy order within
+    a class is the merge of the progressions (load + j * size, fold): the folds less than one group above the least loaded
+    take turns, in the order of load and fold, until the least of the others is as near; so a class has k such phases at most.
+    """
+    loads, at, out = [0] * k, 0, []
+    for size, many in classes:
+        starts, orders = [], []
+        while many:
+            by_load = sorted(range(k), key=lambda f: (loads[f], f))
+            least = loads[by_load[0]]
+            turn = [f for f in by_load if loads[f] < least + size]
+            rounds = many // len(turn)
+            if len(turn) < k:
+                rounds = min(rounds, (loads[by_load[len(turn)]] - least) // size)
+            dealt = rounds * len(turn) or many  # less than a round is left
+            starts.append(at)
+            orders.append(turn)
+            for place, f in enumerate(turn):
+                loads[f] += size * (dealt // len(turn) + (place < dealt % len(turn)))
+            at, many = at + dealt, many - dealt
+        out.append((size, starts, orders))
+    return out
+
+
+def grouped_k_fold(rows: Rows, k: int, seed: int, domain: str = RANK_DOMAIN, exact_groups: int | None = None) -> Plan:
     """Whole groups to folds: the largest group first (ties by the rank of its first row, then that row), always to the smallest fold.
 
-    The packing is sequential by nature and needs one row a group. Up to `exact_groups` groups it runs over all of them in
-    that order. Beyond, the groups of more than one in `exact_groups` of all rows are packed so, the others, of which no one
-    weighs much, are dealt in rank order like cards; folds then differ by more than the greedy packing's, by one such group
-    at most for each size class.
+    However many groups there are, the result is that of packing them one by one. The driver gets one count for each
+    different size (fewer than the square root of twice the rows) and works out who takes turns (see `packing`); a group's
+    fold follows from its position in the order. `exact_groups` has no effect: there is one path.
     """
     if not rows.group:
         raise DataError("NoGroup")
-    n = _checked(rows, k)
+    _checked(rows, k)
     groups = checkpoint(with_rank(group_sizes(rows), "first", rank_state(rows.fingerprint, seed, domain)))
-    many = groups.count()
+    classes = sorted(((r["n"], r["many"]) for r in groups.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True)
+    many = sum(n for _, n in classes)
     if many < k:
         raise DataError("TooFewGroups", f"{many} for {k} folds")
-    packed = groups if many <= exact_groups else groups.where(F.col("n") * exact_groups > n)
-    got = packed.orderBy(F.desc("n"), "rank", "first").select("first", "n").toPandas()
-    heap, folds = [(0, f) for f in range(k)], []
-    for size in got["n"].tolist():
-        held, fold = heapq.heappop(heap)
-        folds.append(fold)
-        heapq.heappush(heap, (held + size, fold))
-    spark = rows.df.sparkSession
-    assigned = spark.createDataFrame(pd.DataFrame({"first": got["first"], "fold": pd.Series(folds, dtype="int32")}), "first long, fold int")
-    if many > exact_groups:
-        rest = global_position(groups.where(F.col("n") * exact_groups <= n).select("first", "n", "rank"), [F.desc("n"), F.col("rank")])
-        assigned = assigned.unionByName(rest.select("first", F.pmod("pos", F.lit(k)).cast("int").alias("fold")))
-    of_group = groups.join(assigned, "first").select(F.col("group").alias("_g"), "fold")
+    turns = rows.df.sparkSession.createDataFrame(packing(classes, k), "n long, starts array<long>, orders array<array<int>>")
+    at = global_position(groups.select("group", "n", "rank", "first"), [F.desc("n"), F.col("rank"), F.col("first")])
+    at = at.join(F.broadcast(turns), "n") if len(classes) <= BROADCAST_SIZES else skew_join(at, turns, ["n"])
+    phase = F.size(F.filter("starts", lambda x: x <= F.col("pos")))
+    turn = F.element_at("orders", phase)
+    fold = F.element_at(turn, (F.pmod(F.col("pos") - F.element_at("starts", phase), F.size(turn)) + 1).cast("int"))
+    of_group = at.select(F.col("group").alias("_g"), fold.alias("fold"))
     joined = rows.df.join(of_group, rows.df[rows.group].eqNullSafe(of_group["_g"])).drop("_g")
     return Plan(rows.with_df(checkpoint(joined)), k)
 

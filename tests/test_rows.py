@@ -1,9 +1,12 @@
+import heapq
+import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.functions.hashing import Fingerprint
+from foldwise.functions.hashing import RANK_DOMAIN, Fingerprint, rank_state, with_rank
 from foldwise.operators import resampling, splits
 from foldwise.operators.state import global_position, skew_join
 from foldwise.sources.rows import DataError, Role, duplicate_ids, ids_fingerprint, numbered, overlap, restore_check, unsplit
@@ -65,6 +68,40 @@ def test_grouped_k_fold(spark):
         resampling.grouped_k_fold(rows_of(spark, 70), 8, 11)
 
 
+def greedy(sizes, k):
+    heap, folds = [(0, f) for f in range(k)], []
+    for n in sizes:
+        held, fold = heapq.heappop(heap)
+        folds.append(fold)
+        heapq.heappush(heap, (held + n, fold))
+    return folds
+
+
+def test_packing_is_greedy():
+    rnd = random.Random(5)
+    for _ in range(400):
+        k = rnd.randint(2, 7)
+        sizes = sorted((rnd.choice((1, 1, 2, 3, 7, rnd.randint(1, 60))) for _ in range(rnd.randint(1, 80))), reverse=True)
+        got = []
+        for size, starts, orders in resampling.packing(sorted(Counter(sizes).items(), reverse=True), k):
+            ends = [*starts[1:], len(got) + Counter(sizes)[size]]
+            for start, end, turn in zip(starts, ends, orders):
+                got += [turn[i % len(turn)] for i in range(end - start)]
+        assert got == greedy(sizes, k)
+
+
+@pytest.mark.parametrize("limits", [{}, {"exact_groups": 4}])
+def test_one_hot_group_leaves_the_other_folds_full(spark, monkeypatch, limits):
+    monkeypatch.setattr(resampling, "BROADCAST_SIZES", 0 if limits else 20_000, raising=False)
+    df = spark.range(900).select(F.col("id").alias("row_id"), F.when(F.col("id") < 300, F.lit(None)).when(F.col("id") < 700, F.col("id")).otherwise(F.floor(F.col("id") / 2)).alias("g"))
+    rows = unsplit(df.repartition(5), "row_id", PRINT, group="g")
+    p = resampling.grouped_k_fold(rows, 5, 3, **limits)
+    assert sorted(r["n"] for r in p.sizes().collect()) == [150, 150, 150, 150, 300]
+    order = with_rank(resampling.group_sizes(rows), "first", rank_state(PRINT, 3, RANK_DOMAIN)).orderBy(F.desc("n"), "rank", "first").collect()
+    want = dict(zip((r["group"] for r in order), greedy([r["n"] for r in order], 5)))
+    assert {r["g"]: r["fold"] for r in p.rows.df.select("g", "fold").distinct().collect()} == want
+
+
 def test_rolling_origin(spark):
     rows = rows_of(spark, 12)
     at, folds = resampling.rolling_origin(rows, 4, 3, 2)
