@@ -5,21 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's setting that removes a query's shuffle files as soon as the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder of the session and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, made from `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`; a temporary one is made only where none is set.
+    A temporary one is made only where none is set and the master is local: executors elsewhere couldn't read it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder of the session and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -27,20 +36,20 @@ def global_position(df: DataFrame, order: list[Column], name: str = "pos") -> Da
     """Add the 0-based position of each row in the total order, without moving all rows into one task.
 
     Rows are range-partitioned and sorted; the driver gets one count for each partition, whose running sum is each
-    partition's offset. The sorted rows are checkpointed, as range bounds are sampled anew when a plan runs again.
+    partition's offset, which is joined back by a broadcast of one row a partition. The sorted rows are checkpointed, as
+    range bounds are sampled anew when a plan runs again.
     """
     at = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_at", 33)
-    counts = sorted((r[0], r[1]) for r in at.groupBy(part.alias("p")).count().collect())
     total, offsets = 0, []
-    for p, n in counts:
+    for p, n in sorted((r[0], r[1]) for r in at.groupBy(part.alias("p")).count().collect()):
         offsets.append((p, total))
         total += n
-    start = F.lit(0).cast("long")
-    if len(offsets) > 1:
-        known = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
-        start = F.element_at(known, part)
-    return at.withColumn(name, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    if len(offsets) < 2:
+        return at.withColumn(name, within).drop("_at")
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _start long")
+    return at.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_at", "_part", "_start")
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -56,12 +65,10 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 def written(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared checkpoint folder and read it again: as `checkpoint`, but in columns and compressed.
 
-    The table needs the write's shuffle files no more: they are removed at its end, not when the driver next collects garbage.
+    The table needs the write's shuffle files no more: the setting CLEANUP removes them at its end, not when the driver next
+    collects garbage. Queries of other threads that end meanwhile remove theirs too, and make them anew if they run again.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldwise-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
