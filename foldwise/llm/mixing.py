@@ -18,16 +18,16 @@ from foldwise.operators.state import checkpoint, global_position
 SHARE, WEIGHTS, MOST_COPIES, SEED = 1.5, (5, 2, 1), 2, 11
 #: Documents of one source and length that are ranked together, on average.
 CELL = 250
-#: Words that are fitted by the dynamic programme alone.
-SMALL = 2048
+#: The last words of a budget are fitted by the dynamic programme alone: twice the longest text's, within these bounds.
+ROOM = (2048, 1 << 20)
 
 
 def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies: int = MOST_COPIES) -> tuple[int, np.ndarray]:
     """Copies of every document, and how many documents of each size get one more, so that the words come to `budget` or just below.
 
-    sizes: distinct positive sizes; counts: documents of each. A budget beyond twice the largest size is spread over all sizes
-    in proportion first. What remains, less than three times that size or SMALL, is fitted by the dynamic programme, whose
-    bits are the reachable sums.
+    sizes: distinct positive sizes; counts: documents of each. All of the budget but the last words (ROOM) is spread over all
+    sizes in proportion; what that rounds off goes to the sizes of most documents. The rest is fitted by the dynamic
+    programme, whose bits are the reachable sums; it also starts with the sizes of most documents.
     """
     extra = np.zeros(len(sizes), dtype=np.int64)
     total = int((sizes * counts).sum())
@@ -37,10 +37,10 @@ def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies:
     rest = budget - base * total
     if base == most_copies or rest <= 0:
         return base, extra
-    order, room = np.argsort(-sizes), max(2 * int(sizes.max()), SMALL)
-    if rest > room:
-        extra = np.array([int(c) * rest // total for c in counts.tolist()], dtype=np.int64)
-        rest -= int((extra * sizes).sum())
+    order, room = np.lexsort((-sizes, -counts)), min(max(2 * int(sizes.max()), ROOM[0]), ROOM[1])
+    spread = max(0, rest - room)
+    extra = np.array([int(c) * spread // total for c in counts.tolist()], dtype=np.int64)
+    rest -= int((extra * sizes).sum())
     left = counts - extra
     for i in order.tolist():
         more = min(int(left[i]), max(0, rest - room) // int(sizes[i]))
@@ -87,12 +87,13 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
 
     Returns doc_id, text_hash, source, size, source_size, target, copies and taken (copies * size). A null text has no words; rows
     without words are never taken. The null source comes last. Ties of the seeded order are broken by `key`; equal rows are
-    interchangeable. Other columns are not read; an empty table gives no rows. A source and length with many documents is
+    interchangeable and ranked as one row with a count. Other columns are not read; an empty table gives no rows. A source and length with many documents is
     ranked in cells of about CELL documents, whose quotas are running differences of the cells' counts.
     """
     docs = df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
+    docs = docs.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("alike"))
     docs = checkpoint(docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")))
-    lengths = checkpoint(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    lengths = checkpoint(docs.groupBy("source", "size").agg(F.sum("alike").alias("n")))
     sources = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), share, weights, most_copies)
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
@@ -109,15 +110,18 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     docs = docs.join(plan, docs["source"].eqNullSafe(plan["_s"]) & (docs["size"] == plan["_z"])).drop("_s", "_z")
     docs = docs.withColumn("cell", F.pmod("h", F.ceil(F.col("n") / CELL)))
     some = docs.where((F.col("more") > 0) & (F.col("more") < F.col("n")))
-    cells = some.groupBy("source", "size", "cell", "more").agg(F.count(F.lit(1)).alias("c"))
+    cells = some.groupBy("source", "size", "cell", "more").agg(F.sum("alike").alias("c"))
     before = F.sum("c").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("c")
     cells = cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("cell").alias("_c"), (F.col("more") - before).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("h", "doc_id", "text_hash"))
-    some = some.withColumn("rank", rank).join(cells, some["source"].eqNullSafe(cells["_s"]) & (some["size"] == cells["_z"]) & (some["cell"] == cells["_c"]))
-    some = some.withColumn("copies", F.col("base") + (F.col("rank") <= F.col("quota")).cast("long"))
-    rest = docs.where((F.col("more") == 0) | (F.col("more") == F.col("n"))).withColumn("copies", F.col("base") + (F.col("more") > 0).cast("long"))
-    columns = ["doc_id", "text_hash", "source", "size", "source_size", "target", "copies"]
-    return some.select(columns).unionByName(rest.select(columns)).withColumn("taken", F.col("copies") * F.col("size"))
+    first = F.sum("alike").over(Window.partitionBy("source", "size", "cell").orderBy("h", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("alike")
+    some = some.withColumn("first", first).join(cells, some["source"].eqNullSafe(cells["_s"]) & (some["size"] == cells["_z"]) & (some["cell"] == cells["_c"]))
+    some = some.withColumn("chosen", F.greatest(F.least(F.col("quota") - F.col("first"), "alike"), F.lit(0)))
+    rest = docs.where((F.col("more") == 0) | (F.col("more") == F.col("n"))).withColumn("chosen", F.when(F.col("more") > 0, F.col("alike")).otherwise(0))
+    columns = ["doc_id", "text_hash", "source", "size", "source_size", "target"]
+    out = some.select(*columns, "base", "chosen", "alike").unionByName(rest.select(*columns, "base", "chosen", "alike"))
+    out = out.select(*columns, "base", "chosen", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))).alias("number"))
+    out = out.select(*columns, (F.col("base") + (F.col("number") <= F.col("chosen")).cast("long")).alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
