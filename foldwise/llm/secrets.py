@@ -24,16 +24,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: A maximal run that is too short holds no long one, so that the length can stand in the pattern.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
-LEAST_TOKEN = 20
+#: Shortest token that the models judge, and the length from which on letters or digits alone will do and MARGIN holds.
+LEAST_TOKEN, LONG_TOKEN = 12, 20
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}")
+LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 #: Classes of characters: one for each of these, one for any other, one for both ends.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 OTHER, END = len(ALPHABET), len(ALPHABET) + 1
 STATES = END + 1
 CODES = np.full(256, OTHER, dtype=np.int64)
 CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(len(ALPHABET))
-#: Documents that give training strings at most (in expectation), generated random strings per alphabet, smoothing, margin in nats per character.
-SAMPLE_DOCS, GENERATED, SMOOTHING, MARGIN, SEED = 20_000, 1500, 0.5, 1.0, 5
+#: Generated random strings per alphabet, smoothing, margin in nats per character of a long token.
+GENERATED, SMOOTHING, MARGIN, SEED = 1500, 0.5, 1.0, 5
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -50,10 +52,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of long tokens that don't overlap the spans in `taken`."""
+    """Spans of tokens that don't overlap the spans in `taken`; those below LONG_TOKEN characters must have letters and digits."""
     if not any(len(w) >= LEAST_TOKEN for w in text.split()):
         return []
-    found = [m.span() for m in TOKEN.finditer(text)]
+    found = [m.span() for m in TOKEN.finditer(text) if m.end() - m.start() >= LONG_TOKEN or DIGIT.search(m.group()) and LETTER.search(m.group())]
     return [(s, e) for s, e in found if not any(s < b and a < e for a, _, b in taken)]
 
 
@@ -83,15 +85,13 @@ def generated_samples(seed: int = SEED) -> pd.DataFrame:
     return pd.DataFrame({"string": rows + numbers, "label": [1] * len(rows) + [0] * len(numbers)})
 
 
-def labelled_samples(df: DataFrame, key: str, text: str, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> DataFrame:
-    """Labelled strings (string, label) of about `sample_docs` documents, chosen by a seeded hash of `key`, besides generated ones.
+def labelled_samples(df: DataFrame, text: str, seed: int = SEED) -> DataFrame:
+    """Labelled strings (string, label) of all texts, besides generated ones.
 
     Label 1: what the base patterns caught. Label 0: long words and numbers elsewhere, as they
-    are, in upper and lower case, and as identifiers made of two neighbours.
+    are, in upper and lower case, and as identifiers made of two neighbours. Null texts give none.
     """
-    n = df.count()
-    share = min(1.0, sample_docs / max(1, n))
-    rows = df.select(F.col(text).alias("text")) if share == 1 else df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(text).alias("text"))
+    rows = df.select(F.col(text).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +149,7 @@ def markov_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], rati
         pairs, n = transitions([texts[i][s:e] for i, s, e in where])
         mean = np.add.reduceat(ratios[pairs], np.cumsum(n) - n) / n
         for (i, s, e), x in zip(where, mean.tolist()):
-            if x > margin:
+            if x > margin * max(1.0, LONG_TOKEN / (e - s)) ** 0.5:  # a mean of few characters varies more
                 out[i].append((s, 3, e))
     return out
 
@@ -211,7 +211,7 @@ def redact(df: DataFrame, text: str, ratios: np.ndarray, mask: str = "[SECRET]",
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, "doc_id", "text", train(labelled_samples(docs, "doc_id", "text")))
+    return scan(docs, "doc_id", "text", train(labelled_samples(docs, "text")))
 
 
 QUERIES = {"op10_markov_secrets": op10_markov_secrets}
