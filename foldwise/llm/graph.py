@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +21,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[other], ids[label[other]]
 
 
+def forests(links: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """All links (a[i], b[i]) of a task as one forest of stars, in batches."""
+    a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for x, y in links:
+        a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
+    for lo in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=["a", "b"])
+
+
 def shrink(links: DataFrame) -> DataFrame:
     """Replace the links (a, b) of each partition by a forest of stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            a, b = forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
-        for lo in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=["a", "b"])
+        yield from forests((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches)
 
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, shrunk: bool = False) -> DataFrame:
     """(id, root) for every id in `links` (a, b): root is the least id that the links lead to.
 
     Large stars and small stars in turn, each round written to the checkpoint folder, until no link changes; the rounds
-    grow with the logarithm of the ids. Links are reduced within partitions first; a hub's links are split by adaptive
-    joins. Links of an id with itself and repeated links do no harm; nulls are left out; no links give no rows.
+    grow with the logarithm of the ids. Links are reduced within partitions first, unless they are `shrunk` already, so that no
+    stage runs two Python workers a task; a hub's links are split by adaptive joins. Links of an id with itself and repeated links do no harm; nulls are left out; no links give no rows.
     """
     links = links.where("a is not null and b is not null and a <> b")
-    now = written(shrink(links).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written((links if shrunk else shrink(links)).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     was = state(now)
     while True:

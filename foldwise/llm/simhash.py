@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import min_labels, table
-from foldwise.llm.graph import connected_components
+from foldwise.llm.graph import connected_components, forests
 from foldwise.operators.state import checkpoint, skew_join
 
 BITS, LIMIT, SHINGLE, SEED = 64, 3, 3, 42
@@ -124,7 +124,7 @@ def linked(group: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tuple[np
 
 
 def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """A forest (a, b) that joins the distinct fingerprints of `fps` (fp) which differ in at most `limit` bits.
+    """Forests (a, b), one a task, that join the distinct fingerprints of `fps` (fp) which differ in at most `limit` bits.
 
     Groups of over BLOCK fingerprints are split into blocks; every pair of blocks meets in a group of its own.
     """
@@ -141,20 +141,23 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     dealt = rows.select(group, "fp").repartition("g").sortWithinPartitions("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(g: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def done(g: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b = linked(g, fp.view(np.uint64), limit)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
-
-        g, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            g, fp = np.concatenate([g, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
-            if len(g) >= ROWS:
-                cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
-                if cut:
-                    yield done(g[:cut], fp[:cut])
-                    g, fp = g[cut:], fp[cut:]
-        if len(g):
-            yield done(g, fp)
+            return fp[a], fp[b]
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            g, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            for batch in batches:
+                g, fp = np.concatenate([g, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
+                if len(g) >= ROWS:
+                    cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+                    if cut:
+                        yield done(g[:cut], fp[:cut])
+                        g, fp = g[cut:], fp[cut:]
+            if len(g):
+                yield done(g, fp)
+
+        yield from forests(found())
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -170,19 +173,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", limi
     """
     docs = checkpoint(fingerprints(df, key, text))
     leads = checkpoint(docs.groupBy("fp").agg(F.min(key).alias("lead")))
-    found = connected_components(links(leads.select("fp"), limit)).select(F.col("id").alias("fp"), "root")
+    found = connected_components(links(leads.select("fp"), limit), shrunk=True).select(F.col("id").alias("fp"), "root")
     member = checkpoint(leads.join(found, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
     least = member.groupBy("root").agg(F.min("lead").alias("component_id"))
     member = skew_join(member.select("fp", "root"), least, ["root"])
     return skew_join(docs, member, ["fp"]).select(key, "h", "fp", "root", "component_id")
 
 
-def leaders(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row (key, h) of each component of `near_duplicates`: the least key, then the least hash; a null key only if all are null."""
-    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key), "h"))
-    return found.groupBy("root").agg(first.alias("first")).select(f"first.{key}", "first.h")
-
-
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
