@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.resampling import Plan, k_fold
+from foldwise.operators.scalers import StandardScaler
 from foldwise.operators.stages import FeatureMap, Stage, Transform
 from foldwise.operators.state import checkpoint
-from foldwise.sources.rows import DataError, Rows
+from foldwise.sources.rows import DataError, Role, Rows
 
 #: States of up to so many categories are broadcast when they serve, larger ones joined by a shuffle.
 BROADCAST_STATES = 100_000
 
 
+def free(df: DataFrame) -> None:
+    """Refuse columns named as those that the joins use."""
+    if taken := {"_category", "_fold", "_value"} & set(df.columns):
+        raise DataError("ReservedName", ", ".join(sorted(taken)))
+
+
 @dataclass(frozen=True)
 class Encoded(Stage):
     """Serving state: the mean target of each category over all fitting rows, the overall mean for categories unknown to it."""
@@ -29,9 +36,10 @@ class Encoded(Stage):
     name: str = "target-mean"
 
     def apply(self, df: DataFrame) -> DataFrame:
-        side = self.state.select(F.col("category").alias("_c"), F.col("value").alias("_v"))
-        joined = df.join(F.broadcast(side) if self.small else side, df[self.category].eqNullSafe(F.col("_c")), "left")
-        return joined.withColumn(self.output, F.coalesce("_v", F.lit(self.overall))).drop("_c", "_v")
+        free(df)
+        side = self.state.select(F.col("category").alias("_category"), F.col("value").alias("_value"))
+        joined = df.join(F.broadcast(side) if self.small else side, df[self.category].eqNullSafe(F.col("_category")), "left")
+        return joined.withColumn(self.output, F.coalesce("_value", F.lit(self.overall))).drop("_category", "_value")
 
     def record(self) -> dict:
         return {"overall": self.overall, "category": self.category}
@@ -54,18 +62,19 @@ def out_of_fold(plan: Plan, category: str, output: str) -> Rows:
     if not plan.complete:
         raise DataError("IncompletePlan")
     rows, y = plan.rows, F.col(plan.rows.target).cast("double")
-    cells = checkpoint(rows.df.groupBy(F.col(category).alias("_c"), F.col("fold").alias("_f")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n")))
-    folds = cells.groupBy("_f").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-    overall = {r["_f"]: (sum(x["s"] for x in folds if x["_f"] != r["_f"]), sum(x["n"] for x in folds if x["_f"] != r["_f"])) for r in folds}
+    free(rows.df)
+    cells = checkpoint(rows.df.groupBy(F.col(category).alias("_category"), F.col("fold").alias("_fold")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n")))
+    folds = cells.groupBy("_fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    overall = {r["_fold"]: (sum(x["s"] for x in folds if x["_fold"] != r["_fold"]), sum(x["n"] for x in folds if x["_fold"] != r["_fold"])) for r in folds}
     if any(n == 0 for _, n in overall.values()):
         raise DataError("EmptyAnalysis")
     means = F.create_map(*[F.lit(x) for f, (s, n) in overall.items() for x in (f, s / n)])
     all_folds = F.array(*[F.lit(f) for f in overall])
-    others = cells.select("_c", F.explode(F.array_remove(all_folds, F.col("_f"))).alias("_f"), "s", "n").groupBy("_c", "_f").agg((F.sum("s") / F.sum("n")).alias("_v"))
+    others = cells.select("_category", F.explode(F.array_remove(all_folds, F.col("_fold"))).alias("_fold"), "s", "n").groupBy("_category", "_fold").agg((F.sum("s") / F.sum("n")).alias("_value"))
     small = cells.count() <= BROADCAST_STATES
     others = F.broadcast(others) if small else others
-    df = rows.df.join(others, rows.df[category].eqNullSafe(others["_c"]) & (rows.df["fold"] == others["_f"]), "left")
-    df = df.withColumn(output, F.coalesce("_v", F.element_at(means, F.col("fold")))).drop("_c", "_f", "_v")
+    df = rows.df.join(others, rows.df[category].eqNullSafe(others["_category"]) & (rows.df["fold"] == others["_fold"]), "left")
+    df = df.withColumn(output, F.coalesce("_value", F.element_at(means, F.col("fold")))).drop("_category", "_fold", "_value")
     return rows.with_df(df, features=(*rows.features, output))
 
 
@@ -83,21 +92,22 @@ class CrossFitted(FeatureMap):
         serving = serving_state(rows, self.category, self.output)
         if not self.then:
             return serving, encoded.with_df(encoded.df.drop("fold"))
-        scaled = scale_in_folds(plan, encoded, self.category, self.output)
         after = self.then.fit(rows.with_df(serving.apply(rows.df), features=(self.output,)), seed)
-        return Chained(serving, after), scaled.with_df(scaled.df.drop("fold"))
+        names = (*rows.features, *(after.features or (self.output,)))
+        if type(self.then) is StandardScaler and self.then.constant == "emit-zero":  # its moments follow from the cells
+            done = scale_in_folds(plan, encoded, self.category, self.output)
+        else:
+            done = then_in_folds(plan, encoded, self.category, self.output, self.then, seed)
+        return Chained(serving, after, names), done.with_df(done.df.drop("fold"), features=names)
 
 
 @dataclass(frozen=True)
 class Chained(Stage):
     first: Stage
     second: Stage
+    features: tuple[str, ...] = ()
     name: str = "chained"
 
-    @property
-    def features(self) -> tuple[str, ...]:
-        return self.first.features
-
     def apply(self, df: DataFrame) -> DataFrame:
         return self.second.apply(self.first.apply(df))
 
@@ -105,6 +115,20 @@ class Chained(Stage):
         return {"first": self.first.record(), "second": self.second.record()}
 
 
+def then_in_folds(plan: Plan, encoded: Rows, category: str, output: str, then: Transform, seed: int) -> Rows:
+    """Out-of-fold values as each fold's own transform gives them out: for fold k, `then` is fitted on the other folds' rows, encoded by these rows' means, and applied to fold k."""
+    parts = []
+    for k in range(plan.folds):
+        rest = plan.rows.with_df(plan.rows.df.where(F.col("fold") != k), role=Role.TRAIN)
+        state = serving_state(rest, category, output)
+        stage = then.fit(rest.with_df(state.apply(rest.df), features=(output,)), seed)
+        parts.append(stage.apply(encoded.df.where(F.col("fold") == k)))
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
+    return encoded.with_df(df)
+
+
 def scale_in_folds(plan: Plan, encoded: Rows, category: str, output: str) -> Rows:
     """Standardise out-of-fold values as each fold's own encoder would scale its analysis rows.
 
@@ -113,13 +137,13 @@ def scale_in_folds(plan: Plan, encoded: Rows, category: str, output: str) -> Row
     sums and counts; no row is encoded once for each fold.
     """
     y = F.col(plan.rows.target).cast("double")
-    cells = plan.rows.df.groupBy(F.col(category).alias("_c"), F.col("fold").alias("_f")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
+    cells = plan.rows.df.groupBy(F.col(category).alias("_category"), F.col("fold").alias("_fold")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
     folds = F.array(*[F.lit(f) for f in range(plan.folds)])
-    analysis = cells.select("_c", F.explode(F.array_remove(folds, F.col("_f"))).alias("_f"), "s", "n").groupBy("_c", "_f").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("v", F.col("s") / F.col("n"))
-    mean = F.sum("s").over(Window.partitionBy("_f")) / F.sum("n").over(Window.partitionBy("_f"))
-    spread = analysis.withColumn("m", mean).groupBy("_f").agg(F.first("m").alias("m"), F.sqrt(F.sum(F.col("n") * (F.col("v") - F.col("m")) ** 2) / F.sum("n")).alias("d")).collect()
-    m = F.create_map(*[F.lit(x) for r in spread for x in (r["_f"], r["m"])])
-    d = F.create_map(*[F.lit(x) for r in spread for x in (r["_f"], 1 / r["d"] if r["d"] else 0.0)])
+    analysis = cells.select("_category", F.explode(F.array_remove(folds, F.col("_fold"))).alias("_fold"), "s", "n").groupBy("_category", "_fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("v", F.col("s") / F.col("n"))
+    mean = F.sum("s").over(Window.partitionBy("_fold")) / F.sum("n").over(Window.partitionBy("_fold"))
+    spread = analysis.withColumn("m", mean).groupBy("_fold").agg(F.first("m").alias("m"), F.sqrt(F.sum(F.col("n") * (F.col("v") - F.col("m")) ** 2) / F.sum("n")).alias("d")).collect()
+    m = F.create_map(*[F.lit(x) for r in spread for x in (r["_fold"], r["m"])])
+    d = F.create_map(*[F.lit(x) for r in spread for x in (r["_fold"], 1 / r["d"] if r["d"] else 0.0)])
     return encoded.with_df(encoded.df.withColumn(output, (F.col(output) - F.element_at(m, F.col("fold"))) * F.element_at(d, F.col("fold"))))
 
 
@@ -134,7 +158,7 @@ class MeanTarget(FeatureMap):
     def fit_encode(self, rows: Rows, seed: int) -> tuple[Stage, Rows]:
         whole = rows.with_df(rows.df.withColumn("_all", F.lit(1)))
         stage, encoded = CrossFitted("_all", self.output, self.folds).fit_encode(whole, seed)
-        return Chained(AllRows(), stage), encoded
+        return Chained(AllRows(), stage, stage.features), encoded
 
 
 class AllRows(Stage):

@@ -10,32 +10,42 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.exact import order_free_sums
 from foldwise.sources.rows import DataError
 
 
 @dataclass(frozen=True)
 class Metric:
-    """Partial aggregates by name, and what makes the value of them. Any way of merging partials gives the same value, up to the rounding of sums."""
+    """Terms whose sums, by name, make the value. Sums of all rows don't depend on the rows' order; partials by group merge in any way, up to the rounding of sums."""
 
     name: str
     minimize: bool
-    partials: Callable[[], dict[str, Column]]
+    terms: Callable[[], dict[str, Column]]
     finish: Callable[[dict], float]
     weighted: bool = False
     squares: bool = True
 
     def evaluate(self, scored: DataFrame) -> float:
         """The value; an error for no rows, or for the first problem of any row (see `first_problem`)."""
-        r = scored.agg(F.count(F.lit(1)).alias("_n"), problem_order(self.weighted, self.squares).alias("_p"), *[c.alias(k) for k, c in self.partials().items()]).first().asDict()
-        if not r["_n"]:
-            raise DataError("Empty", self.name)
+        r = self._checked(scored, problem_order(self.weighted, self.squares))
         if r["_p"]:
             raise DataError(KINDS[r["_p"]["kind"] - 1], str(r["_p"]["value"]))
-        return self.finish(r)
+        return self._summed(scored, r)
+
+    def _checked(self, scored: DataFrame, problem: Column) -> dict:
+        """Row count, first problem and the terms' sizes."""
+        r = scored.agg(F.count(F.lit(1)).alias("_n"), problem.alias("_p"), *[F.max(F.abs(c)).alias(k) for k, c in self.terms().items()]).first().asDict()
+        if not r["_n"]:
+            raise DataError("Empty", self.name)
+        return r
+
+    def _summed(self, scored: DataFrame, r: dict) -> float:
+        got = order_free_sums(scored, self.terms(), known=(r["_n"], {k: float(r[k] or 0) for k in self.terms()}))[None]
+        return self.finish({k: float("inf") if v is None else float(v) if k != "_n" else v for k, v in got.items()})
 
     def by(self, scored: DataFrame, *keys: str) -> DataFrame:
         """Partials of each group, for scores by fold or candidate in one pass."""
-        return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(k) for k, c in self.partials().items()])
+        return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(k) for k, c in self.terms().items()])
 
     def better(self, a: float, b: float) -> bool:
         return a < b if self.minimize else a > b
@@ -92,13 +102,11 @@ def _squares(weighted: bool) -> Column:
 
 
 def rmse() -> Metric:
-    return Metric("rmse", True, lambda: {"s": F.sum(_squares(False))}, lambda r: math.sqrt(r["s"] / r["_n"]))
+    return Metric("rmse", True, lambda: {"s": _squares(False)}, lambda r: math.sqrt(r["s"] / r["_n"]))
 
 
 def weighted_rmse() -> Metric:
-    return Metric("weighted-rmse", True, lambda: {"s": F.sum(_squares(True)), "w": F.sum(F.col("weight").cast("double"))}, lambda r: math.sqrt(_ratio(r, "s", "w")), weighted=True)
-
-
+    return Metric("weighted-rmse", True, lambda: {"s": _squares(True), "w": F.col("weight").cast("double")}, lambda r: math.sqrt(_ratio(r, "s", "w")), weighted=True)
 
 
 @dataclass(frozen=True)
@@ -107,23 +115,21 @@ class Accuracy(Metric):
 
     def evaluate(self, scored: DataFrame) -> float:
         bad = F.min(F.when(_unfit(F.col("weight").cast("double")), 5).when(F.col("weight") < 0, 6)) if self.weighted else F.lit(None).cast("int")
-        r = scored.agg(F.count(F.lit(1)).alias("_n"), F.max(bad).alias("_p") if not self.weighted else bad.alias("_p"), *[c.alias(k) for k, c in self.partials().items()]).first().asDict()
-        if not r["_n"]:
-            raise DataError("Empty", self.name)
+        r = self._checked(scored, F.max(bad) if not self.weighted else bad)
         if r["_p"]:
             raise DataError(KINDS[r["_p"] - 1])
-        return self.finish(r)
+        return self._summed(scored, r)
 
 
 def accuracy(same: Callable[[Column, Column], Column] | None = None, policy: str = "equals") -> Metric:
     right = lambda: F.coalesce((same or (lambda a, b: a == b))(F.col("truth"), F.col("prediction")), F.lit(False))
-    return Accuracy(f"accuracy:{policy}", False, lambda: {"s": F.count_if(right())}, lambda r: r["s"] / r["_n"], squares=False)
+    return Accuracy(f"accuracy:{policy}", False, lambda: {"s": right().cast("int")}, lambda r: r["s"] / r["_n"], squares=False)
 
 
 def weighted_accuracy(same: Callable[[Column, Column], Column] | None = None, policy: str = "equals") -> Metric:
     right = lambda: F.coalesce((same or (lambda a, b: a == b))(F.col("truth"), F.col("prediction")), F.lit(False))
     w = F.col("weight").cast("double")
-    return Accuracy(f"weighted-accuracy:{policy}", False, lambda: {"s": F.sum(F.when(right(), w).otherwise(0.0)), "w": F.sum(w)}, lambda r: _ratio(r, "s", "w"), weighted=True, squares=False)
+    return Accuracy(f"weighted-accuracy:{policy}", False, lambda: {"s": F.when(right(), w).otherwise(0.0), "w": w}, lambda r: _ratio(r, "s", "w"), weighted=True, squares=False)
 
 
 def exact_parts(df: DataFrame, value: Column) -> DataFrame:

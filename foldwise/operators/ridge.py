@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.exact import near, order_free_sums
 from foldwise.operators.coordinates import check_schema, coordinate, problems
 from foldwise.operators.stages import Learner, Stage, checked
 from foldwise.sources.rows import DataError, Rows
@@ -87,35 +89,66 @@ def weight_of(rows: Rows, weighted: bool) -> Column:
     return F.col(rows.weight).cast("double") if weighted else F.lit(1.0)
 
 
-def centre(rows: Rows, weighted: bool) -> tuple[np.ndarray, float]:
-    """Weighted means of features and target, with the first bad row found on the way: weight, then target, then coordinates."""
+@dataclass(frozen=True)
+class Centre:
+    """Round numbers near the means of features and target, that are taken off before anything is multiplied; the row count and the sizes of what remains."""
+
+    x: np.ndarray
+    y: float
+    n: int
+    off: np.ndarray
+    y_off: float
+    weight: float
+
+
+def centre(rows: Rows, weighted: bool) -> Centre:
+    """Where to take the sums, with the first bad row found on the way: weight, then target, then coordinates."""
     check_schema(rows.df, rows.features)
     w, y = weight_of(rows, weighted), F.col(rows.target).cast("double")
     unfit = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     code = F.when(unfit(w), "NonFiniteWeight").when(w < 0, "NegativeWeight").when(unfit(y), "NonFiniteTarget").otherwise(problems(rows)["code"])
     bad = F.min(F.when(code.isNotNull(), F.struct(F.col(rows.row_id).alias("row"), code.alias("code"))))
-    r = rows.df.agg(F.count(F.lit(1)).alias("n"), bad.alias("bad"), F.sum(w).alias("w"), F.sum(w * y).alias("y"), *[F.sum(w * coordinate(rows.df, f)).alias(f"x{i}") for i, f in enumerate(rows.features)]).first()
+    columns = [*(coordinate(rows.df, f) for f in rows.features), y]
+    aggs = [a(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, a in (("m", F.avg), ("l", F.min), ("h", F.max))]
+    r = rows.df.agg(F.count(F.lit(1)).alias("n"), bad.alias("bad"), F.max(w).alias("w"), *aggs).first()
     if not r["n"]:
         raise DataError("EmptyData")
     if r["bad"]:
         raise DataError(r["bad"]["code"], f"row {r['bad']['row']}")
     if r["w"] <= 0:
         raise DataError("ZeroTotalWeight")
-    return np.array([r[f"x{i}"] for i in range(len(rows.features))]) / r["w"], r["y"] / r["w"]
+    at = [near(r[f"m{i}"], r[f"l{i}"], r[f"h{i}"]) for i in range(len(columns))]
+    off = [max(abs(r[f"l{i}"] - c), abs(r[f"h{i}"] - c)) for i, c in enumerate(at)]
+    return Centre(np.array(at[:-1], dtype=float), at[-1], r["n"], np.array(off[:-1], dtype=float), off[-1], float(r["w"]))
+
 
+def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None) -> dict:
+    """The Gram sums about the weighted means, of all rows under None, or of each value of the column `by`, in one aggregate.
 
-def grams(rows: Rows, weighted: bool, at: tuple[np.ndarray, float], by: str | None = None) -> dict:
-    """The Gram sums about `at`, of all rows under None, or of each value of the column `by`, in one aggregate."""
+    They don't depend on the order of the rows. With `by`, all groups are taken about the same point, so that they add up.
+    """
     w, d = weight_of(rows, weighted), len(rows.features)
-    x = [coordinate(rows.df, f) - F.lit(float(m)) for f, m in zip(rows.features, at[0])]
-    y = F.col(rows.target).cast("double") - F.lit(float(at[1]))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("y"), F.sum(w * y * y).alias("yy")]
-    aggs += [F.sum(w * c).alias(f"x{i}") for i, c in enumerate(x)] + [F.sum(w * c * y).alias(f"y{i}") for i, c in enumerate(x)]
-    aggs += [F.sum(w * x[i] * x[j]).alias(f"x{i}_{j}") for i in range(d) for j in range(i, d)]
+    x = [coordinate(rows.df, f) - F.lit(float(m)) for f, m in zip(rows.features, at.x)]
+    y = F.col(rows.target).cast("double") - F.lit(float(at.y))
+    off = [*at.off.tolist(), at.y_off]
+    both = [*x, y]
+    terms, size = {"w": w}, {"w": at.weight}
+    for i in range(d + 1):
+        terms[f"{i}"], size[f"{i}"] = w * both[i], at.weight * off[i]
+        for j in range(i, d + 1):
+            terms[f"{i},{j}"], size[f"{i},{j}"] = w * both[i] * both[j], at.weight * off[i] * off[j]
+    found = order_free_sums(rows.df, terms, by, (at.n, size))
+    if any(v is None for got in found.values() for v in got.values()):
+        raise DataError("NonFiniteSolution")
+    total = sum(got["w"] for got in found.values())
+    means = [sum(got[f"{i}"] for got in found.values()) / total for i in range(d + 1)] if total else [Fraction(0)] * (d + 1)
     out = {}
-    for r in (rows.df.groupBy(by) if by else rows.df.groupBy()).agg(*aggs).collect():
-        xx = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-        out[r[by] if by else None] = Gram(r["w"], np.array([r[f"x{i}"] for i in range(d)]), r["y"], xx, np.array([r[f"y{i}"] for i in range(d)]), r["yy"], at[0], at[1], r["n"])
+    for group, got in found.items():
+        one = [got[f"{i}"] - m * got["w"] for i, m in enumerate(means)]
+        two = [[got[f"{min(i, j)},{max(i, j)}"] - means[i] * got[f"{j}"] - means[j] * got[f"{i}"] + means[i] * means[j] * got["w"] for j in range(d + 1)] for i in range(d + 1)]
+        xx = np.array([[float(two[i][j]) for j in range(d)] for i in range(d)]).reshape(d, d)
+        away = np.array([float(Fraction(float(c)) + m) for c, m in zip(at.x, means)])
+        out[group] = Gram(float(got["w"]), np.array([float(v) for v in one[:d]]), float(one[d]), xx, np.array([float(two[i][d]) for i in range(d)]), float(two[d][d]), away, float(Fraction(float(at.y)) + means[d]), got["_n"])
     return out
 
 
@@ -197,7 +230,8 @@ def lsqr(a: np.ndarray, b: np.ndarray, tolerance: float, most: int) -> tuple[np.
 
 def qr_solve(rows: Rows, config: Config, weighted: bool) -> tuple[np.ndarray, float, Receipt]:
     """Augmented QR without squaring the data: each task reduces its rows to a triangle, tasks' triangles are reduced again in a second stage, the last few on the driver."""
-    mean, ym = centre(rows, weighted)
+    gram = grams(rows, weighted, centre(rows, weighted))[None]
+    mean, ym = gram.centre, gram.y_centre
     if not config.intercept:
         mean, ym = np.zeros(len(mean)), 0.0
     d = len(mean)
@@ -227,7 +261,10 @@ def evidence(rows: Rows, coefficients: np.ndarray, intercept: float, penalty: fl
     for f, b in zip(rows.features, coefficients):
         r = r + coordinate(rows.df, f) * F.lit(float(b))
     r = r - y
-    got = rows.df.agg(F.sum(w * r * r).alias("s"), *[F.sum(w * coordinate(rows.df, f) * r).alias(f"g{i}") for i, f in enumerate(rows.features)]).first()
+    got = order_free_sums(rows.df, {"s": w * r * r} | {f"g{i}": w * coordinate(rows.df, f) * r for i, f in enumerate(rows.features)})[None]
+    if any(v is None for v in got.values()):
+        raise DataError("NonFiniteSolution")
+    got = {k: float(v) for k, v in got.items()}
     g = np.array([got[f"g{i}"] for i in range(len(rows.features))]) + penalty * np.asarray(coefficients)
     return float(got["s"] + penalty * float(np.dot(coefficients, coefficients))), float(np.linalg.norm(g))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.exact import near, order_free_sums
 from foldwise.operators.coordinates import check_schema, coordinate, problems
 from foldwise.operators.stages import Stage, Transform, checked
 from foldwise.sources.rows import DataError, Rows
@@ -26,21 +28,29 @@ class Moments:
 
 
 def moments(rows: Rows) -> Moments:
-    """All moments in one aggregate, with the first bad row found on the way."""
+    """All moments in two aggregates, with the first bad row found on the way; they don't depend on the order of the rows."""
     check_schema(rows.df, rows.features)
     x = [coordinate(rows.df, f) for f in rows.features]
-    aggs = [a(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, a in (("m", F.avg), ("v", F.var_pop), ("l", F.min), ("h", F.max))]
+    aggs = [a(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, a in (("m", F.avg), ("l", F.min), ("h", F.max))]
     bad = F.min(F.when(problems(rows).isNotNull(), F.struct(F.col(rows.row_id).alias("row"), problems(rows).alias("p"))))
     r = rows.df.agg(F.count(F.lit(1)).alias("n"), bad.alias("bad"), *aggs).first()
     if not r["n"]:
         raise DataError("EmptyData")
     if r["bad"]:
         raise DataError(r["bad"]["p"]["code"], f"row {r['bad']['row']}, {r['bad']['p']['name']}")
-    out = {k: tuple(r[f"{k}{i}"] for i in range(len(x))) for k in "mvlh"}
-    for name, m, v in zip(rows.features, out["m"], out["v"]):
-        if not (math.isfinite(m) and math.isfinite(v)):
+    low, high = (tuple(r[f"{k}{i}"] for i in range(len(x))) for k in "lh")
+    at = [near(r[f"m{i}"], l, h) for i, (l, h) in enumerate(zip(low, high))]
+    off = [max(abs(l - c), abs(h - c)) for c, l, h in zip(at, low, high)]
+    terms = {f"{k}{i}": (c - F.lit(at[i])) if k == "s" else (c - F.lit(at[i])) * (c - F.lit(at[i])) for i, c in enumerate(x) for k in "sq"}
+    got = order_free_sums(rows.df, terms, known=(r["n"], {f"{k}{i}": o if k == "s" else o * o for i, o in enumerate(off) for k in "sq"}))[None]
+    mean, variance = [], []
+    for i, name in enumerate(rows.features):
+        s, q = got[f"s{i}"], got[f"q{i}"]
+        if s is None or q is None:
             raise DataError("NonFiniteMoment", name)
-    return Moments(r["n"], out["m"], out["v"], out["l"], out["h"], rows.features)
+        mean.append(float(Fraction(at[i]) + s / r["n"]))
+        variance.append(max(0.0, float(q / r["n"] - (s / r["n"]) ** 2)))
+    return Moments(r["n"], tuple(mean), tuple(variance), low, high, rows.features)
 
 
 def inverse_deviations(m: Moments, constant: str = "emit-zero") -> tuple[float, ...]:

@@ -163,6 +163,11 @@ def crossfit_then_scale(s, d):
     return encoders.scale_in_folds(plan, encoded, "o_orderpriority", "encoded").df.select("o_orderkey", F.round("encoded", 6).alias("encoded"))
 
 
+def crossfit_then_scale_only(s, d):
+    plan, encoded = _cross_fit_rows(s, d)
+    return encoders.then_in_folds(plan, encoded, "o_orderpriority", "encoded", scalers.ScaleOnlyScaler(), 0).df.select("o_orderkey", F.round("encoded", 6).alias("encoded"))
+
+
 def fold_encoder_serving(s, d):
     rows = order_features(s, d)
     stage = encoders.serving_state(rows, "o_orderpriority", "encoded")
@@ -197,6 +202,7 @@ QUERIES = {
     "exact_sum": exact_sum,
     "crossfit_target_mean": crossfit_target_mean,
     "crossfit_then_scale": crossfit_then_scale,
+    "crossfit_then_scale_only": crossfit_then_scale_only,
     "fold_encoder_serving": fold_encoder_serving,
 }
 
@@ -256,6 +262,7 @@ SELECT o_orderkey, CASE WHEN v <= 32767 AND floor(v) = v THEN v END AS value, CA
     "exact_sum": "SELECT round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE), 6) AS value FROM lineitem",
     "crossfit_target_mean": f"WITH {_FOLDS} SELECT o_orderkey, f.fold, round(v, 4) AS encoded FROM f JOIN e ON f.fold = e.fold AND f.c = e.c",
     "crossfit_then_scale": f"WITH {_FOLDS}, u AS (SELECT fold, sum(n * v) / sum(n) AS m, sum(n * v * v) / sum(n) AS q FROM e GROUP BY fold), g AS (SELECT e.fold, any_value(m) AS m, sqrt(sum(n * (v - m) * (v - m)) / sum(n)) AS d FROM e JOIN u ON e.fold = u.fold GROUP BY e.fold) SELECT o_orderkey, round((v - m) / d, 6) AS encoded FROM f JOIN e ON f.fold = e.fold AND f.c = e.c JOIN g ON f.fold = g.fold",
+    "crossfit_then_scale_only": f"WITH {_FOLDS}, u AS (SELECT fold, sum(n * v) / sum(n) AS m, sum(n * v * v) / sum(n) AS q FROM e GROUP BY fold), g AS (SELECT e.fold, any_value(m) AS m, sqrt(sum(n * (v - m) * (v - m)) / sum(n)) AS d FROM e JOIN u ON e.fold = u.fold GROUP BY e.fold) SELECT o_orderkey, round(v / d, 6) AS encoded FROM f JOIN e ON f.fold = e.fold AND f.c = e.c JOIN g ON f.fold = g.fold",
     "fold_encoder_serving": f"WITH {ORDER_FEATURES}, m AS (SELECT o_orderpriority AS c, avg(y) AS v FROM f GROUP BY 1) SELECT t.c AS o_orderpriority, round(coalesce(m.v, (SELECT avg(y) FROM f)), 4) AS encoded FROM (VALUES ('1-URGENT'), ('5-LOW'), ('none of these'), (NULL)) t(c) LEFT JOIN m ON t.c = m.c",
 }
 
