@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Shortest token that the models judge, and the length from which on letters or digits alone will do and MARGIN holds.
 LEAST_TOKEN, LONG_TOKEN = 12, 20
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}")
+#: Words and numbers that are ordinary; texts at a time.
+PLAIN, DOCS = re.compile(r"[A-Za-z]{8,}(?:[_-][A-Za-z]+)*|[0-9]{8,}"), 200
 LETTER, DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 #: Classes of characters: one for each of these, one for any other, one for both ends.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -85,60 +87,90 @@ def generated_samples(seed: int = SEED) -> pd.DataFrame:
     return pd.DataFrame({"string": rows + numbers, "label": [1] * len(rows) + [0] * len(numbers)})
 
 
-def labelled_samples(df: DataFrame, text: str, seed: int = SEED) -> DataFrame:
-    """Labelled strings (string, label) of all texts, besides generated ones.
+def sample_strings(texts: list[str | None]) -> tuple[list[str], list[int]]:
+    """Strings of the texts and their labels.
 
     Label 1: what the base patterns caught. Label 0: long words and numbers elsewhere, as they
     are, in upper and lower case, and as identifiers made of two neighbours. Null texts give none.
     """
-    rows = df.select(F.col(text).alias("text"))
+    strings, labels = [], []
+    for t in texts:
+        if not t:
+            continue
+        spans = base_spans(t)
+        strings += [t[s:e] if k else ASSIGN.match(t, s).group(2) for s, k, e in spans]
+        labels += [1] * len(spans)
+        caught = [t[s:e] for s, _, e in spans]
+        plain = [w for w in PLAIN.findall(t) if not any(w in x for x in caught)]
+        named = [x for a, b in pairwise(plain) for x in (f"{a}_{b}".lower(), a.lower() + b.capitalize(), f"{a}/{b}".lower(), f"{a}-{b}".lower())]
+        strings += [x for w in plain for x in (w, w.lower(), w.upper())] + named
+        labels += [0] * (len(strings) - len(labels))
+    return strings, labels
+
+
+def labelled_samples(df: DataFrame, text: str, seed: int = SEED) -> DataFrame:
+    """`sample_strings` (string, label) of all texts, besides generated ones."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strings, labels = [], []
-            for t in batch.column(0).to_pylist():
-                if not t:
-                    continue
-                spans = base_spans(t)
-                for s, k, e in spans:
-                    value = t[s:e] if k else ASSIGN.match(t, s).group(2)
-                    strings.append(value)
-                    labels.append(1)
-                plain = [w for w in re.findall(r"[A-Za-z]{8,}(?:[_-][A-Za-z]+)*", t) if not any(w in t[s:e] for s, _, e in spans)]
-                plain += [w for w in re.findall(r"[0-9]{8,}", t) if not any(w in t[s:e] for s, _, e in spans)]
-                named = [x for a, b in pairwise(plain) for x in (f"{a}_{b}".lower(), a.lower() + b.capitalize(), f"{a}/{b}".lower(), f"{a}-{b}".lower())]
-                strings += [x for w in plain for x in (w, w.lower(), w.upper())] + named
-                labels += [0] * (len(strings) - len(labels))
-            yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(labels, pa.int32())], names=["string", "label"])
+            for lo in range(0, len(batch), DOCS):
+                strings, labels = sample_strings(batch.column(0).slice(lo, DOCS).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.string()), pa.array(labels, pa.int32())], names=["string", "label"])
 
     made = df.sparkSession.createDataFrame(generated_samples(seed), "string string, label int")
-    return rows.mapInArrow(gather, "string string, label int").unionByName(made)
+    return df.select(F.col(text).alias("text")).mapInArrow(gather, "string string, label int").unionByName(made)
+
+
+def transition_counts(strings: list[str], labels: list[int]) -> np.ndarray:
+    """How often each label's strings have each transition."""
+    total = np.zeros((2, STATES * STATES), dtype=np.int64)
+    for k in (0, 1):
+        if some := [s for s, label in zip(strings, labels) if label == k]:
+            total[k] += np.bincount(transitions(some)[0], minlength=STATES * STATES)
+    return total
+
+
+def _ratios(counted: DataFrame, more: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios from the tasks' counts (label, pair, n); the driver gets at most 2 * STATES**2 sums."""
+    counts = SMOOTHING + more.astype(float)
+    for r in counted.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["label"], r["pair"]] += r["n"]
+    counts = counts.reshape(2, STATES, STATES)
+    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    return (logs[1] - logs[0]).reshape(-1)
+
+
+def _as_batch(total: np.ndarray) -> pa.RecordBatch:
+    k, pair = np.nonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(pair, pa.int64()), pa.array(total[k, pair])], names=["label", "pair", "n"])
 
 
 def train(samples: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio, random against ordinary, of each transition, from (string, label).
+    """Log-likelihood ratio, random against ordinary, of each transition, from (string, label). Without samples of a label its model is uniform."""
 
-    Tasks count transitions; the driver gets at most 2 * STATES**2 counts, whatever the samples' size. Without samples of a
-    label its model is uniform.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, STATES * STATES), dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 50_000):
+                total += transition_counts(*(c.slice(lo, 50_000).to_pylist() for c in batch.columns[:2]))
+        yield _as_batch(total)
+
+    some = samples.where("string is not null and label is not null").select("string", "label")
+    return _ratios(some.mapInArrow(count, "label int, pair long, n long"), np.zeros((2, STATES * STATES)))
+
+
+def learn(df: DataFrame, text: str, seed: int = SEED) -> np.ndarray:
+    """As `train(labelled_samples(df, text))`, but tasks count as they gather, so that they hold the strings of a few texts only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, STATES * STATES), dtype=np.int64)
         for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
-            strings = np.array(batch.column(0).to_pylist(), dtype=object)
-            for k in (0, 1):
-                some = strings[label == k].tolist()
-                if some:
-                    total[k] += np.bincount(transitions(some)[0], minlength=STATES * STATES)
-        k, pair = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(pair, pa.int64()), pa.array(total[k, pair])], names=["label", "pair", "n"])
-
-    counts = np.full((2, STATES, STATES), SMOOTHING)
-    for r in samples.where("string is not null and label is not null").mapInArrow(count, "label int, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
-        counts[r["label"], r["pair"] // STATES, r["pair"] % STATES] += r["n"]
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
-    return (logs[1] - logs[0]).reshape(-1)
+            for lo in range(0, len(batch), DOCS):
+                total += transition_counts(*sample_strings(batch.column(0).slice(lo, DOCS).to_pylist()))
+        yield _as_batch(total)
+
+    made = generated_samples(seed)
+    return _ratios(df.select(F.col(text).alias("text")).mapInArrow(count, "label int, pair long, n long"), transition_counts(made["string"].tolist(), made["label"].tolist()))
 
 
 def markov_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], ratios: np.ndarray, margin: float = MARGIN) -> list[list[tuple[int, int, int]]]:
@@ -211,7 +243,7 @@ def redact(df: DataFrame, text: str, ratios: np.ndarray, mask: str = "[SECRET]",
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, "doc_id", "text", train(labelled_samples(docs, "text")))
+    return scan(docs, "doc_id", "text", learn(docs, "text"))
 
 
 QUERIES = {"op10_markov_secrets": op10_markov_secrets}
