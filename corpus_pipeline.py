@@ -64,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows. Null texts and all other columns stay as they are; no row goes."""
-    clean = secrets.redact(docs, "text", secrets.train(secrets.labelled_samples(docs, "text")))
+    clean = secrets.redact(docs, "text", secrets.learn(docs, "text"))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
