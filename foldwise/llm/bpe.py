@@ -22,8 +22,8 @@ from foldwise.llm.common import chunks, table
 #: The byte-level pre-tokenizer's published pattern; \s without the four separators U+001C to U+001F, which it doesn't count as space. Fixed value.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Characters of text in one round, pieces that a task remembers at most.
-ROUND_CHARS, MOST_PIECES = 2 << 20, 400_000
+#: Characters of text in one round, texts at a time, pieces that a task remembers at most.
+ROUND_CHARS, DOCS, MOST_PIECES = 1 << 20, 500, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -161,7 +161,7 @@ def _coded(df: DataFrame, key: str, text: str, tokenizer: str, with_ids: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(spec)
-        for batch in batches:
+        for batch in (whole.slice(at, DOCS) for whole in batches for at in range(0, len(whole), DOCS)):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for lo, hi in chunks(np.array([len(t) for t in texts], dtype=np.int64), ROUND_CHARS):
                 ids = bpe.encode_batch(texts[lo:hi])

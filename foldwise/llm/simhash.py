@@ -23,8 +23,8 @@ from foldwise.llm.graph import connected_components, forests
 from foldwise.operators.state import checkpoint, skew_join
 
 BITS, LIMIT, SHINGLE, SEED = 64, 3, 3, 42
-#: Children of a node, fingerprints of a hot group in one block, rows that a task indexes at once, pairs that it holds at once.
-FANOUT, BLOCK, ROWS, PAIRS = 8, 1024, 65_536, 4_000_000
+#: Children of a node, fingerprints of a hot group in one block, rows that a task indexes at once, pairs that it holds at once; texts at a time.
+FANOUT, BLOCK, ROWS, PAIRS, DOCS = 8, 1024, 65_536, 4_000_000, 500
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -45,7 +45,7 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, h, fp): the fingerprint of every whole text, as a signed long, and the text's hash; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, DOCS) for whole in batches for at in range(0, len(whole), DOCS)):
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=[key, "h", "fp"])
 
