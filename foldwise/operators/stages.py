@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from foldwise.functions.hashing import GAMMA, finalize, fnv1a, hex16
 from foldwise.sources.rows import DataError, Rows
@@ -35,7 +37,20 @@ class Audit:
 
     @property
     def digest(self) -> str:
-        return hex16(fnv1a(repr((self.plan, self.seed, self.data, self.details)).encode()))
+        return hex16(fnv1a(json.dumps([self.plan, self.seed, self.data, self.details], sort_keys=True).encode()))
+
+
+def plain(value):
+    """A record in values that come back from JSON unchanged; what has no such form becomes a string."""
+    if is_dataclass(value):
+        return {f.name: plain(getattr(value, f.name)) for f in fields(value)}
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if hasattr(value, "tolist"):
+        return plain(value.tolist())
+    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
 
 def child_seed(seed: int, plan_hash: int, ordinal: int) -> int:
@@ -133,9 +148,15 @@ class Fitted:
             df = s.apply(df)
         return df
 
-    def predict(self, rows: Rows) -> DataFrame:
-        """(row id, prediction) of all rows; a row with a bad feature fails the whole job if it is asked to `check`."""
-        return self.apply(rows.df).select(rows.row_id, "prediction")
+    def predict(self, rows: Rows, check: bool = True) -> DataFrame:
+        """(row id, prediction) of all rows. A job that reads predictions fails at one that is null or isn't finite; without `check` it comes out as it is."""
+        out, p = self.apply(rows.df), F.col("prediction")
+        if check:
+            number = isinstance(out.schema["prediction"].dataType, (DoubleType, FloatType))
+            bad = p.isNull() | (F.isnan(p) | (F.abs(p) == float("inf"))) if number else p.isNull()
+            name = F.coalesce(F.col(rows.row_id).cast("string"), F.lit("null"))
+            p = F.when(bad, F.raise_error(F.concat(F.lit("NonFinitePrediction: row "), name))).otherwise(p)
+        return out.select(rows.row_id, p.alias("prediction"))
 
 
 class Blueprint:
@@ -187,7 +208,7 @@ class Blueprint:
             except DataError as e:
                 raise StageError((i,), e) from e
             stages.append(stage)
-            details.append({"stage": part.name, "ordinal": i, "seed": own, **stage.record()})
+            details.append(plain({"stage": part.name, "ordinal": i, "seed": own, **stage.record()}))
         return Fitted(tuple(stages), Audit(audit.plan, seed, audit.data, tuple(details)))
 
 

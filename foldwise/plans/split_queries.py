@@ -17,8 +17,8 @@ def _roles(split):
     return split.assigned.df.select("o_orderkey", F.col("_role").alias("role"))
 
 
-def _role_sql(v: str, t: str) -> str:
-    return f"""WITH {rank_sql("orders", "o_orderkey", "o_orderkey", "r", "orders", SEED)},
+def _role_sql(v: str, t: str, seed: int = SEED) -> str:
+    return f"""WITH {rank_sql("orders", "o_orderkey", "o_orderkey", "r", "orders", seed)},
 p AS (SELECT o_orderkey, row_number() OVER (ORDER BY rank, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM r)
 SELECT o_orderkey, CASE WHEN pos < {v} THEN 'validation' WHEN pos < {v} + {t} THEN 'test' ELSE 'train' END AS role FROM p"""
 
@@ -73,9 +73,10 @@ def restore_examples_check(spark, sf_dir):
 
 
 def evaluation_overlap(spark, sf_dir):
-    split = splits.holdout(orders(spark, sf_dir), 3, SEED)
-    leaked = split.test.df.select("o_orderkey").unionByName(read(spark, sf_dir, "orders").where("o_orderkey <= 20").select("o_orderkey"))
-    return overlap(split.train.df, leaked, "o_orderkey").distinct()
+    """Training rows of one split in its own hold-out (none) and in one that was drawn with another seed."""
+    split, other = (splits.holdout(orders(spark, sf_dir), Fraction(1, 5), seed) for seed in (SEED, SEED + 1))
+    held_out = split.test.df.select("o_orderkey").unionByName(other.test.df.select("o_orderkey"))
+    return overlap(split.train.df, held_out, "o_orderkey").distinct()
 
 
 def partition_fingerprint(spark, sf_dir):
@@ -147,7 +148,7 @@ ORACLE = {
     "restore_examples_check": """WITH p AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 13 = 0),
 c AS (SELECT o_orderkey, count(*) AS b FROM p GROUP BY o_orderkey)
 SELECT code, count(*) AS n FROM (SELECT CASE WHEN b > 1 THEN 'DuplicatePreparedRow' WHEN a.o_orderkey IS NULL THEN 'UnknownPreparedRow' WHEN b IS NULL THEN 'MissingPreparedRow' END AS code FROM orders a FULL JOIN c ON a.o_orderkey = c.o_orderkey) WHERE code IS NOT NULL GROUP BY code""",
-    "evaluation_overlap": f"SELECT o_orderkey FROM ({_role_sql('0', '3')}) WHERE role = 'train' AND o_orderkey <= 20",
+    "evaluation_overlap": f"SELECT o_orderkey FROM ({_role_sql('0', '(n // 5)')}) a JOIN ({_role_sql('0', '(n // 5)', SEED + 1)}) b USING (o_orderkey) WHERE a.role = 'train' AND b.role = 'test'",
     "bound_assignment": "SELECT CAST(o_custkey % 4 AS INTEGER) AS fold, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY o_custkey % 4",
     "source_pairs": "SELECT CAST(i AS BIGINT) AS row_id, CAST(a AS DOUBLE) AS area, CAST(b AS DOUBLE) AS age, CAST(y AS DOUBLE) AS target FROM (VALUES (0, 60, 40, 210), (1, 75, 25, 265), (2, 90, 15, 315)) t(i, a, b, y)",
     "source_numbered": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey DESC) - 1 AS row_id FROM customer",

@@ -52,7 +52,7 @@ def decode_stage(given: dict) -> Stage:
 def encode(fitted: Fitted) -> bytes:
     """A chain as canonical JSON with its digest; floats come back bit by bit."""
     a = fitted.audit
-    body = {"magic": MAGIC, "audit": {"plan": a.plan, "seed": a.seed, "data": a.data, "details": [{k: v for k, v in d.items() if isinstance(v, (int, str))} for d in a.details]}, "stages": [encode_stage(s) for s in fitted.stages]}
+    body = {"magic": MAGIC, "audit": {"plan": a.plan, "seed": a.seed, "data": a.data, "details": a.details}, "stages": [encode_stage(s) for s in fitted.stages]}
     text = json.dumps(body, sort_keys=True, separators=(",", ":"))
     return json.dumps({"body": body, "sha256": hashlib.sha256(text.encode()).hexdigest()}, sort_keys=True, separators=(",", ":")).encode()
 

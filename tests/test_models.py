@@ -191,7 +191,8 @@ def test_artifacts(spark):
     f = b.fit(points(spark), 0)
     data = artifacts.encode(f)
     back = artifacts.decode(data)
-    assert artifacts.encode(back) == data
+    assert artifacts.encode(back) == data and back.audit.digest == f.audit.digest and back.audit.details == f.audit.details
+    assert f.audit.details[0]["mean"] == pytest.approx([0.8, 0.2])
     assert back.predict(points(spark)).orderBy("row_id").collect() == f.predict(points(spark)).orderBy("row_id").collect()
     for bad, code in ((b"x", "Malformed"), (data.replace(b"0.1", b"0.2", 1), "WrongDigest"), (data + b"x", "Malformed")):
         with pytest.raises(DataError, match=code):
@@ -207,3 +208,13 @@ def test_guards(spark):
     assert got == [None, "NonFiniteInput:x", "NonFiniteOutput:x"]
     model = ridge.Model(("x",), (1.0,), 0.0)
     assert [r["error"] for r in model.guarded(stage.guarded(df)).orderBy("row_id").collect()][1:] == got[1:]
+
+
+def test_predictions_fail_fast(spark):
+    f = Blueprint().learn(ridge.Ridge(ridge.Config(0.1))).fit(points(spark), 0)
+    bad = points(spark, [((0, 0), 1), ((float("nan"), 0), 3)])
+    with pytest.raises(Exception, match="NonFinitePrediction: row 1"):
+        f.predict(bad).collect()
+    got = [r["prediction"] for r in f.predict(bad, check=False).orderBy("row_id").collect()]
+    assert math.isfinite(got[0]) and math.isnan(got[1])
+    assert f.predict(points(spark)).collect() == f.predict(points(spark), check=False).collect()
