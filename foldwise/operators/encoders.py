@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.resampling import Plan, k_fold
@@ -140,9 +140,10 @@ def scale_in_folds(plan: Plan, encoded: Rows, category: str, output: str) -> Row
     cells = plan.rows.df.groupBy(F.col(category).alias("_category"), F.col("fold").alias("_fold")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
     folds = F.array(*[F.lit(f) for f in range(plan.folds)])
     analysis = cells.select("_category", F.explode(F.array_remove(folds, F.col("_fold"))).alias("_fold"), "s", "n").groupBy("_category", "_fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("v", F.col("s") / F.col("n"))
-    mean = F.sum("s").over(Window.partitionBy("_fold")) / F.sum("n").over(Window.partitionBy("_fold"))
-    spread = analysis.withColumn("m", mean).groupBy("_fold").agg(F.first("m").alias("m"), F.sqrt(F.sum(F.col("n") * (F.col("v") - F.col("m")) ** 2) / F.sum("n")).alias("d")).collect()
-    m = F.create_map(*[F.lit(x) for r in spread for x in (r["_fold"], r["m"])])
+    analysis = checkpoint(analysis)
+    means = analysis.groupBy("_fold").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # one row a fold
+    m = F.create_map(*[F.lit(x) for r in means for x in (r["_fold"], r["m"])])
+    spread = analysis.groupBy("_fold").agg(F.sqrt(F.sum(F.col("n") * (F.col("v") - F.element_at(m, F.col("_fold"))) ** 2) / F.sum("n")).alias("d")).collect()
     d = F.create_map(*[F.lit(x) for r in spread for x in (r["_fold"], 1 / r["d"] if r["d"] else 0.0)])
     return encoded.with_df(encoded.df.withColumn(output, (F.col(output) - F.element_at(m, F.col("fold"))) * F.element_at(d, F.col("fold"))))
 
