@@ -430,6 +430,37 @@ def test_embeddings(spark, monkeypatch, block, bucket):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, scale", [("float", 1.0), ("double", 1e200)])
+def test_embeddings_recall_planted_pairs(spark, monkeypatch, kind, scale):
+    monkeypatch.setattr(embeddings, "BUCKET", 64)
+    monkeypatch.setattr(embeddings, "BLOCK", 96)
+    rng = np.random.default_rng(8)
+    base = embeddings.unit(rng.normal(size=(2400, 64)))
+    cosine = rng.uniform(0.94, 0.99, size=(600, 1))
+    other = rng.normal(size=(600, 64))
+    other = embeddings.unit(other - (other * base[:600]).sum(axis=1, keepdims=True) * base[:600])
+    x = (np.vstack([base, cosine * base[:600] + np.sqrt(1 - cosine**2) * other]) * scale).astype(kind)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").repartition(5)
+    u = embeddings.unit(x.astype(np.float64))
+    near = u @ u.T >= 0.95
+    want = near.sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    links = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 600 and (links <= want).all() and links.sum() >= 0.99 * want.sum()
+
+
+def test_embedding_codes_are_small_and_near():
+    rng = np.random.default_rng(9)
+    x = embeddings.unit(rng.normal(size=(500, 64)))
+    code, rounded, factor, step = embeddings.codes(x)
+    z = x @ embeddings.rotation(64, 0)
+    assert code.shape == (500, 8) and rounded.dtype == np.int8 and np.abs(rounded * step[:, None] - z).max() <= step.max() * 0.51
+    sign = np.where(np.unpackbits(code, axis=1) > 0, 1, -1) / 8
+    assert np.allclose((sign * z).sum(axis=1), factor, atol=1e-6)
+    pairs = list(embeddings.estimated(code, rounded, factor, step))
+    assert sum(len(a) for a, _ in pairs) < 0.001 * 500 * 499 / 2
+
+
 def test_embedding_estimates_are_unbiased():
     rng = np.random.default_rng(6)
     a = embeddings.unit(rng.normal(size=(4000, 64)))
