@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from foldwise.operators import resampling, splits
-from foldwise.plans.tables import LINES, finalize_sql, identity, lines, order_features, orders, rank_sql, read
+from foldwise.plans.tables import LINES, WORD, finalize_sql, identity, lines, order_features, orders, rank_sql, read, signed_sql
 from foldwise.sources.rows import duplicate_ids, from_pairs, ids_fingerprint, numbered, overlap, restore_check, unsplit
 
 SEED = 42
@@ -46,6 +46,12 @@ def grouped_kfold_suppliers(spark, sf_dir):
     return resampling.grouped_k_fold(lines(spark, sf_dir), 10, SEED).rows.df.select("row_id", "l_suppkey", "fold")
 
 
+def grouped_kfold_unique(spark, sf_dir):
+    """Every group is a single row."""
+    rows = unsplit(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("alone")), "o_orderkey", identity("orders"), group="alone")
+    return resampling.grouped_k_fold(rows, 10, SEED).rows.df.select("o_orderkey", "fold")
+
+
 def _grouped_sql(source: str, row_id: str, group: str, table: str, k: int, with_sql: str = "") -> str:
     """The greedy packing as a recursion over the groups in their order; the state is the list of fold sizes."""
     best = "list_position(s.sizes, list_min(s.sizes))"
@@ -117,6 +123,7 @@ QUERIES = {
     "kfold_analysis_sizes": lambda s, d: resampling.k_fold(orders(s, d), 5, SEED).analysis(2).df.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("ids")),
     "grouped_kfold": grouped_kfold,
     "grouped_kfold_suppliers": grouped_kfold_suppliers,
+    "grouped_kfold_unique": grouped_kfold_unique,
     "rolling_origin_folds": rolling_origin_folds,
     "rolling_origin_assessment": rolling_origin_assessment,
     "group_labels": group_labels,
@@ -130,6 +137,22 @@ QUERIES = {
     "batch_totals": batch_totals,
 }
 
+#: Fixed values of XXH64.
+XXH64 = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxhash64_sql(x: str, source: str) -> str:
+    """CTEs that end in `hashed`: h, the signed XXH64 (seed 42) of the eight bytes of the long `x` of every row of `source`."""
+    p1, p2, p3, p4, p5 = XXH64
+    times = lambda v, p: f"CAST(({v})::UHUGEINT * {p}::UHUGEINT % {WORD} AS UBIGINT)"
+    turned = lambda v, n: f"CAST(({v}::UHUGEINT * {1 << n}::UHUGEINT) % {WORD} + ({v} >> {64 - n}) AS UBIGINT)"
+    start = f"{42 + p5 + 8}::UBIGINT"
+    return f"""x1 AS (SELECT {times(f"CAST({x} AS UBIGINT)", p2)} AS h FROM {source}), x2 AS (SELECT {turned("h", 31)} AS h FROM x1), x3 AS (SELECT xor({start}, {times("h", p1)}) AS h FROM x2),
+x4 AS (SELECT {turned("h", 27)} AS h FROM x3), x5 AS (SELECT CAST(({times("h", p1)}::UHUGEINT + {p4}::UHUGEINT) % {WORD} AS UBIGINT) AS h FROM x4),
+x6 AS (SELECT {times("xor(h, h >> 33)", p2)} AS h FROM x5), x7 AS (SELECT {times("xor(h, h >> 29)", p3)} AS h FROM x6), x8 AS (SELECT xor(h, h >> 32) AS h FROM x7),
+hashed AS (SELECT {signed_sql("h")} AS h FROM x8)"""
+
+
 _FOLD = finalize_sql("orders", f"xor(CAST(o_orderkey AS UBIGINT), {SEED}::UBIGINT)", "o_orderkey", "r")
 ORACLE = {
     "split_holdout_rows": _role_sql("0", "300"),
@@ -141,6 +164,8 @@ ORACLE = {
     "kfold_analysis_sizes": f"WITH {_FOLD} SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS fold FROM r) WHERE fold <> 2",
     "grouped_kfold": _grouped_sql("orders", "o_orderkey", "o_custkey", "orders", 5),
     "grouped_kfold_suppliers": _grouped_sql("l", "row_id", "l_suppkey", "lineitem", 10, LINES + ","),
+    "grouped_kfold_unique": f"WITH {rank_sql('orders', 'o_orderkey', 'o_orderkey', 'r', 'orders', SEED)} SELECT o_orderkey, CAST((row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 10 AS INTEGER) AS fold FROM r",
+    "partition_fingerprint": f"WITH {_xxhash64_sql('o_orderkey', 'orders')} SELECT 'summary' AS policy, concat(count(*), ':', bit_xor(h), ':', sum(CAST(h AS HUGEINT))::HUGEINT) AS digest FROM hashed",
     "rolling_origin_folds": "SELECT CAST(i AS INTEGER) AS fold, CAST(0 AS BIGINT) AS analysis_from, CAST(500 + i * 100 AS BIGINT) AS start, CAST(least(700 + i * 100, n) AS BIGINT) AS \"end\" FROM (SELECT count(*) AS n FROM events), range(0, 1000000) t(i) WHERE 500 + i * 100 < n",
     "rolling_origin_assessment": "WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events) SELECT event_id, CAST(i AS INTEGER) AS fold FROM p, range(0, 100000) t(i) WHERE pos >= 500 + i * 100 AND pos < 700 + i * 100",
     "group_labels": 'SELECT g AS "group", row_number() OVER (ORDER BY first) - 1 AS label FROM (SELECT o_custkey AS g, min(o_orderkey) AS first FROM orders GROUP BY o_custkey)',
