@@ -7,14 +7,15 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from foldwise.functions.hashing import GAMMA, fnv1a
 from foldwise.operators import metrics, ridge, scalers
 from foldwise.operators.encoders import CrossFitted
 from foldwise.operators.resampling import k_fold
-from foldwise.operators.stages import Blueprint, Mapped
+from foldwise.operators.stages import Blueprint, Mapped, child_seed
 from foldwise.plans import search
 from foldwise.plans.experiment import Experiment, phase_seed
 from foldwise.plans.model_queries import ridge_sql
-from foldwise.plans.tables import LINES, ORDER_FEATURES, finalize_sql, lines, order_features, rank_sql, read
+from foldwise.plans.tables import LINES, ORDER_FEATURES, WORD, finalize_sql, lines, order_features, rank_sql, read
 from foldwise.sources import artifacts
 from foldwise.sources.rows import Role
 from foldwise.streaming.scoring import score_folder
@@ -78,10 +79,14 @@ def study_select(s, d):
     return s.createDataFrame([(best.candidate, best.objective, len(trials))], "candidate int, objective double, n int")
 
 
+#: Encoder and learner of `crossfit_pipeline`.
+_ENCODER, _RIDGE = CrossFitted("o_orderpriority", "encoded", 5), ridge.Ridge(ridge.Config(1.0))
+
+
 def crossfit_pipeline(s, d):
     """A cross-fitted encoder in a blueprint: the fitted model's predictions for all rows."""
     rows = order_features(s, d)
-    b = Blueprint().via(Mapped("per-line", {"per_line": F.col("quantity") / F.col("lines")})).via(CrossFitted("o_orderpriority", "encoded", 5)).learn(ridge.Ridge(ridge.Config(1.0)))
+    b = Blueprint().via(Mapped("per-line", {"per_line": F.col("quantity") / F.col("lines")})).via(_ENCODER).learn(_RIDGE)
     f = b.fit(rows.with_df(rows.df, role=Role.TRAIN), SEED)
     return f.apply(rows.df).select("o_orderkey", F.round("prediction", 3).alias("prediction"))
 
@@ -174,7 +179,32 @@ _LINE = LINES + ", h AS (SELECT row_id, CAST(l_quantity AS DOUBLE) AS x1, CAST(l
 _CV = _cv_sql("h", "row_id", "y", 5, PENALTIES, _LINE)
 _STREAM = finalize_sql("i", "CAST((CAST(91 AS UHUGEINT) + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)", "i", "r").replace("CASE WHEN xor(h, h >> 31) >= 9223372036854775808::UBIGINT THEN CAST(CAST(xor(h, h >> 31) AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(xor(h, h >> 31) AS BIGINT) END", "xor(h, h >> 31)")
 
+
+
+def _audit_sql() -> str:
+    """The stages of a candidate's fit, each with the finalizer of phase seed, plan and ordinal."""
+    state = phase_seed(SEED, _PLAN, "candidate-fit") ^ fnv1a("\x1f".join(_PLAN).encode())
+    stages = ", ".join(f"({i}, '{name}')" for i, name in enumerate(_PLAN))
+    h = f"xor({state}::UBIGINT, CAST((i + 1)::UHUGEINT * {GAMMA}::UHUGEINT % {WORD} AS UBIGINT))"
+    return f"""WITH a AS (SELECT i, stage FROM (VALUES {stages}) t(i, stage)), {finalize_sql("a", h, "i, stage", "r")}
+SELECT CAST(i AS INTEGER) AS ordinal, stage, CAST(CASE WHEN rank < 0 THEN CAST(rank AS HUGEINT) + 18446744073709551616::HUGEINT ELSE CAST(rank AS HUGEINT) END AS VARCHAR) AS seed FROM r"""
+
+
+def _crossfit_sql(plan: tuple[str, ...]) -> str:
+    """Out-of-fold means by priority and the quantity a line, a ridge on both, served with the means of all rows; `plan` gives the encoder's seed."""
+    seed = child_seed(SEED, fnv1a("\x1f".join(plan).encode()), 1)
+    return f"""WITH {ORDER_FEATURES}, g AS (SELECT o_orderkey, y, o_orderpriority AS c, x1 / x2 AS p FROM f),
+{finalize_sql("g", f"xor(CAST(o_orderkey AS UBIGINT), {seed}::UBIGINT)", "o_orderkey, y, c, p", "r")},
+h AS (SELECT *, (row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS fold FROM r),
+e AS (SELECT t.fold, c, avg(y) AS v FROM h, range(0, 5) t(fold) WHERE h.fold <> t.fold GROUP BY t.fold, c),
+k AS (SELECT h.o_orderkey, h.y, p AS x1, v AS x2 FROM h JOIN e ON h.fold = e.fold AND h.c = e.c), {ridge_sql("k", "x1", "x2", "y", "1.0", 1.0)},
+w AS (SELECT c, avg(y) AS v FROM g GROUP BY c)
+SELECT o_orderkey, round(b0 + p * b1 + w.v * b2, 3) AS prediction FROM g JOIN w ON g.c = w.c, ridge"""
+
+
 ORACLE = {
+    "audit_trail": _audit_sql(),
+    "crossfit_pipeline": _crossfit_sql(("map:per-line@1", _ENCODER.name, _RIDGE.name)),
     "experiment_validation": _experiment_sql("(n // 5)", "0", "'train'", "validation"),
     "experiment_validation_score": f"WITH {_fit_sql('(n // 5)', '0', chr(39) + 'train' + chr(39))} SELECT count(*) AS n, round(sqrt(avg((y - b0 - z1 * b1 - z2 * b2) ** 2)), 4) AS score FROM z, ridge WHERE role = 'validation'",
     "experiment_tvt": _experiment_sql("(n // 5)", "(n // 10)", "'train', 'validation'", "test"),
