@@ -517,3 +517,25 @@ def test_near_windows_link(spark, monkeypatch, block):
     got = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got} == set(range(30)) and {r["component_id"] for r in got} == {0}
     assert sum(not r["removed"] for r in got) == 1
+
+
+def test_recall_of_planted_passages(spark):
+    """Pairs of texts that share one passage, exact or with changed words, end to end; nothing else links."""
+    rnd, rows, kinds = random.Random(3), [], {}
+    own = lambda: [f"o{rnd.random()}" for _ in range(rnd.randint(20, 80))]
+    cases = [(30, 0), (40, 0), (51, 0), (100, 0), (60, 1), (100, 2)]
+    for case in cases:
+        for _ in range(100):
+            passage = [f"p{rnd.random()}" for _ in range(case[0])]
+            changed = list(passage)
+            for at in rnd.sample(range(case[0]), case[1]):
+                changed[at] = f"c{rnd.random()}"
+            kinds[len(rows)] = case
+            rows += [(len(rows) + k, " ".join(own() + words + own())) for k, words in enumerate((passage, changed))]
+    got = {}
+    for r in substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        assert r["component_id"] == r["doc_id"] - r["doc_id"] % 2 and r["removed"] == (r["doc_id"] % 2 == 1)
+        got.setdefault(r["component_id"], []).append(r["n_words"])
+    found = Counter(kinds[i] for i in got)
+    print({c: found[c] for c in cases})
+    assert found[(51, 0)] == found[(100, 0)] == 100 and found[(100, 2)] >= 90 and found[(60, 1)] >= 60 and found[(40, 0)] >= 70
