@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,17 @@ def chunks(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, one after another, and their len + 1 bounds; nothing is copied."""
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.zeros(0, dtype=np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)
+    return raw[ends[0] : ends[-1]], ends - ends[0]
+
+
 def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component label, the smallest member, of each of n vertices under the edges (a[i], b[i])."""
     label = np.arange(n, dtype=np.int64)
