@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 
 #: Modules that define QUERIES and, where SQL can express the query, ORACLE.
-MODULES = ("sharding", "bpe", "quality_rules", "mixing", "secrets", "toxicity", "simhash", "embeddings", "quality_classifier", "substrings", "infilling", "spelling")
+MODULES = ("sharding", "bpe", "quality_rules", "mixing", "secrets", "toxicity", "simhash", "embeddings", "quality_classifier", "substrings", "infilling", "spelling", "pitman_yor")
 
 
 def queries() -> dict:
