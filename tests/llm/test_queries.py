@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from foldwise.llm.common import min_labels
 
 def test_names():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -25,11 +26,13 @@ def test_oracle(spark, sf, name):
     want, got = con.sql(registry.oracle_sql()[name]).df(), registry.queries()[name](spark, sf).toPandas()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
-    rows = lambda df: Counter(map(repr, df[columns].astype(object).values.tolist()))
+    # whole numbers beside nulls are floats in one frame and integers in the other
+    value = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x.is_integer() else x
+    rows = lambda df: Counter(repr([value(x) for x in r]) for r in df[columns].astype(object).values.tolist())
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name, source, key", [("op1_rotation_codes", "embeddings", "vec_id"), ("op8_co_training", "documents", "doc_id"), ("op9_subset_sum_mix", "documents", "doc_id")])
+@pytest.mark.parametrize("name, source, key", [("op13_pitman_yor", "documents", "doc_id"), ("op1_rotation_codes", "embeddings", "vec_id"), ("op8_co_training", "documents", "doc_id"), ("op9_subset_sum_mix", "documents", "doc_id")])
 def test_one_row_each(spark, sf, name, source, key):
     """One row for each row of the table, none missing or repeated, and no null verdict."""
     got = registry.queries()[name](spark, sf).toPandas()
