@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.functions.hashing import fnv1a, hex16
+from foldwise.functions.hashing import fnv1a, framed, hex16
 from foldwise.sources.rows import DataError, Rows
 
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType)
@@ -92,3 +95,90 @@ def check_dense(df: DataFrame, name: str, size: int) -> DataFrame:
     v = F.col(name)
     code = F.when(v.isNull(), "Missing").when(F.size(v) != size, "DimensionMismatch").when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "NonFinite")
     return df.select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass(frozen=True)
+class FeatureSchema:
+    """The names of a vector's coordinates in order: some, not blank, each once. The digest identifies them."""
+
+    names: tuple[str, ...]
+
+    def __post_init__(self) -> None:
+        if not self.names:
+            raise DataError("NoFeatures")
+        if len(set(self.names)) != len(self.names) or any(not n.strip() for n in self.names):
+            raise DataError("InvalidFeatureNames", ", ".join(self.names[:5]))
+
+    @property
+    def digest(self) -> str:
+        return hex16(fnv1a(b"".join(map(framed, ("feature-schema-v1", *self.names)))))
+
+
+@dataclass(frozen=True)
+class View:
+    """The coordinates that a fit reads from each row: named numeric columns, or one vector column with a schema."""
+
+    names: tuple[str, ...]
+    column: str | None = None
+
+    @classmethod
+    def vector(cls, df: DataFrame, column: str, schema: FeatureSchema | None = None, size: int | None = None) -> View:
+        """A vector column as coordinates; without a schema they are called by their places."""
+        kind = df.schema[column].dataType
+        if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, NUMERIC)):
+            raise DataError("UnsupportedFeatureType", f"{column}: {kind.simpleString()}")
+        if schema is None:
+            if not size or size < 1:
+                raise DataError("NoFeatures")
+            schema = FeatureSchema(tuple(f"{column}[{i}]" for i in range(size)))
+        return cls(schema.names, column)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def descriptor(self, df: DataFrame) -> dict:
+        """Names, types and digest; `build` of these gives the frame's values back."""
+        if self.column is None:
+            return descriptor(df, self.names)
+        return {"column": self.column, "type": df.schema[self.column].dataType.simpleString(), "size": len(self), "digest": FeatureSchema(self.names).digest}
+
+    def check(self, df: DataFrame) -> None:
+        if self.column is None:
+            check_schema(df, self.names)
+        elif not isinstance(df.schema[self.column].dataType, T.ArrayType):
+            raise DataError("UnsupportedFeatureType", self.column)
+
+    def columns(self, df: DataFrame) -> list[Column]:
+        """What to select for `matrix`: doubles, or one array of doubles."""
+        if self.column is not None:
+            return [F.col(self.column).cast("array<double>").alias("_v")]
+        return [coordinate(df, f).alias(f"_v{i}") for i, f in enumerate(self.names)]
+
+    def matrix(self, batch: pa.RecordBatch, first: int) -> np.ndarray:
+        """The rows of an Arrow batch whose columns from `first` on are those of `columns`, written straight into one matrix."""
+        if self.column is not None:
+            return batch.column(first).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(self))
+        out = np.empty((len(batch), len(self)))
+        for i in range(len(self)):
+            out[:, i] = batch.column(first + i).to_numpy(zero_copy_only=False)
+        return out
+
+    def problem(self, rows: Rows) -> Column:
+        """The first bad coordinate as (index, name, code), or null; a vector that is missing or of another size comes first, at index -1."""
+        if self.column is None:
+            return problems(rows)
+        v = F.col(self.column)
+        bad = F.array_position(F.transform(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), True)
+        of = lambda i, name, code: F.struct(i.cast("int").alias("index"), name.alias("name"), F.lit(code).alias("code"))
+        whole = F.lit(self.column)
+        return F.when(v.isNull(), of(F.lit(-1), whole, "Missing")).when(F.size(v) != len(self), of(F.lit(-1), whole, "DimensionMismatch")).when(bad > 0, of(bad - 1, F.element_at(F.lit(list(self.names)), bad.cast("int")), "NonFinite"))
+
+
+def vectors(df: DataFrame, view: View, keep: tuple[str, ...] = (), name: str = "features") -> DataFrame:
+    """The columns `keep` and the view's coordinates as one array of doubles."""
+    return df.select(*keep, view.columns(df)[0].alias(name) if view.column else F.array(*view.columns(df)).alias(name))
+
+
+def named_columns(df: DataFrame, view: View) -> DataFrame:
+    """A vector column taken apart into a column for each of its coordinates: the inverse of `vectors`."""
+    return df.withColumns({n: F.get(F.col(view.column), i).cast("double") for i, n in enumerate(view.names)})

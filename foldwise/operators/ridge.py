@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from fractions import Fraction
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.exact import near, order_free_sums
-from foldwise.operators.coordinates import check_schema, coordinate, problems
+from foldwise.functions import tiles
+from foldwise.functions.exact import near
+from foldwise.operators.coordinates import View
+from foldwise.operators.scalers import vector_spread
 from foldwise.operators.stages import Learner, Stage, checked
+from foldwise.operators.tree import added, tree_fold
 from foldwise.sources.rows import DataError, Rows
 
+#: The solvers that come along: on d x d sums (cholesky, lsqr, cg), on triangles (qr), on the rows themselves (row-lsqr, row-cg).
 SOLVERS = ("cholesky", "qr", "lsqr", "cg")
+ROW_SOLVERS = ("row-lsqr", "row-cg")
 
 
 @dataclass(frozen=True)
@@ -32,10 +35,9 @@ class Config:
             raise DataError("InvalidPenalty", str(self.penalty))
         if not (math.isfinite(self.tolerance) and self.tolerance > 0):
             raise DataError("InvalidTolerance", str(self.tolerance))
-        if self.solver not in SOLVERS:
+        if self.solver not in BACKENDS:
             raise DataError("UnknownSolver", self.solver)
-        if self.solver == "cg" and self.penalty == 0:
-            raise DataError("PenaltyRequired", "cg")
+        BACKENDS[self.solver].check(self)
         if self.iterations < 1:
             raise DataError("InvalidIterations", str(self.iterations))
 
@@ -48,6 +50,8 @@ class Receipt:
     iterations: int
     termination: str
     residual: float
+    passes: int = 0
+    assumptions: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -101,14 +105,19 @@ class Centre:
     weight: float
 
 
-def centre(rows: Rows, weighted: bool) -> Centre:
+def view_of(rows: Rows, view: View | None) -> View:
+    return view or View(rows.features)
+
+
+def centre(rows: Rows, weighted: bool, view: View | None = None) -> Centre:
     """Where to take the sums, with the first bad row found on the way: weight, then target, then coordinates."""
-    check_schema(rows.df, rows.features)
+    view = view_of(rows, view)
+    view.check(rows.df)
     w, y = weight_of(rows, weighted), F.col(rows.target).cast("double")
     unfit = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    code = F.when(unfit(w), "NonFiniteWeight").when(w < 0, "NegativeWeight").when(unfit(y), "NonFiniteTarget").otherwise(problems(rows)["code"])
+    code = F.when(unfit(w), "NonFiniteWeight").when(w < 0, "NegativeWeight").when(unfit(y), "NonFiniteTarget").otherwise(view.problem(rows)["code"])
     bad = F.min(F.when(code.isNotNull(), F.struct(F.col(rows.row_id).alias("row"), code.alias("code"))))
-    columns = [*(coordinate(rows.df, f) for f in rows.features), y]
+    columns = [*([] if view.column else view.columns(rows.df)), y]
     aggs = [a(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, a in (("m", F.avg), ("l", F.min), ("h", F.max))]
     r = rows.df.agg(F.count(F.lit(1)).alias("n"), bad.alias("bad"), F.max(w).alias("w"), *aggs).first()
     if not r["n"]:
@@ -117,38 +126,69 @@ def centre(rows: Rows, weighted: bool) -> Centre:
         raise DataError(r["bad"]["code"], f"row {r['bad']['row']}")
     if r["w"] <= 0:
         raise DataError("ZeroTotalWeight")
-    at = [near(r[f"m{i}"], r[f"l{i}"], r[f"h{i}"]) for i in range(len(columns))]
-    off = [max(abs(r[f"l{i}"] - c), abs(r[f"h{i}"] - c)) for i, c in enumerate(at)]
+    seen = [(r[f"m{i}"], r[f"l{i}"], r[f"h{i}"]) for i in range(len(columns))]
+    if view.column:
+        got = vector_spread(rows.df, view)
+        seen = [*zip((got["sum"] / got["n"][0]).tolist(), got["low"].tolist(), got["high"].tolist()), *seen]
+    at = [near(*x) for x in seen]
+    off = [max(abs(low - c), abs(high - c)) for (_, low, high), c in zip(seen, at)]
     return Centre(np.array(at[:-1], dtype=float), at[-1], r["n"], np.array(off[:-1], dtype=float), off[-1], float(r["w"]))
 
 
-def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None) -> dict:
-    """The Gram sums about the weighted means, of all rows under None, or of each value of the column `by`, in one aggregate.
+#: Doubles of a matrix that a task multiplies at once.
+AT_ONCE = 1 << 22
+
+
+def _parts(batches, view: View, first: int):
+    """The batches as (batch, matrix of coordinates), in parts of bounded size."""
+    rows = max(1, AT_ONCE // max(1, len(view)))
+    for whole in batches:
+        for lo in range(0, len(whole), rows):
+            batch = whole.slice(lo, rows)
+            yield batch, view.matrix(batch, first)
+
 
-    They don't depend on the order of the rows. With `by`, all groups are taken about the same point, so that they add up.
+def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None, view: View | None = None) -> dict:
+    """The Gram sums about the weighted means, of all rows under None, or of each value of the column `by`, in one pass.
+
+    Tasks multiply blocks of rows in whole numbers (see `tiles`), so the sums don't depend on the order of the rows. With
+    `by`, all groups are taken about the same point, so that they add up. d x d numbers a group reach the driver.
     """
-    w, d = weight_of(rows, weighted), len(rows.features)
-    x = [coordinate(rows.df, f) - F.lit(float(m)) for f, m in zip(rows.features, at.x)]
-    y = F.col(rows.target).cast("double") - F.lit(float(at.y))
-    off = [*at.off.tolist(), at.y_off]
-    both = [*x, y]
-    terms, size = {"w": w}, {"w": at.weight}
-    for i in range(d + 1):
-        terms[f"{i}"], size[f"{i}"] = w * both[i], at.weight * off[i]
-        for j in range(i, d + 1):
-            terms[f"{i},{j}"], size[f"{i},{j}"] = w * both[i] * both[j], at.weight * off[i] * off[j]
-    found = order_free_sums(rows.df, terms, by, (at.n, size))
-    if any(v is None for got in found.values() for v in got.values()):
+    view, d = view_of(rows, view), len(at.x)
+    point, size = np.append(at.x, at.y), np.concatenate([at.off, [at.y_off, 1.0]])
+    if not np.isfinite(size).all():
+        raise DataError("NonFiniteSolution")
+    e = tiles.exponents(size)
+    left = e + (tiles.exponents(np.array([at.weight]))[0] if weighted else 0)
+    keys = int(by is not None)
+    frame = rows.df.select(*([F.col(by).alias("_by")] if keys else []), weight_of(rows, weighted).alias("_w"), F.col(rows.target).cast("double").alias("_y"), *view.columns(rows.df))
+
+    def step(batches):
+        held: dict = {}
+        for batch, x in _parts(batches, view, 2 + keys):
+            y, w = (batch.column(i + keys).to_numpy(zero_copy_only=False) for i in (1, 0))
+            z = np.column_stack([np.column_stack([x, y]) - point, np.ones(len(x))])
+            groups, of = [None], np.zeros(len(x), dtype=np.int64)
+            if keys:
+                groups = batch.column(0).unique().to_pylist()
+                of = np.array([groups.index(k) for k in groups])[batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)] if len(groups) > 1 else of
+            for i, k in enumerate(groups):
+                own = z if len(groups) == 1 else z[of == i]
+                state = tiles.products(own * (w if len(groups) == 1 else w[of == i])[:, None] if weighted else own, own, left, e) | {"n": np.array([len(own)])}
+                held[k] = added(held[k], state) if k in held else state
+        return held
+
+    found = {k: (tiles.total({n: v for n, v in s.items() if n != "n"}, left[:, None] + e[None, :], 2 * tiles.BITS), int(s["n"][0])) for k, s in tree_fold(frame, step).items()}
+    if not all(np.isfinite(g).all() for g, _ in found.values()):
         raise DataError("NonFiniteSolution")
-    total = sum(got["w"] for got in found.values())
-    means = [sum(got[f"{i}"] for got in found.values()) / total for i in range(d + 1)] if total else [Fraction(0)] * (d + 1)
+    total = sum(g[-1, -1] for g, _ in found.values())
+    mean = sum(g[:-1, -1] for g, _ in found.values()) / total if total else np.zeros(d + 1)
     out = {}
-    for group, got in found.items():
-        one = [got[f"{i}"] - m * got["w"] for i, m in enumerate(means)]
-        two = [[got[f"{min(i, j)},{max(i, j)}"] - means[i] * got[f"{j}"] - means[j] * got[f"{i}"] + means[i] * means[j] * got["w"] for j in range(d + 1)] for i in range(d + 1)]
-        xx = np.array([[float(two[i][j]) for j in range(d)] for i in range(d)]).reshape(d, d)
-        away = np.array([float(Fraction(float(c)) + m) for c, m in zip(at.x, means)])
-        out[group] = Gram(float(got["w"]), np.array([float(v) for v in one[:d]]), float(one[d]), xx, np.array([float(two[i][d]) for i in range(d)]), float(two[d][d]), away, float(Fraction(float(at.y)) + means[d]), got["_n"])
+    for k, (g, n) in found.items():
+        sw, s, two = g[-1, -1], g[:-1, -1], (g[:-1, :-1] + g[:-1, :-1].T) / 2
+        two = two - np.outer(mean, s) - np.outer(s, mean) + sw * np.outer(mean, mean)
+        one = s - mean * sw
+        out[k] = Gram(float(sw), one[:d], float(one[d]), two[:d, :d], two[:d, d], float(two[d, d]), point[:d] + mean[:d], float(point[d] + mean[d]), n)
     return out
 
 
@@ -166,14 +206,14 @@ def solve(gram: Gram, config: Config) -> tuple[np.ndarray, float, Receipt]:
                 raise DataError("NotPositiveDefinite") from None
             beta, how = np.linalg.lstsq(m, b, rcond=None)[0], "least-norm"
     elif config.solver == "cg":
-        beta, done, how = conjugate_gradients(m, b, config.tolerance, config.iterations)
+        beta, done, how = conjugate_gradients(lambda p: m @ p, b, config.tolerance, config.iterations)
     else:  # the same steps as on the data: a root of the Gram matrix stands for the rows
         values, vectors = np.linalg.eigh(a)
         s = np.sqrt(np.clip(values, 0, None))
         keep = s > (s.max() if len(s) else 0) * 1e-14
         rows = np.vstack([s[keep, None] * vectors.T[keep], math.sqrt(config.penalty) * np.eye(len(b))])
         right = np.concatenate([(vectors.T @ b)[keep] / s[keep], np.zeros(len(b))])
-        beta, done, how = lsqr(rows, right, config.tolerance, config.iterations)
+        beta, done, how = lsqr(Bidiagonal(rows, right), len(b), config.tolerance, config.iterations)
     return finished(beta, mean, ym, config, Receipt(config.solver, done, how, float(np.linalg.norm(m @ beta - b))))
 
 
@@ -184,13 +224,14 @@ def finished(beta: np.ndarray, mean: np.ndarray, ym: float, config: Config, rece
     return beta, intercept, receipt
 
 
-def conjugate_gradients(m: np.ndarray, b: np.ndarray, tolerance: float, most: int) -> tuple[np.ndarray, int, str]:
+def conjugate_gradients(times, b: np.ndarray, tolerance: float, most: int) -> tuple[np.ndarray, int, str]:
+    """`times`: the product of the matrix and a vector."""
     x, r = np.zeros(len(b)), b.copy()
     p, rr, least = r.copy(), r @ r, (tolerance * np.linalg.norm(b)) ** 2
     for i in range(most):
         if rr <= least:
             return x, i, "converged"
-        q = m @ p
+        q = times(p)
         step = rr / (p @ q)
         x, r = x + step * p, r - step * q
         new = r @ r
@@ -198,24 +239,63 @@ def conjugate_gradients(m: np.ndarray, b: np.ndarray, tolerance: float, most: in
     return x, most, "converged" if rr <= least else "iteration-limit"
 
 
-def lsqr(a: np.ndarray, b: np.ndarray, tolerance: float, most: int) -> tuple[np.ndarray, int, str]:
+class Bidiagonal:
+    """The steps of a Golub-Kahan bidiagonalisation of a matrix that is held whole."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.u = a, b
+
+    def start(self) -> tuple[float, np.ndarray]:
+        """The norm of the right side, and the product of the transpose with its direction."""
+        beta = float(np.linalg.norm(self.u))
+        self.u = self.u / beta if beta else self.u
+        return beta, self.a.T @ self.u
+
+    def step(self, v: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
+        """The next left direction's length, and the product of the transpose with it."""
+        u = self.a @ v - alpha * self.u
+        beta = float(np.linalg.norm(u))
+        self.u = u / beta if beta else u
+        return beta, self.a.T @ self.u
+
+
+class RowBidiagonal:
+    """The same over distributed rows, without a matrix: one pass over the rows a step.
+
+    A left direction has a number for each row. It isn't kept: it always is a combination of the coordinates and the target,
+    u = X c + t y, so that c and t stand for it and each pass works it out anew. The penalty's d rows are kept here.
+    """
+
+    def __init__(self, passed, d: int, penalty: float):
+        self.passed, self.c, self.t, self.rest, self.root = passed, np.zeros(d), 1.0, np.zeros(d), math.sqrt(penalty)
+
+    def _along(self, c: np.ndarray, t: float, rest: np.ndarray) -> tuple[float, np.ndarray]:
+        squares, g = self.passed(c, t)
+        beta = math.sqrt(max(0.0, squares + float(rest @ rest)))
+        k = 1 / beta if beta else 1.0
+        self.c, self.t, self.rest = c * k, t * k, rest * k
+        return beta, (g + self.root * rest) * k
+
+    def start(self) -> tuple[float, np.ndarray]:
+        return self._along(self.c, self.t, self.rest)
+
+    def step(self, v: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
+        return self._along(v - alpha * self.c, -alpha * self.t, self.root * v - alpha * self.rest)
+
+
+def lsqr(steps, d: int, tolerance: float, most: int) -> tuple[np.ndarray, int, str]:
     """Golub-Kahan bidiagonalisation least squares (Paige and Saunders, 1982); stops when the normal residual is small."""
-    x, beta = np.zeros(a.shape[1]), np.linalg.norm(b)
-    if beta == 0:
-        return x, 0, "converged"
-    u = b / beta
-    v = a.T @ u
-    alpha = np.linalg.norm(v)
-    if alpha == 0:
+    x = np.zeros(d)
+    beta, v = steps.start()
+    alpha = float(np.linalg.norm(v))
+    if beta == 0 or alpha == 0:
         return x, 0, "converged"
     v = v / alpha
     w, phi, rho, scale = v.copy(), beta, alpha, alpha * beta
     for i in range(1, most + 1):
-        u = a @ v - alpha * u
-        beta = np.linalg.norm(u)
-        u = u / beta if beta else u
-        v_next = a.T @ u - beta * v
-        alpha = np.linalg.norm(v_next)
+        beta, along = steps.step(v, alpha)
+        v_next = along - beta * v
+        alpha = float(np.linalg.norm(v_next))
         v = v_next / alpha if alpha else v_next
         turned = math.hypot(rho, beta)
         c, s = rho / turned, beta / turned
@@ -228,45 +308,168 @@ def lsqr(a: np.ndarray, b: np.ndarray, tolerance: float, most: int) -> tuple[np.
     return x, most, "iteration-limit"
 
 
-def qr_solve(rows: Rows, config: Config, weighted: bool) -> tuple[np.ndarray, float, Receipt]:
-    """Augmented QR without squaring the data: each task reduces its rows to a triangle, tasks' triangles are reduced again in a second stage, the last few on the driver."""
-    gram = grams(rows, weighted, centre(rows, weighted))[None]
-    mean, ym = gram.centre, gram.y_centre
-    if not config.intercept:
-        mean, ym = np.zeros(len(mean)), 0.0
-    d = len(mean)
-    names = [*rows.features, rows.target]
-    columns = [(coordinate(rows.df, f) - F.lit(float(m))) if f != rows.target else F.col(f).cast("double") - F.lit(float(ym)) for f, m in zip(names, [*mean, ym])]
-    data = rows.df.select(F.array(*[c * F.sqrt(weight_of(rows, weighted)) for c in columns]).alias("r"))
-
-    def triangle(batches):
-        held = np.zeros((0, d + 1))
-        for batch in batches:
-            held = np.linalg.qr(np.vstack([held, batch.column(0).flatten().to_numpy().reshape(-1, d + 1)]), mode="r")
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.list_(pa.float64()))], names=["r"])
-
-    first = data.mapInArrow(triangle, "r array<double>")
-    second = first.repartition(max(1, math.isqrt(first.rdd.getNumPartitions()))).mapInArrow(triangle, "r array<double>")
-    parts = [r["r"] for r in second.collect()]
-    r = np.vstack([np.array(parts).reshape(-1, d + 1), np.hstack([math.sqrt(config.penalty) * np.eye(d), np.zeros((d, 1))])])
-    q, t = np.linalg.qr(r[:, :d])
-    beta = np.linalg.lstsq(t, q.T @ r[:, d], rcond=None)[0]
-    return finished(beta, mean, ym, config, Receipt("qr", 1, "direct", float(np.linalg.norm(r[:, :d].T @ (r[:, :d] @ beta - r[:, d])))))
-
-
-def evidence(rows: Rows, coefficients: np.ndarray, intercept: float, penalty: float, weighted: bool) -> tuple[float, float]:
-    """The objective (weighted squares plus penalty) and the norm of its gradient, halved, by another scan of the data."""
-    w, y = weight_of(rows, weighted), F.col(rows.target).cast("double")
-    r = F.lit(float(intercept))
-    for f, b in zip(rows.features, coefficients):
-        r = r + coordinate(rows.df, f) * F.lit(float(b))
-    r = r - y
-    got = order_free_sums(rows.df, {"s": w * r * r} | {f"g{i}": w * coordinate(rows.df, f) * r for i, f in enumerate(rows.features)})[None]
-    if any(v is None for v in got.values()):
+class Problem:
+    """What a backend may ask of the rows: the Gram sums (one pass, kept), passes along a direction, a triangle. Bad rows are refused first."""
+
+    def __init__(self, rows: Rows, weighted: bool, intercept: bool, view: View | None = None):
+        self.rows, self.weighted, self.intercept, self.view = rows, weighted, intercept, view_of(rows, view)
+        self.at = centre(rows, weighted, self.view)
+        self.passes, self._gram = 0, None
+
+    @property
+    def d(self) -> int:
+        return len(self.at.x)
+
+    def gram(self) -> Gram:
+        if self._gram is None:
+            self.passes += 1
+            self._gram = grams(self.rows, self.weighted, self.at, None, self.view)[None]
+        return self._gram
+
+    def frame(self) -> DataFrame:
+        df = self.rows.df
+        return df.select(weight_of(self.rows, self.weighted).alias("_w"), F.col(self.rows.target).cast("double").alias("_y"), *self.view.columns(df))
+
+    def _fold(self, step, merge=added) -> dict:
+        view = self.view
+
+        def over(batches):
+            held = None
+            for batch, x in _parts(batches, view, 2):
+                y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 0))
+                state = step(x, y, w)
+                held = state if held is None else merge(held, state)
+            return {} if held is None else {None: held}
+
+        self.passes += 1
+        return tree_fold(self.frame(), over, merge)[None]
+
+    def means(self) -> tuple[np.ndarray, float]:
+        """The weighted means, or zeros without an intercept."""
+        if not self.intercept:
+            return np.zeros(self.d), 0.0
+        x0, y0 = self.at.x, self.at.y
+        got = self._fold(lambda x, y, w: {"w": np.array([w.sum()]), "s": np.append(w @ (x - x0), w @ (y - y0))})
+        mean = got["s"] / got["w"][0]
+        return x0 + mean[:-1], float(y0 + mean[-1])
+
+    def along(self, mean: np.ndarray, ym: float):
+        """The pass (c, t) -> (sum of w r r, sums of w x r) with r = x c + t y about the means: one tree of partial sums, whatever d is."""
+
+        def passed(c: np.ndarray, t: float) -> tuple[float, np.ndarray]:
+            def step(x, y, w):
+                x = x - mean
+                r = x @ c + t * (y - ym)
+                return {"s": np.array([w @ (r * r)]), "g": x.T @ (w * r)}
+
+            got = self._fold(step)
+            return float(got["s"][0]), got["g"]
+
+        return passed
+
+    def triangle(self, mean: np.ndarray, ym: float) -> np.ndarray:
+        """The triangle of the weighted, centred rows and target: each task reduces its rows, rounds of tasks the triangles."""
+        qr = lambda m: {"r": np.linalg.qr(m, mode="r")}
+        return self._fold(lambda x, y, w: qr(np.column_stack([x - mean, y - ym]) * np.sqrt(w)[:, None]), lambda a, b: qr(np.vstack([a["r"], b["r"]])))["r"]
+
+
+class Backend:
+    """A way to solve a problem. `assumptions` go to the receipt."""
+
+    name, assumptions = "backend", ()
+
+    def check(self, config: Config) -> None:
+        """Refuse settings that the backend can't work with."""
+
+    def solve(self, problem: Problem, config: Config) -> tuple[np.ndarray, float, Receipt]:
+        raise NotImplementedError
+
+
+class GramBackend(Backend):
+    """Solvers of the d x d normal equations; all of them share one pass."""
+
+    assumptions = ("d x d sums fit the driver",)
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def check(self, config: Config) -> None:
+        if self.name == "cg" and config.penalty == 0:
+            raise DataError("PenaltyRequired", self.name)
+
+    def solve(self, problem: Problem, config: Config) -> tuple[np.ndarray, float, Receipt]:
+        return solve(problem.gram(), config)
+
+
+class QRBackend(Backend):
+    """Augmented QR without squaring the data."""
+
+    name, assumptions = "qr", ("triangles of d + 1 columns fit a task",)
+
+    def solve(self, problem: Problem, config: Config) -> tuple[np.ndarray, float, Receipt]:
+        d, (mean, ym) = problem.d, problem.means()
+        r = np.vstack([problem.triangle(mean, ym), np.hstack([math.sqrt(config.penalty) * np.eye(d), np.zeros((d, 1))])])
+        q, t = np.linalg.qr(r[:, :d])
+        beta = np.linalg.lstsq(t, q.T @ r[:, d], rcond=None)[0]
+        return finished(beta, mean, ym, config, Receipt("qr", 1, "direct", float(np.linalg.norm(r[:, :d].T @ (r[:, :d] @ beta - r[:, d])))))
+
+
+class RowBackend(Backend):
+    """Matrix-free solvers: a pass over the rows an iteration, vectors of d numbers on the driver, centring implied."""
+
+    assumptions = ("vectors of d numbers fit the driver", "rows are read again each iteration")
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def check(self, config: Config) -> None:
+        if self.name == "row-cg" and config.penalty == 0:
+            raise DataError("PenaltyRequired", self.name)
+
+    def solve(self, problem: Problem, config: Config) -> tuple[np.ndarray, float, Receipt]:
+        mean, ym = problem.means()
+        passed = problem.along(mean, ym)
+        if self.name == "row-lsqr":
+            beta, done, how = lsqr(RowBidiagonal(passed, problem.d, config.penalty), problem.d, config.tolerance, config.iterations)
+        else:
+            right = passed(np.zeros(problem.d), 1.0)[1]
+            beta, done, how = conjugate_gradients(lambda p: passed(p, 0.0)[1] + config.penalty * p, right, config.tolerance, config.iterations)
+        gradient = passed(beta, -1.0)[1] + config.penalty * beta
+        return finished(beta, mean, ym, config, Receipt(self.name, done, how, float(np.linalg.norm(gradient))))
+
+
+#: Solvers by the name that a configuration gives; others can be added.
+BACKENDS: dict[str, Backend] = {b.name: b for b in (*map(GramBackend, ("cholesky", "lsqr", "cg")), QRBackend(), *map(RowBackend, ("row-lsqr", "row-cg")))}
+
+
+def register_backend(backend: Backend) -> None:
+    if backend.name in BACKENDS:
+        raise DataError("BackendExists", backend.name)
+    BACKENDS[backend.name] = backend
+
+
+def evidence(problem: Problem, coefficients: np.ndarray, intercept: float, penalty: float) -> tuple[float, float]:
+    """The objective (weighted squares plus penalty) and the norm of its gradient, halved.
+
+    They follow from the Gram sums where these are there and the squares haven't cancelled out, else from one more pass.
+    """
+    b, at = np.asarray(coefficients, dtype=float), problem._gram
+    extra = penalty * float(b @ b)
+    if at is not None and (squares := at.squares(b, intercept)) > 1e-6 * at.syy:
+        c = intercept + b @ at.centre - at.y_centre
+        off = b @ at.sx + c * at.sw - at.sy
+        return squares + extra, float(np.linalg.norm(at.sxx @ b + c * at.sx - at.sxy + at.centre * off + penalty * b))
+    mean, ym = problem.at.x, problem.at.y
+
+    def step(x, y, w):
+        x = x - mean
+        r = x @ b + (intercept + mean @ b - ym) - (y - ym)
+        return {"s": np.array([w @ (r * r), w @ r]), "g": x.T @ (w * r)}
+
+    got = problem._fold(step)
+    if not (np.isfinite(got["s"]).all() and np.isfinite(got["g"]).all()):
         raise DataError("NonFiniteSolution")
-    got = {k: float(v) for k, v in got.items()}
-    g = np.array([got[f"g{i}"] for i in range(len(rows.features))]) + penalty * np.asarray(coefficients)
-    return float(got["s"] + penalty * float(np.dot(coefficients, coefficients))), float(np.linalg.norm(g))
+    return float(got["s"][0]) + extra, float(np.linalg.norm(got["g"] + mean * got["s"][1] + penalty * b))
 
 
 @dataclass(frozen=True)
@@ -278,8 +481,12 @@ class Model(Stage):
     objective: float | None = None
     kkt: float | None = None
     name: str = "ridge"
+    column: str | None = None
 
     def prediction(self) -> Column:
+        if self.column:
+            parts = F.zip_with(F.col(self.column).cast("array<double>"), F.lit(list(self.coefficients)), lambda x, b: x * b)
+            return F.aggregate(parts, F.lit(self.intercept), lambda a, x: a + x)
         out = F.lit(self.intercept)
         for f, b in zip(self.features, self.coefficients):
             out = out + F.col(f).cast("double") * F.lit(b)
@@ -289,11 +496,14 @@ class Model(Stage):
         return df.withColumn("prediction", self.prediction())
 
     def guarded(self, df: DataFrame) -> DataFrame:
-        return checked(df, self.features, {"prediction": self.prediction()})
+        return checked(df, () if self.column else self.features, {"prediction": self.prediction()})
 
     def explained(self, df: DataFrame) -> DataFrame:
-        """Intercept, each feature's contribution, and the prediction that they add up to."""
-        parts = [(F.col(f).cast("double") * F.lit(b)).alias(f"from_{f}") for f, b in zip(self.features, self.coefficients)]
+        """Intercept, each feature's contribution (an array for a vector column), and the prediction that they add up to."""
+        if self.column:
+            parts = [F.zip_with(F.col(self.column).cast("array<double>"), F.lit(list(self.coefficients)), lambda x, b: x * b).alias("contributions")]
+        else:
+            parts = [(F.col(f).cast("double") * F.lit(b)).alias(f"from_{f}") for f, b in zip(self.features, self.coefficients)]
         return df.select("*", F.lit(self.intercept).alias("intercept"), *parts, self.prediction().alias("prediction"))
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -306,18 +516,26 @@ class Model(Stage):
 
 
 class Ridge(Learner):
-    """Ridge regression with uniform weights, or those of the rows' weight column."""
+    """Ridge regression with uniform weights, or those of the rows' weight column, on the feature columns or on the vector column of `view`."""
 
-    def __init__(self, config: Config, weighted: bool = False):
-        self.config, self.weighted = config, weighted
-        self.name = f"ridge:{config.solver}:{config.penalty!r}:{config.intercept}:{'weighted' if weighted else 'uniform'}"
+    def __init__(self, config: Config, weighted: bool = False, view: View | None = None):
+        self.config, self.weighted, self.view = config, weighted, view
+        self.name = f"ridge:{config.solver}:{config.penalty!r}:{config.intercept}:{'weighted' if weighted else 'uniform'}" + (f":{view.column}" if view and view.column else "")
 
     def fit(self, rows: Rows, seed: int = 0) -> Model:
-        rows.fitting()
-        if self.config.solver == "qr":
-            beta, intercept, receipt = qr_solve(rows, self.config, self.weighted)
-        else:
-            at = centre(rows, self.weighted)
-            beta, intercept, receipt = solve(grams(rows, self.weighted, at)[None], self.config)
-        objective, kkt = evidence(rows, beta, intercept, self.config.penalty, self.weighted)
-        return Model(rows.features, tuple(map(float, beta)), intercept, receipt, objective, kkt)
+        return fits(rows, [self.config], self.weighted, self.view)[0]
+
+
+def fits(rows: Rows, configs: list[Config], weighted: bool = False, view: View | None = None) -> list[Model]:
+    """A model for each configuration; those whose solvers work on the Gram sums share one pass over the rows."""
+    rows.fitting()
+    shared = {i: Problem(rows, weighted, i, view) for i in {c.intercept for c in configs}}
+    out = []
+    for config in configs:
+        problem, backend = shared[config.intercept], BACKENDS[config.solver]
+        before = problem.passes
+        beta, intercept, receipt = backend.solve(problem, config)
+        receipt = replace(receipt, passes=problem.passes - before, assumptions=tuple(backend.assumptions))
+        objective, kkt = evidence(problem, beta, intercept, config.penalty)
+        out.append(Model(problem.view.names, tuple(map(float, beta)), intercept, receipt, objective, kkt, column=problem.view.column))
+    return out

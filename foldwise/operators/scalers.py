@@ -6,12 +6,15 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.exact import near, order_free_sums
-from foldwise.operators.coordinates import check_schema, coordinate, problems
+from foldwise.functions import tiles
+from foldwise.operators.coordinates import View, check_schema, coordinate, problems
 from foldwise.operators.stages import Stage, Transform, checked
+from foldwise.operators.tree import added, tree_fold
 from foldwise.sources.rows import DataError, Rows
 
 
@@ -53,6 +56,54 @@ def moments(rows: Rows) -> Moments:
     return Moments(r["n"], tuple(mean), tuple(variance), low, high, rows.features)
 
 
+def vector_spread(df: DataFrame, view: View, extra: list[Column] = ()) -> dict[str, np.ndarray]:
+    """n, and sum, low and high of every coordinate of a view, then of the extra columns, in one pass."""
+    m, k = len(view), len(extra)
+
+    def step(batches):
+        state = {"n": np.zeros(1, dtype=np.int64), "sum": np.zeros(m + k), "low": np.full(m + k, np.inf), "high": np.full(m + k, -np.inf)}
+        for batch in batches:
+            if len(batch):
+                x = np.column_stack([view.matrix(batch, k), *[batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]])
+                state = {"n": state["n"] + len(x), "sum": state["sum"] + x.sum(axis=0), "low": np.minimum(state["low"], x.min(axis=0)), "high": np.maximum(state["high"], x.max(axis=0))}
+        return {None: state} if state["n"][0] else {}
+
+    merge = lambda a, b: {"n": a["n"] + b["n"], "sum": a["sum"] + b["sum"], "low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"])}
+    return tree_fold(df.select(*[c.cast("double").alias(f"_e{i}") for i, c in enumerate(extra)], *view.columns(df)), step, merge).get(None)
+
+
+def vector_problem(rows: Rows, view: View) -> None:
+    """Refuse the bad vector of the least row id."""
+    view.check(rows.df)
+    bad = rows.df.select(F.col(rows.row_id).alias("row"), view.problem(rows).alias("p")).where("p is not null").agg(F.min(F.struct("row", "p")).alias("m")).first()["m"]
+    if bad:
+        raise DataError(bad["p"]["code"], f"row {bad['row']}, {bad['p']['name']}")
+
+
+def vector_moments(rows: Rows, view: View) -> Moments:
+    """The moments of a vector column's coordinates, in three passes however many they are; they don't depend on the order of the rows."""
+    vector_problem(rows, view)
+    seen = vector_spread(rows.df, view)
+    if seen is None:
+        raise DataError("EmptyData")
+    n = int(seen["n"][0])
+    at = np.array([near(s / n, l, h) for s, l, h in zip(seen["sum"], seen["low"], seen["high"])])
+    e = tiles.exponents(np.maximum(np.abs(seen["low"] - at), np.abs(seen["high"] - at)))
+
+    def step(batches):
+        states = [tiles.squares(view.matrix(b, 0) - at, e) for b in batches if len(b)]
+        while len(states) > 1:
+            states = [*states[:-2], added(states[-2], states[-1])]
+        return {None: states[0]} if states else {}
+
+    state = tree_fold(rows.df.select(*view.columns(rows.df)), step)[None]
+    got = tiles.total(state, np.stack([e, 2 * e]), np.array([[tiles.BITS], [2 * tiles.BITS]]))
+    mean, variance = at + got[0] / n, np.maximum(0.0, got[1] / n - (got[0] / n) ** 2)
+    if not (np.isfinite(mean).all() and np.isfinite(variance).all()):
+        raise DataError("NonFiniteMoment", view.names[int(np.argmin(np.isfinite(mean + variance)))])
+    return Moments(n, *(tuple(map(float, x)) for x in (mean, variance, seen["low"], seen["high"])), view.names)
+
+
 def inverse_deviations(m: Moments, constant: str = "emit-zero") -> tuple[float, ...]:
     """1 / population deviation of each coordinate. A constant one (its least value is its greatest: merged variances of equal values need not be 0) gives 0.0, or an error under `reject`."""
     if constant not in ("emit-zero", "reject"):
@@ -96,15 +147,41 @@ class Scaled(Stage):
         return {"mean": self.mean, "inverse": self.inverse}
 
 
+@dataclass(frozen=True)
+class ScaledVector(Stage):
+    """A vector column scaled in place."""
+
+    column: str
+    mean: tuple[float, ...] | None
+    inverse: tuple[float, ...]
+    name: str = "scaled-vector"
+
+    def scaled(self) -> Column:
+        x = F.col(self.column).cast("array<double>")
+        x = x if self.mean is None else F.zip_with(x, F.lit(list(self.mean)), lambda v, m: v - m)
+        return F.zip_with(x, F.lit(list(self.inverse)), lambda v, s: v * s)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.column, self.scaled())
+
+    def record(self) -> dict:
+        return {"column": self.column, "mean": self.mean, "inverse": self.inverse}
+
+
 class StandardScaler(Transform):
-    """(x - mean) / population deviation."""
+    """(x - mean) / population deviation, of the feature columns or of the vector column of `view`."""
 
     centres, name = True, "standard-scaler"
 
-    def __init__(self, constant: str = "emit-zero"):
-        self.constant = constant
+    def __init__(self, constant: str = "emit-zero", view: View | None = None):
+        self.constant, self.view = constant, view
+        if view and view.column:
+            self.name = f"{self.name}:{view.column}"
 
-    def fit(self, rows: Rows, seed: int = 0) -> Scaled:
+    def fit(self, rows: Rows, seed: int = 0) -> Scaled | ScaledVector:
+        if self.view and self.view.column:
+            m = vector_moments(rows.fitting(), self.view)
+            return ScaledVector(self.view.column, m.mean if self.centres else None, inverse_deviations(m, self.constant))
         m = moments(rows.fitting())
         return Scaled(rows.features, m.mean if self.centres else None, inverse_deviations(m, self.constant))
 

@@ -7,7 +7,7 @@ import json
 import re
 
 from foldwise.operators.ridge import Model
-from foldwise.operators.scalers import Scaled
+from foldwise.operators.scalers import Scaled, ScaledVector
 from foldwise.operators.stages import Audit, Fitted, Stage
 from foldwise.sources.rows import DataError
 
@@ -24,7 +24,8 @@ def check_format(name: str, version: int) -> None:
 #: Stages that can be kept: name, version, what to write, how to read it.
 CODECS: dict[type, tuple[str, int, object, object]] = {
     Scaled: ("scaled", 1, lambda s: {"features": s.features, "mean": s.mean, "inverse": s.inverse}, lambda p: Scaled(tuple(p["features"]), None if p["mean"] is None else tuple(p["mean"]), tuple(p["inverse"]))),
-    Model: ("ridge", 1, lambda m: {"features": m.features, "coefficients": m.coefficients, "intercept": m.intercept}, lambda p: Model(tuple(p["features"]), tuple(p["coefficients"]), p["intercept"])),
+    Model: ("ridge", 1, lambda m: {"features": m.features, "coefficients": m.coefficients, "intercept": m.intercept, "column": m.column}, lambda p: Model(tuple(p["features"]), tuple(p["coefficients"]), p["intercept"], column=p.get("column"))),
+    ScaledVector: ("scaled-vector", 1, lambda s: {"column": s.column, "mean": s.mean, "inverse": s.inverse}, lambda p: ScaledVector(p["column"], None if p["mean"] is None else tuple(p["mean"]), tuple(p["inverse"]))),
 }
 
 
