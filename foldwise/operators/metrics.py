@@ -163,3 +163,8 @@ def exact_rmse(scored: DataFrame) -> float:
 
 def equivalent(a: float, b: float, absolute: float, relative: float) -> bool:
     return abs(a - b) <= max(absolute, relative * max(abs(a), abs(b)))
+
+
+def equivalent_columns(a: Column, b: Column, absolute: float, relative: float) -> Column:
+    """The same test of two columns of doubles."""
+    return F.abs(a - b) <= F.greatest(F.lit(absolute), F.lit(relative) * F.greatest(F.abs(a), F.abs(b)))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.operators import coordinates, encoders, metrics, ridge, scalers
+from foldwise.operators.coordinates import View
 from foldwise.operators.resampling import k_fold
-from foldwise.plans.tables import LINES, ORDER_FEATURES, finalize_sql, identity, lines, order_features, read
+from foldwise.operators.stages import Blueprint
+from foldwise.operators.state import written
+from foldwise.plans.tables import LINES, ORDER_FEATURES, finalize_sql, identity, lines, order_features, priced, read
 from foldwise.sources.rows import Role, unsplit
 
 SEED = 42
@@ -95,10 +98,80 @@ def _coefficients(s, d, weighted=False):
 
 def ridge_solvers(s, d):
     """Largest relative difference of each solver's coefficients from the first one's, as a verdict."""
-    rows = _train(lines(s, d))
-    base = np.array(ridge.Ridge(ridge.Config(PENALTY)).fit(rows).coefficients)
-    got = [(k, bool(np.abs(np.array(ridge.Ridge(ridge.Config(PENALTY, solver=k)).fit(rows).coefficients) / base - 1).max() < 2e-7)) for k in ridge.SOLVERS]
-    return s.createDataFrame(got, "solver string, agrees boolean")
+    rows = _train(priced(s, d))
+    models = ridge.fits(rows, [ridge.Config(PENALTY, solver=k) for k in ridge.SOLVERS])
+    return s.createDataFrame(_agreement(ridge.SOLVERS, models), "solver string, agrees boolean")
+
+
+def _agreement(solvers, models):
+    base = np.array(models[0].coefficients)
+    return [(k, bool(np.abs(np.array(m.coefficients) / base - 1).max() < 2e-7)) for k, m in zip(solvers, models)]
+
+
+#: Coordinates of the one-hot vector that `ridge_matrix_free` works on; few enough penalties to see them.
+HOT, HOT_PENALTY = 500, 5.0
+
+
+def ridge_matrix_free(s, d):
+    """Orders' prices by a one-hot vector of 500 groups of customers, solved over the rows: no 500 x 500 matrix is made."""
+    k = F.pmod("o_custkey", F.lit(HOT))
+    df = read(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.transform(F.sequence(F.lit(0), F.lit(HOT - 1)), lambda i: (i == k).cast("double")).alias("hot"))
+    df = written(df)
+    rows = unsplit(df, "o_orderkey", identity("orders"), target="price", role=Role.TRAIN)
+    view = View.vector(df, "hot", size=HOT)
+    models = ridge.fits(rows, [ridge.Config(HOT_PENALTY, solver=k, tolerance=1e-13) for k in ridge.ROW_SOLVERS], view=view)
+    got = [(k, i, round(float(v), 2)) for k, m in zip(ridge.ROW_SOLVERS, models) for i, v in enumerate((m.intercept, *m.coefficients), -1)]
+    return s.createDataFrame(got, "solver string, position int, value double")
+
+
+def _embedded(s, d, size=64):
+    df = read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, size).alias("embedding"), F.col("label").cast("double").alias("label"))
+    return unsplit(df, "vec_id", identity("embeddings"), target="label", role=Role.TRAIN), View.vector(df, "embedding", size=size)
+
+
+def dense_gram(s, d):
+    """Sums of products of all pairs of coordinates about their means."""
+    rows, view = _embedded(s, d)
+    g = ridge.Problem(rows, False, True, view).gram().centred(True)[0]
+    return s.createDataFrame([(i, j, round(float(g[i, j]), 6)) for i in range(len(g)) for j in range(i, len(g))], "i int, j int, value double")
+
+
+def dense_standardize(s, d):
+    rows, view = _embedded(s, d)
+    out = scalers.StandardScaler(view=view).fit(rows).apply(rows.df)
+    return out.select("vec_id", F.posexplode("embedding").alias("position", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+def dense_ridge(s, d):
+    """The first two coordinates, scaled as a vector, then a ridge regression on the vector; predictions of all rows."""
+    rows, view = _embedded(s, d, 2)
+    fitted = Blueprint().via(scalers.StandardScaler(view=view)).learn(ridge.Ridge(ridge.Config(PENALTY), view=view)).fit(rows, SEED)
+    return fitted.predict(rows).withColumn("prediction", F.round("prediction", 6) + 0.0)
+
+
+def dense_solvers(s, d):
+    """All six solvers on 64 coordinates; the Gram-based ones share a pass."""
+    rows, view = _embedded(s, d)
+    solvers = (*ridge.SOLVERS, *ridge.ROW_SOLVERS)
+    return s.createDataFrame(_agreement(solvers, ridge.fits(rows, [ridge.Config(PENALTY, solver=k, tolerance=1e-12) for k in solvers], view=view)), "solver string, agrees boolean")
+
+
+def view_descriptor(s, d):
+    """Names and types of a view by position, as its descriptor has them, and whether taking a vector apart and together again gives the same vectors."""
+    rows, view = _embedded(s, d, 3)
+    apart = coordinates.named_columns(rows.df, view)
+    again = coordinates.vectors(apart, View(view.names), ("vec_id",))
+    same = again.join(rows.df, "vec_id").agg(F.bool_and(F.col("features") == F.col("embedding").cast("array<double>"))).first()[0]
+    fields = View(view.names).descriptor(apart)["fields"]
+    return s.createDataFrame([(i, n, kind, same) for i, (n, kind) in enumerate(fields)], "position int, name string, kind string, same boolean")
+
+
+def prices_equivalent(s, d):
+    """Orders whose price is within a tolerance of their lines' prices less discount, with tax."""
+    lines_ = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("double")).alias("sum"))
+    df = read(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price")).join(lines_, "o_orderkey")
+    near = metrics.equivalent_columns(F.col("price"), F.col("sum"), 10_000.0, 0.25)
+    return df.groupBy(near.alias("equivalent")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ridge_predict(s, d):
@@ -119,7 +192,7 @@ def ridge_evidence(s, d):
 
 def _scored(s, d):
     """Truth: the line's price. Prediction: the price of as many pieces at 1,500 each."""
-    return lines(s, d).df.select(F.col("l_extendedprice").alias("truth"), (F.col("l_quantity") * 1500.0).alias("prediction"), F.col("l_quantity").alias("weight"))
+    return priced(s, d).df.select(F.col("l_extendedprice").alias("truth"), (F.col("l_quantity") * 1500.0).alias("prediction"), F.col("l_quantity").alias("weight"))
 
 
 def _one(s, x):
@@ -139,7 +212,7 @@ def metric_first_problem(s, d):
 
 
 def exact_sum(s, d):
-    df = lines(s, d).df.select("l_extendedprice").unionByName(s.createDataFrame([(1.7976931348623157e308,), (-1.7976931348623157e308,)], "l_extendedprice double"))
+    df = priced(s, d).df.select("l_extendedprice").unionByName(s.createDataFrame([(1.7976931348623157e308,), (-1.7976931348623157e308,)], "l_extendedprice double"))
     return _one(s, metrics.exact_sum(df, F.col("l_extendedprice")))
 
 
@@ -189,6 +262,13 @@ QUERIES = {
     "ridge_coefficients": _coefficients,
     "weighted_ridge_coefficients": lambda s, d: _coefficients(s, d, True),
     "ridge_solvers": ridge_solvers,
+    "ridge_matrix_free": ridge_matrix_free,
+    "dense_gram": dense_gram,
+    "dense_standardize": dense_standardize,
+    "dense_ridge": dense_ridge,
+    "dense_solvers": dense_solvers,
+    "view_descriptor": view_descriptor,
+    "prices_equivalent": prices_equivalent,
     "ridge_predict": ridge_predict,
     "ridge_attribution": ridge_attribution,
     "ridge_evidence": ridge_evidence,
@@ -225,6 +305,9 @@ f AS (SELECT *, CAST((row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS
 e AS (SELECT t.fold, c, avg(y) AS v, count(*) AS n FROM f, range(0, 5) t(fold) WHERE f.fold <> t.fold GROUP BY t.fold, c)"""
 
 
+_E = "e AS (SELECT vec_id, p, CAST(embedding[p + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(p))"
+
+
 def _coefficient_sql(w: str) -> str:
     return f"""WITH {_L}, {ridge_sql("k", "x1", "x2", "y", w, PENALTY)}
 SELECT CAST(-1 AS INTEGER) AS position, 'intercept' AS name, round(b0, 4) AS value FROM ridge UNION ALL SELECT 0, 'l_quantity', round(b1, 4) FROM ridge UNION ALL SELECT 1, 'l_discount', round(b2, 4) FROM ridge"""
@@ -249,6 +332,18 @@ SELECT o_orderkey, CASE WHEN v <= 32767 AND floor(v) = v THEN v END AS value, CA
     "ridge_coefficients": _coefficient_sql("1.0"),
     "weighted_ridge_coefficients": _coefficient_sql("x1"),
     "ridge_solvers": "SELECT solver, true AS agrees FROM (VALUES ('cholesky'), ('qr'), ('lsqr'), ('cg')) t(solver)",
+    "ridge_matrix_free": f"""WITH g AS (SELECT o_custkey % {HOT} AS k, count(*) AS n, avg(CAST(o_totalprice AS DOUBLE)) AS y FROM orders GROUP BY 1),
+b AS (SELECT sum(n * {HOT_PENALTY} / (n + {HOT_PENALTY}) * y) / sum(n * {HOT_PENALTY} / (n + {HOT_PENALTY})) AS b0 FROM g), s AS (SELECT * FROM (VALUES ('row-lsqr'), ('row-cg')) t(solver))
+SELECT solver, CAST(-1 AS INTEGER) AS position, round(b0, 2) AS value FROM s, b UNION ALL
+SELECT solver, CAST(p AS INTEGER), round(coalesce(n * (y - b0) / (n + {HOT_PENALTY}), 0), 2) + 0.0 FROM s, b, range(0, {HOT}) t(p) LEFT JOIN g ON g.k = p""",
+    "dense_gram": f"""WITH {_E}, m AS (SELECT p, avg(v) AS m FROM e GROUP BY p), c AS (SELECT vec_id, e.p, v - m AS v FROM e JOIN m ON e.p = m.p)
+SELECT CAST(a.p AS INTEGER) AS i, CAST(b.p AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS value FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.p <= b.p GROUP BY a.p, b.p""",
+    "dense_standardize": f"WITH {_E}, m AS (SELECT p, avg(v) AS m, 1 / sqrt(var_pop(v)) AS s FROM e GROUP BY p) SELECT vec_id, CAST(e.p AS INTEGER) AS position, round((v - m) * s, 6) + 0.0 AS value FROM e JOIN m ON e.p = m.p",
+    "dense_ridge": f"""WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(label AS DOUBLE) AS y FROM embeddings), m AS (SELECT avg(a) AS ma, 1 / sqrt(var_pop(a)) AS sa, avg(b) AS mb, 1 / sqrt(var_pop(b)) AS sb FROM x),
+k AS (SELECT vec_id, (a - ma) * sa AS x1, (b - mb) * sb AS x2, y FROM x, m), {ridge_sql("k", "x1", "x2", "y", "1.0", PENALTY)} SELECT vec_id, round(b0 + x1 * b1 + x2 * b2, 6) + 0.0 AS prediction FROM k, ridge""",
+    "dense_solvers": "SELECT solver, true AS agrees FROM (VALUES ('cholesky'), ('qr'), ('lsqr'), ('cg'), ('row-lsqr'), ('row-cg')) t(solver)",
+    "view_descriptor": "SELECT CAST(p AS INTEGER) AS position, 'embedding[' || p || ']' AS name, 'double' AS kind, true AS same FROM range(0, 3) t(p)",
+    "prices_equivalent": "SELECT abs(p - s) <= greatest(10000.0, 0.25 * greatest(abs(p), abs(s))) AS equivalent, count(*) AS n FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS p FROM orders) JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DOUBLE)) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1",
     "ridge_predict": f"WITH {_L}, {ridge_sql('k', 'x1', 'x2', 'y', '1.0', PENALTY)} SELECT row_id, round(b0 + x1 * b1 + x2 * b2, 4) AS prediction FROM k, ridge",
     "ridge_attribution": f"WITH {_L}, {ridge_sql('k', 'x1', 'x2', 'y', '1.0', PENALTY)} SELECT row_id, round(b0, 4) AS intercept, round(x1 * b1, 4) AS from_l_quantity, round(x2 * b2, 4) AS from_l_discount, round(b0 + x1 * b1 + x2 * b2, 4) AS prediction FROM k, ridge",
     "ridge_evidence": f"WITH {_L}, {ridge_sql('k', 'x1', 'x2', 'y', '1.0', PENALTY)} SELECT round((sum((b0 + x1 * b1 + x2 * b2 - y) ** 2) + {PENALTY} * (any_value(b1) ** 2 + any_value(b2) ** 2)) / count(*), 2) AS objective, true AS stationary FROM k, ridge",

@@ -44,6 +44,12 @@ def lines(spark: SparkSession, sf_dir: str) -> Rows:
     return unsplit(df, "row_id", identity("lineitem"), features=("l_quantity", "l_discount"), target="l_extendedprice", weight="l_quantity", group="l_suppkey", time="l_shipdate")
 
 
+def priced(spark: SparkSession, sf_dir: str) -> Rows:
+    """Line items as they are read, without a key that tells all of them apart: for fits and metrics, which need none."""
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount")])
+    return unsplit(df, "l_orderkey", identity("lineitem"), features=("l_quantity", "l_discount"), target="l_extendedprice", weight="l_quantity")
+
+
 LINES = f"l AS (SELECT *, row_number() OVER (ORDER BY {', '.join(LINE_KEY)}) - 1 AS row_id FROM lineitem)"
 
 WORD = "18446744073709551616::UHUGEINT"
