@@ -208,10 +208,10 @@ def test_model_of_a_corpus(spark, docs):
     bits, buckets = 3, 4
     requests = pitman_yor.requested(df, "doc_id", "text", held, buckets, bits).cache()
     cells = pitman_yor.counted(requests, buckets).cache()
-    start = pitman_yor._sums(cells, bits, True)
+    start = pitman_yor.sums_of_ones(cells, bits)
     totals = pitman_yor.totals_of(start, bits, v, None)[0]
     seats = pitman_yor.seated(cells, spark.sparkContext.broadcast(totals), 1, 2, bits, 5).cache()
-    samples = pitman_yor.totals_of(pitman_yor._sums(seats, bits, False), bits, v, totals.discounts)
+    samples = pitman_yor.totals_of(pitman_yor.sums_of_samples(seats, bits), bits, v, totals.discounts)
     assert len(samples) == 2 and samples[0].customers[0].sum() == n
     tables = [[{} for _ in range(3)] for _ in samples]
     customers = {}
