@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import RANK_DOMAIN, rank_state, signed, with_finalized, with_rank
@@ -90,12 +90,12 @@ def packing(classes: list[tuple[int, int]], k: int) -> list[tuple[int, list[int]
     return out
 
 
-def grouped_k_fold(rows: Rows, k: int, seed: int, domain: str = RANK_DOMAIN, exact_groups: int | None = None) -> Plan:
+def grouped_k_fold(rows: Rows, k: int, seed: int, domain: str = RANK_DOMAIN) -> Plan:
     """Whole groups to folds: the largest group first (ties by the rank of its first row, then that row), always to the smallest fold.
 
     However many groups there are, the result is that of packing them one by one. The driver gets one count for each
     different size (fewer than the square root of twice the rows) and works out who takes turns (see `packing`); a group's
-    fold follows from its position in the order. `exact_groups` has no effect: there is one path.
+    fold follows from its position in the order.
     """
     if not rows.group:
         raise DataError("NoGroup")
@@ -143,6 +143,58 @@ def rolling_origin(rows: Rows, initial: int, assess: int, step: int) -> tuple[Da
     return at, folds
 
 
+@dataclass(frozen=True)
+class RollingPlan:
+    """A plan of time-ordered windows over rows with their position `pos`: fold i analyses all rows before its start and assesses those up to its end.
+
+    Rows before the first start are never assessed, others maybe more than once, so that it isn't complete: nothing may cross-fit by it.
+    """
+
+    rows: Rows
+    n: int
+    initial: int
+    assess: int
+    step: int
+    complete: bool = False
+
+    @property
+    def folds(self) -> int:
+        return (self.n - self.initial + self.step - 1) // self.step
+
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """(fold, start, end) of each fold."""
+        starts = ((i, self.initial + i * self.step) for i in range(self.folds))
+        return [(i, start, min(start + self.assess, self.n)) for i, start in starts]
+
+    def _range(self, fold: int) -> tuple[int, int]:
+        if not 0 <= fold < self.folds:
+            raise DataError("InvalidFold", str(fold))
+        start = self.initial + fold * self.step
+        return start, min(start + self.assess, self.n)
+
+    def analysis(self, fold: int) -> Rows:
+        return self.rows.with_df(self.rows.df.where(F.col("pos") < self._range(fold)[0]))
+
+    def assessment(self, fold: int) -> Rows:
+        start, end = self._range(fold)
+        return self.rows.with_df(self.rows.df.where((F.col("pos") >= start) & (F.col("pos") < end)))
+
+    def block_of(self, pos: int) -> int:
+        """The block of a position: how many windows begin at or before it, and how many end there."""
+        return max(0, (pos - self.initial) // self.step + 1) + max(0, (pos - self.initial - self.assess) // self.step + 1)
+
+    def block(self, pos: Column) -> Column:
+        """The same as a column."""
+        until = lambda first: F.greatest(F.lit(0).cast("long"), F.floor((pos - first) / self.step) + 1)
+        return until(self.initial) + until(self.initial + self.assess)
+
+
+def rolling_plan(rows: Rows, initial: int, assess: int, step: int) -> RollingPlan:
+    """The plan of `rolling_origin` with analysis and assessment rows; rows are ordered by time, ties by id, and written once."""
+    at, _ = rolling_origin(rows, initial, assess, step)
+    return RollingPlan(rows.with_df(at), at.count(), initial, assess, step)
+
+
 def rolling_assessment(at: DataFrame, row_id: str, initial: int, assess: int, step: int) -> DataFrame:
     """(row id, fold) of every assessed row: a row's folds follow from its position, without a join."""
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - initial - assess + 1) / step))

@@ -56,7 +56,7 @@ class Receipt:
 
 @dataclass(frozen=True)
 class Gram:
-    """Weighted sums of centred data: sw, sx (d), sy, sxx (d x d), sxy (d), syy, and the centre that was taken off before."""
+    """Weighted sums of centred data: sw, sx (d), sy, sxx (d x d), sxy (d), syy, and the centre that was taken off before; rows and the coordinates' ranges."""
 
     sw: float
     sx: np.ndarray
@@ -67,9 +67,17 @@ class Gram:
     centre: np.ndarray
     y_centre: float
     n: int
+    low: np.ndarray
+    high: np.ndarray
 
     def __add__(self, other: Gram) -> Gram:
-        return Gram(self.sw + other.sw, self.sx + other.sx, self.sy + other.sy, self.sxx + other.sxx, self.sxy + other.sxy, self.syy + other.syy, self.centre, self.y_centre, self.n + other.n)
+        ranges = np.minimum(self.low, other.low), np.maximum(self.high, other.high)
+        return Gram(self.sw + other.sw, self.sx + other.sx, self.sy + other.sy, self.sxx + other.sxx, self.sxy + other.sxy, self.syy + other.syy, self.centre, self.y_centre, self.n + other.n, *ranges)
+
+    def scaled(self, mean: np.ndarray | None, inverse: np.ndarray) -> Gram:
+        """The sums of the same rows after (x - mean) * inverse, or x * inverse; no row is read."""
+        about = lambda x: (x if mean is None else x - mean) * inverse
+        return replace(self, sx=self.sx * inverse, sxx=self.sxx * np.outer(inverse, inverse), sxy=self.sxy * inverse, centre=about(self.centre), low=about(self.low), high=about(self.high))
 
     def centred(self, intercept: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Gram matrix and right side about these rows' own means (or about zero), and the means."""
@@ -174,21 +182,31 @@ def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None, view: V
                 of = np.array([groups.index(k) for k in groups])[batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)] if len(groups) > 1 else of
             for i, k in enumerate(groups):
                 own = z if len(groups) == 1 else z[of == i]
+                if not len(own):
+                    continue
                 state = tiles.products(own * (w if len(groups) == 1 else w[of == i])[:, None] if weighted else own, own, left, e) | {"n": np.array([len(own)])}
-                held[k] = added(held[k], state) if k in held else state
+                coordinates = x if len(groups) == 1 else x[of == i]
+                state |= {"least": coordinates.min(axis=0), "most": coordinates.max(axis=0)}
+                held[k] = merged(held[k], state) if k in held else state
         return held
 
-    found = {k: (tiles.total({n: v for n, v in s.items() if n != "n"}, left[:, None] + e[None, :], 2 * tiles.BITS), int(s["n"][0])) for k, s in tree_fold(frame, step).items()}
+    def merged(a, b):
+        sums = added({k: a[k] for k in ("high", "low", "n")}, b)
+        return sums | {"least": np.minimum(a["least"], b["least"]), "most": np.maximum(a["most"], b["most"])}
+
+    found = {k: (tiles.total(s, left[:, None] + e[None, :], 2 * tiles.BITS), s) for k, s in tree_fold(frame, step, merged).items()}
     if not all(np.isfinite(g).all() for g, _ in found.values()):
         raise DataError("NonFiniteSolution")
+    # groups in a fixed order, so that their sum has the same bits whichever task came first
+    found = dict(sorted(found.items(), key=lambda x: (x[0] is None, str(type(x[0])), x[0] if x[0] is not None else 0)))
     total = sum(g[-1, -1] for g, _ in found.values())
     mean = sum(g[:-1, -1] for g, _ in found.values()) / total if total else np.zeros(d + 1)
     out = {}
-    for k, (g, n) in found.items():
-        sw, s, two = g[-1, -1], g[:-1, -1], (g[:-1, :-1] + g[:-1, :-1].T) / 2
-        two = two - np.outer(mean, s) - np.outer(s, mean) + sw * np.outer(mean, mean)
-        one = s - mean * sw
-        out[k] = Gram(float(sw), one[:d], float(one[d]), two[:d, :d], two[:d, d], float(two[d, d]), point[:d] + mean[:d], float(point[d] + mean[d]), n)
+    for k, (g, s) in found.items():
+        sw, single, two = g[-1, -1], g[:-1, -1], (g[:-1, :-1] + g[:-1, :-1].T) / 2
+        two = two - np.outer(mean, single) - np.outer(single, mean) + sw * np.outer(mean, mean)
+        one = single - mean * sw
+        out[k] = Gram(float(sw), one[:d], float(one[d]), two[:d, :d], two[:d, d], float(two[d, d]), point[:d] + mean[:d], float(point[d] + mean[d]), int(s["n"][0]), s["least"], s["most"])
     return out
 
 

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import tempfile
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import GAMMA, fnv1a
 from foldwise.operators import metrics, ridge, scalers
 from foldwise.operators.encoders import CrossFitted
-from foldwise.operators.resampling import k_fold
+from foldwise.operators.resampling import k_fold, rolling_plan
 from foldwise.operators.stages import Blueprint, Mapped, child_seed
 from foldwise.plans import search
 from foldwise.plans.experiment import Experiment, phase_seed
 from foldwise.plans.model_queries import ridge_sql
-from foldwise.plans.tables import LINES, ORDER_FEATURES, WORD, finalize_sql, lines, order_features, rank_sql, read
+from foldwise.plans.sufficient import rolling_scores
+from foldwise.plans.tables import LINES, ORDER_FEATURES, WORD, finalize_sql, identity, lines, order_features, rank_sql, read
 from foldwise.sources import artifacts
-from foldwise.sources.rows import Role
+from foldwise.sources.rows import Role, unsplit
 from foldwise.streaming.scoring import score_folder
 
 SEED, PENALTY, PENALTIES = 42, 0.1, [0.01, 1.0, 100.0, 10000.0]
@@ -65,6 +67,44 @@ def cv_any_blueprint(s, d):
     return s.createDataFrame([(t.index, t.candidate, round(t.objective, 4)) for t in trials], "index int, penalty double, score double")
 
 
+def _events(s, d):
+    """Events in time order: the value by the user's number and the count in the properties."""
+    df = read(s, d, "events").select("event_id", "ts", F.col("user_id").cast("double").alias("user"), F.get_json_object("props", "$.k").cast("double").alias("k"), F.col("value").cast("double").alias("value"))
+    return unsplit(df, "event_id", identity("events"), features=("user", "k"), target="value", time="ts")
+
+
+def rolling_rmse(s, d):
+    """RMSE of a standardised ridge regression at every origin, each fitted on all events before; one pass for all."""
+    found = rolling_scores(rolling_plan(_events(s, d), 500, 200, 100), blueprint())
+    return s.createDataFrame([(o.fold, o.start, o.end, round(o.score, 6)) for o in found], "fold int, start long, end long, rmse double")
+
+
+def rolling_rows(s, d):
+    """Rows that the first three origins analyse and assess."""
+    plan = rolling_plan(_events(s, d), 500, 200, 100)
+    parts = [x.df.select(F.lit(i).alias("fold"), F.lit(role).alias("role"), "event_id") for i in range(3) for role, x in (("analysis", plan.analysis(i)), ("assessment", plan.assessment(i)))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+#: Candidates of `search_one_pass`: scaler and penalty.
+_SCALERS = {"none": None, "scale-only": scalers.ScaleOnlyScaler, "standard": scalers.StandardScaler}
+_CHOICES = [(k, p) for k in _SCALERS for p in (0.1, 100.0, 100000.0)]
+
+
+def _chosen(choice):
+    kind, penalty = choice
+    start = Blueprint().via(_SCALERS[kind]()) if _SCALERS[kind] else Blueprint()
+    return start.learn(ridge.Ridge(ridge.Config(penalty)))
+
+
+def search_one_pass(s, d):
+    """Three scalings by three penalties over five folds: forty-five fits from one pass over the rows."""
+    rows = order_features(s, d)
+    trials = search.cross_validated(_CHOICES, _chosen, k_fold(rows, 5, SEED), metrics.rmse(), SEED, "o_totalprice")[1]
+    got = [(t.index, *t.candidate, k, round(x, 4)) for t in trials for k, x in enumerate(t.folds)]
+    return s.createDataFrame(got, "index int, scaler string, penalty double, fold int, score double")
+
+
 def _space():
     return search.int_range(1, 4) * (search.log_uniform(1e-4, 1.0) * search.choice(True, False))
 
@@ -131,6 +171,9 @@ QUERIES = {
     "cv_ridge_grid": cv_ridge_grid,
     "cv_ridge_best": cv_ridge_best,
     "cv_any_blueprint": cv_any_blueprint,
+    "search_one_pass": search_one_pass,
+    "rolling_rmse": rolling_rmse,
+    "rolling_rows": rolling_rows,
     "grid_candidates": lambda s, d: _candidates(s, search.grid(_space(), 5)),
     "random_candidates": lambda s, d: _candidates(s, search.random(_space(), 50, 91)),
     "study_select": study_select,
@@ -181,6 +224,18 @@ _STREAM = finalize_sql("i", "CAST((CAST(91 AS UHUGEINT) + (i + 1)::UHUGEINT * 11
 
 
 
+_EVENTS = """e AS (SELECT event_id, CAST(user_id AS DOUBLE) AS x1, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x2, CAST(value AS DOUBLE) AS y, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
+w AS (SELECT DISTINCT i AS fold, 500 + i * 100 AS start, least(700 + i * 100, n) AS stop FROM e, range(0, 1000000) t(i) WHERE event_id = (SELECT min(event_id) FROM events) AND 500 + i * 100 < n)"""
+
+
+def _centred_sql(source: str, by: str, factor: str, penalty: str) -> str:
+    """CTE b: of each group (with its penalty `pen.p`, scaled by the reciprocal deviations to the power `factor`), the ridge regression of y on x1 and x2, for unscaled coordinates."""
+    return f"""s AS (SELECT {by}, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM {source} GROUP BY ALL),
+u AS (SELECT *, CASE WHEN {factor} THEN 1 / sqrt(v1) ELSE 1 END AS f1, CASE WHEN {factor} THEN 1 / sqrt(v2) ELSE 1 END AS f2 FROM s),
+z AS (SELECT *, n * v1 * f1 * f1 + {penalty} AS a, n * c12 * f1 * f2 AS o, n * v2 * f2 * f2 + {penalty} AS c, n * c1 * f1 AS p1, n * c2 * f2 AS p2 FROM u),
+b AS (SELECT *, (c * p1 - o * p2) / (a * c - o * o) * f1 AS b1, (a * p2 - o * p1) / (a * c - o * o) * f2 AS b2 FROM z)"""
+
+
 def _audit_sql() -> str:
     """The stages of a candidate's fit, each with the finalizer of phase seed, plan and ordinal."""
     state = phase_seed(SEED, _PLAN, "candidate-fit") ^ fnv1a("\x1f".join(_PLAN).encode())
@@ -215,6 +270,14 @@ ORACLE = {
     "cv_ridge_grid": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, CAST(fold AS INTEGER) AS fold, round(score, 4) AS score FROM c",
     "cv_ridge_best": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p ORDER BY avg(score), i LIMIT 1",
     "cv_any_blueprint": f"WITH {_cv_sql('f', 'o_orderkey', 'y', 3, [0.1, 1000.0], ORDER_FEATURES + ',')} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p",
+    "rolling_rows": f"""WITH {_EVENTS} SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN pos < start THEN 'analysis' ELSE 'assessment' END AS role, event_id FROM w JOIN e ON pos < stop WHERE fold < 3""",
+    "rolling_rmse": f"""WITH {_EVENTS}, {_centred_sql("w JOIN e ON e.pos < w.start", "fold", "true", str(PENALTY))}
+SELECT CAST(w.fold AS INTEGER) AS fold, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", round(sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)), 6) AS rmse FROM w JOIN b ON w.fold = b.fold JOIN e ON e.pos >= start AND e.pos < stop GROUP BY ALL""",
+    "search_one_pass": f"""WITH {ORDER_FEATURES}, {finalize_sql("f", f"xor(CAST(o_orderkey AS UBIGINT), {SEED}::UBIGINT)", "o_orderkey, x1, x2, y", "r")},
+g AS (SELECT *, (row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS fold FROM r),
+pen AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {q!r})" for i, (k, q) in enumerate(_CHOICES))}) t(i, kind, p)),
+{_centred_sql("range(0, 5) t(k) JOIN g ON g.fold <> t.k CROSS JOIN pen", "k, i, kind, pen.p", "kind <> 'none'", "p")}
+SELECT CAST(i AS INTEGER) AS index, kind AS scaler, CAST(p AS DOUBLE) AS penalty, CAST(k AS INTEGER) AS fold, round(sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)), 4) AS score FROM b JOIN g ON g.fold = b.k GROUP BY ALL""",
     "grid_candidates": "SELECT CAST(row_number() OVER (ORDER BY a, b, e DESC) - 1 AS INTEGER) AS i, CAST(a AS INTEGER) AS depth, round(exp(ln(0.0001) + b * (ln(1.0) - ln(0.0001)) / 4), 10) AS rate, e AS enabled FROM range(1, 5) t(a), range(0, 5) u(b), (VALUES (true), (false)) v(e)",
     "random_candidates": f"WITH i AS (SELECT i FROM range(0, 150) t(i)), {_STREAM}, p AS (SELECT i // 3 AS i, max(CASE WHEN i % 3 = 0 THEN rank END) AS a, max(CASE WHEN i % 3 = 1 THEN rank END) AS b, max(CASE WHEN i % 3 = 2 THEN rank END) AS c FROM r GROUP BY 1) SELECT CAST(i AS INTEGER) AS i, CAST(1 + (a >> 1) % 4 AS INTEGER) AS depth, round(exp(ln(0.0001) + CAST(b >> 11 AS DOUBLE) / 9007199254740992 * (ln(1.0) - ln(0.0001))), 10) AS rate, (c >> 1) % 2 = 0 AS enabled FROM p",
     "study_select": "SELECT CAST(c AS INTEGER) AS candidate, CAST(abs(c - 3) AS DOUBLE) AS objective, CAST(3 AS INTEGER) AS n FROM (VALUES (5), (3), (1)) t(c) ORDER BY abs(c - 3) LIMIT 1",

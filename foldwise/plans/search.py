@@ -14,6 +14,7 @@ from foldwise.operators import ridge
 from foldwise.operators.metrics import Metric
 from foldwise.operators.resampling import Plan
 from foldwise.operators.stages import Blueprint
+from foldwise.plans.sufficient import Chain, fold_scores, rest
 from foldwise.sources.rows import DataError, Role, Rows
 
 
@@ -116,16 +117,36 @@ def study(candidates: list, evaluate: Callable[[object], float], minimize: bool
 
 
 def cross_validated(candidates: list, blueprint: Callable[[object], Blueprint], plan: Plan, metric: Metric, seed: int, truth: str) -> tuple[Trial, list[Trial]]:
-    """Mean objective over the folds of each candidate, for any blueprint: a fit and a score for each fold. Any failed fold fails its candidate; fold models are dropped."""
+    """Mean objective over the folds of each candidate, for any blueprint. Any failed fold fails its candidate; fold models are dropped.
 
-    def one(c) -> float:
-        total = 0.0
+    Blueprints of maps, scalers and ridge regressions are scored by RMSE from one pass over the rows for all folds and candidates together
+    (see `sufficient`). Others take a fit and a score for each fold.
+    """
+    chains = [Chain.of(blueprint(c)) for c in candidates]
+    one_pass = [i for i, c in enumerate(chains) if c and truth == plan.rows.target and metric.name == ("weighted-rmse" if c.learner.weighted else "rmse")]
+    found = dict(zip(one_pass, fold_scores([chains[i] for i in one_pass], plan.rows, "fold"))) if plan.complete else {}
+
+    def one(i: int) -> Trial:
+        scores = []
         for k in range(plan.folds):
-            fitted = blueprint(c).fit(plan.analysis(k).with_df(plan.analysis(k).df.drop("fold"), role=Role.TRAIN), seed)
-            total += metric.evaluate(fitted.apply(plan.assessment(k).df).withColumnRenamed(truth, "truth"))
-        return total / plan.folds
+            fitted = blueprint(candidates[i]).fit(plan.analysis(k).with_df(plan.analysis(k).df.drop("fold"), role=Role.TRAIN), seed)
+            scores.append(metric.evaluate(fitted.apply(plan.assessment(k).df).withColumnRenamed(truth, "truth")))
+        return trial(i, scores)
 
-    return study(candidates, one, metric.minimize)
+    def trial(i: int, scores: list[float]) -> Trial:
+        mean = sum(scores) / len(scores)
+        good = math.isfinite(mean)
+        return Trial(i, candidates[i], mean if good else None, None if good else "NonFiniteObjective", tuple(scores))
+
+    trials = []
+    for i, c in enumerate(candidates):
+        try:
+            if isinstance(found.get(i), DataError):
+                raise found[i]
+            trials.append(trial(i, found[i]) if i in found else one(i))
+        except DataError as e:
+            trials.append(Trial(i, c, None, str(e)))
+    return select(trials, metric.minimize), trials
 
 
 def ridge_grid(rows: Rows, plan: Plan, penalties: list[float], weighted: bool = False, intercept: bool = True) -> tuple[Trial, list[Trial]]:
@@ -138,13 +159,13 @@ def ridge_grid(rows: Rows, plan: Plan, penalties: list[float], weighted: bool =
     by = ridge.grams(plan.rows, weighted, at, "fold")
     if len(by) < 2:
         raise DataError("TooFewFolds", str(len(by)))
-    rest = {k: sum((g for j, g in sorted(by.items()) if j not in (k, first)), by[first]) for k in by for first in [min(j for j in by if j != k)]}
+    others = rest(by)
     trials = []
     for i, penalty in enumerate(penalties):
         try:
             scores = []
             for k in sorted(by):
-                beta, b0, _ = ridge.solve(rest[k], ridge.Config(penalty, intercept))
+                beta, b0, _ = ridge.solve(others[k], ridge.Config(penalty, intercept))
                 scores.append(math.sqrt(max(0.0, by[k].squares(beta, b0)) / by[k].sw))
             trials.append(Trial(i, penalty, sum(scores) / len(scores), None, tuple(scores)))
         except DataError as e:
