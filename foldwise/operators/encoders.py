@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.resampling import Plan, k_fold
-from foldwise.operators.scalers import StandardScaler
-from foldwise.operators.stages import FeatureMap, Stage, Transform
-from foldwise.operators.state import checkpoint
+from foldwise.operators.scalers import Moments, Scaled, StandardScaler
+from foldwise.operators.stages import FeatureMap, Mapped, Stage, Transform
+from foldwise.operators.state import checkpoint, written
 from foldwise.sources.rows import DataError, Role, Rows
 
 #: States of up to so many categories are broadcast when they serve, larger ones joined by a shuffle.
@@ -94,10 +94,7 @@ class CrossFitted(FeatureMap):
             return serving, encoded.with_df(encoded.df.drop("fold"))
         after = self.then.fit(rows.with_df(serving.apply(rows.df), features=(self.output,)), seed)
         names = (*rows.features, *(after.features or (self.output,)))
-        if type(self.then) is StandardScaler and self.then.constant == "emit-zero":  # its moments follow from the cells
-            done = scale_in_folds(plan, encoded, self.category, self.output)
-        else:
-            done = then_in_folds(plan, encoded, self.category, self.output, self.then, seed)
+        done = then_in_folds(plan, encoded, self.category, self.output, self.then, seed)
         return Chained(serving, after, names), done.with_df(done.df.drop("fold"), features=names)
 
 
@@ -115,8 +112,63 @@ class Chained(Stage):
         return {"first": self.first.record(), "second": self.second.record()}
 
 
+@dataclass(frozen=True)
+class ByFold(Stage):
+    """A stage with its own parameters for each fold: one projection, in which a row's fold chooses. Rows of other folds get nulls."""
+
+    stages: dict[int, Scaled]
+    fold: str = "fold"
+    name: str = "by-fold"
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return next(iter(self.stages.values())).features
+
+    def outputs(self) -> dict[str, Column]:
+        of = lambda values: F.element_at(F.create_map(*[F.lit(x) for k, v in values for x in (k, float(v))]), F.col(self.fold))
+        out = {}
+        for i, f in enumerate(self.features):
+            x = F.col(f).cast("double")
+            if next(iter(self.stages.values())).mean is not None:
+                x = x - of([(k, s.mean[i]) for k, s in self.stages.items()])
+            out[f] = x * of([(k, s.inverse[i]) for k, s in self.stages.items()])
+        return out
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self.outputs())
+
+    def record(self) -> dict:
+        return {"stages": {str(k): s.record() for k, s in self.stages.items()}}
+
+
+def fold_moments(plan: Plan, category: str, output: str) -> dict[int, Moments]:
+    """For each fold the moments of its analysis rows' codes, when the encoder is fitted on these rows and encodes them.
+
+    An analysis row's code is its category's mean over the analysis rows, so the moments follow from the cells' sums and
+    counts: one pass over the rows for all folds, two aggregates of the cells, one row a fold on the driver.
+    """
+    y = F.col(plan.rows.target).cast("double")
+    cells = plan.rows.df.groupBy(F.col(category).alias("_category"), F.col("fold").alias("_fold")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
+    folds = F.array(*[F.lit(f) for f in range(plan.folds)])
+    analysis = cells.select("_category", F.explode(F.array_remove(folds, F.col("_fold"))).alias("_fold"), "s", "n").groupBy("_category", "_fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("v", F.col("s") / F.col("n"))
+    analysis = written(analysis)
+    first = {r["_fold"]: r for r in analysis.groupBy("_fold").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    m = F.create_map(*[F.lit(x) for k, r in first.items() for x in (k, r["m"])])
+    spread = analysis.groupBy("_fold").agg((F.sum(F.col("n") * (F.col("v") - F.element_at(m, F.col("_fold"))) ** 2) / F.sum("n")).alias("d")).collect()
+    return {r["_fold"]: Moments(first[r["_fold"]]["n"], (first[r["_fold"]]["m"],), (r["d"],), (first[r["_fold"]]["low"],), (first[r["_fold"]]["high"],), (output,)) for r in spread}
+
+
 def then_in_folds(plan: Plan, encoded: Rows, category: str, output: str, then: Transform, seed: int) -> Rows:
-    """Out-of-fold values as each fold's own transform gives them out: for fold k, `then` is fitted on the other folds' rows, encoded by these rows' means, and applied to fold k."""
+    """Out-of-fold values as each fold's own transform gives them out: for fold k, `then` is fitted on the other folds' rows, encoded by these rows' means, and applied to fold k.
+
+    Transforms that need only moments are fitted for all folds from one pass and applied in one projection; maps need no fit. Any other
+    transform is fitted fold by fold, as what it reads isn't known.
+    """
+    if isinstance(then, Mapped):
+        return encoded.with_df(then.stage.apply(encoded.df))
+    if hasattr(then, "from_moments"):
+        stage = ByFold({k: then.from_moments(m) for k, m in fold_moments(plan, category, output).items()})
+        return encoded.with_df(stage.apply(encoded.df))
     parts = []
     for k in range(plan.folds):
         rest = plan.rows.with_df(plan.rows.df.where(F.col("fold") != k), role=Role.TRAIN)
@@ -130,22 +182,8 @@ def then_in_folds(plan: Plan, encoded: Rows, category: str, output: str, then: T
 
 
 def scale_in_folds(plan: Plan, encoded: Rows, category: str, output: str) -> Rows:
-    """Standardise out-of-fold values as each fold's own encoder would scale its analysis rows.
-
-    For fold k the encoder is fitted on the other folds and encodes these same rows, whose mean and deviation then scale
-    fold k. An analysis row's code is its category's mean over the analysis rows, so the moments follow from the cells'
-    sums and counts; no row is encoded once for each fold.
-    """
-    y = F.col(plan.rows.target).cast("double")
-    cells = plan.rows.df.groupBy(F.col(category).alias("_category"), F.col("fold").alias("_fold")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
-    folds = F.array(*[F.lit(f) for f in range(plan.folds)])
-    analysis = cells.select("_category", F.explode(F.array_remove(folds, F.col("_fold"))).alias("_fold"), "s", "n").groupBy("_category", "_fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("v", F.col("s") / F.col("n"))
-    analysis = checkpoint(analysis)
-    means = analysis.groupBy("_fold").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # one row a fold
-    m = F.create_map(*[F.lit(x) for r in means for x in (r["_fold"], r["m"])])
-    spread = analysis.groupBy("_fold").agg(F.sqrt(F.sum(F.col("n") * (F.col("v") - F.element_at(m, F.col("_fold"))) ** 2) / F.sum("n")).alias("d")).collect()
-    d = F.create_map(*[F.lit(x) for r in spread for x in (r["_fold"], 1 / r["d"] if r["d"] else 0.0)])
-    return encoded.with_df(encoded.df.withColumn(output, (F.col(output) - F.element_at(m, F.col("fold"))) * F.element_at(d, F.col("fold"))))
+    """Standardise out-of-fold values as each fold's own encoder would scale its analysis rows (see `fold_moments`)."""
+    return then_in_folds(plan, encoded, category, output, StandardScaler(), 0)
 
 
 class MeanTarget(FeatureMap):
@@ -167,5 +205,3 @@ class AllRows(Stage):
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_all", F.lit(1))
-
-

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.digests import Ordered, digest_sums, ordered, ordered_digest, row_hash
 from foldwise.functions.hashing import RANK_DOMAIN, rank_state, signed, with_finalized, with_rank
 from foldwise.operators.state import checkpoint, global_position, skew_join
 from foldwise.sources.rows import DataError, Rows, require_unique
@@ -32,6 +33,12 @@ class Plan:
     def sizes(self) -> DataFrame:
         return self.rows.df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
+    def fingerprints(self) -> dict[int, Ordered]:
+        """The digest of each fold's row ids in ascending order: one sort of (fold, id) and one aggregate for all folds."""
+        i = self.rows.row_id
+        at = global_position(self.rows.df.select("fold", i), [F.col("fold"), F.col(i)])
+        return {r["fold"]: ordered(r) for r in at.groupBy("fold").agg(*digest_sums(row_hash(F.col(i)), F.col("pos"))).collect()}
+
 
 def _checked(rows: Rows, k: int) -> int:
     if k < 2:
@@ -212,3 +219,52 @@ def bound(rows: Rows, assignment: DataFrame, k: int) -> Plan:
     if r["n"] != n or rows.df.join(assignment, rows.row_id, "left_anti").limit(1).count():
         raise DataError("IncompleteAssignment", f"{r['n']} of {n}")
     return _joined(rows, assignment.select(rows.row_id, F.col("fold").cast("int").alias("fold")), k)
+
+
+@dataclass(frozen=True)
+class External:
+    """What a plan from elsewhere says about itself: its rows, folds, seed, and the digest of the row ids that it was made for (see `ordered_fingerprint`); each is checked where it is given."""
+
+    size: int
+    folds: int
+    seed: int | None = None
+    population: str | None = None
+
+
+def zipped(left: DataFrame, right: DataFrame, position: str = "pos") -> DataFrame:
+    """Two frames with gapless positions side by side, row by row. Frames of different lengths are refused; so are columns that both have."""
+    if clash := set(left.columns) & set(right.columns) - {position}:
+        raise DataError("ReservedName", ", ".join(sorted(clash)))
+    found = [df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(position).alias("d"), F.min(position).alias("low"), F.max(position).alias("high")).first() for df in (left, right)]
+    for r in found:
+        if r["d"] != r["n"] or r["n"] and (r["low"] != 0 or r["high"] != r["n"] - 1):
+            raise DataError("InvalidPositions", f"{r['d']} of {r['n']} from {r['low']} to {r['high']}")
+    if found[0]["n"] != found[1]["n"]:
+        raise DataError("LengthMismatch", f"{found[0]['n']} and {found[1]['n']}")
+    return left.join(right, position)
+
+
+def gathered(at: DataFrame, ordinals: DataFrame, n: int, position: str = "pos") -> DataFrame:
+    """The rows of `at` (n rows with gapless positions) that `ordinals` names by position, repeated as often as it names them; a position beyond the rows is refused."""
+    bad = ordinals.where(F.col(position).isNull() | (F.col(position) < 0) | (F.col(position) >= n)).limit(1).collect()
+    if bad:
+        raise DataError("PositionOutOfRange", f"{bad[0][position]} of {n}")
+    return skew_join(ordinals, at, [position])
+
+
+def bound_by_position(rows: Rows, assignment: DataFrame, given: External, seed: int | None = None) -> Plan:
+    """A plan from outside by position: (pos, fold), positions counting the rows in ascending order of their ids.
+
+    Refused are other numbers of rows, another seed than the one asked for, rows of another population, positions that are missing, repeated or
+    out of range, and folds beyond the plan's own.
+    """
+    n = require_unique(rows.df, rows.row_id)
+    if given.size != n:
+        raise DataError("SizeMismatch", f"{given.size} planned, {n} rows")
+    if seed is not None and given.seed != seed:
+        raise DataError("SeedMismatch", f"{given.seed} planned, {seed} asked for")
+    at = global_position(rows.df.select(rows.row_id), [F.col(rows.row_id)])
+    if given.population is not None and (digest := ordered_digest(at, [rows.row_id]).text) != given.population:
+        raise DataError("PopulationMismatch", digest)
+    both = zipped(at, assignment.select("pos", "fold"))
+    return bound(rows, both.select(rows.row_id, "fold"), given.folds)

@@ -182,8 +182,11 @@ class StandardScaler(Transform):
         if self.view and self.view.column:
             m = vector_moments(rows.fitting(), self.view)
             return ScaledVector(self.view.column, m.mean if self.centres else None, inverse_deviations(m, self.constant))
-        m = moments(rows.fitting())
-        return Scaled(rows.features, m.mean if self.centres else None, inverse_deviations(m, self.constant))
+        return self.from_moments(moments(rows.fitting()))
+
+    def from_moments(self, m: Moments) -> Scaled:
+        """The stage that a fit on rows with these moments gives: no row is needed."""
+        return Scaled(m.names, m.mean if self.centres else None, inverse_deviations(m, self.constant))
 
 
 class ScaleOnlyScaler(StandardScaler):

@@ -8,7 +8,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.hashing import RANK_DOMAIN, rank_state, with_rank
+from foldwise.functions.digests import derived, digest_sums, ordered, row_hash
+from foldwise.functions.hashing import RANK_DOMAIN, Fingerprint, rank_state, with_rank
 from foldwise.operators.state import checkpoint, global_position
 from foldwise.sources.rows import DataError, Role, Rows, require_unique
 
@@ -51,11 +52,16 @@ class Split:
     sizes: tuple[int, int, int]
     policy: Policy
     seed: int
+    domain: str = RANK_DOMAIN
 
     def part(self, role: Role) -> Rows:
         if role not in (Role.TRAIN, Role.VALIDATION, Role.TEST):
             raise DataError("UnknownRole", role.value)
-        return self.assigned.with_df(self.assigned.df.where(F.col("_role") == role.value).drop("_role"), role=role)
+        return self.assigned.with_df(self.assigned.df.where(F.col("_role") == role.value).drop("_role"), role=role, fingerprint=self.identity(role))
+
+    def identity(self, role: Role) -> Fingerprint:
+        """What the rows of a role are: the source and the rule that took them from it."""
+        return derived("split", self.assigned.fingerprint, algorithm=self.domain, seed=self.seed, validation=self.policy.validation, test=self.policy.test, role=role.value)
 
     @property
     def train(self) -> Rows:
@@ -75,6 +81,16 @@ class Split:
         return self.assigned.df.groupBy(F.col("_role").alias("role")).agg(F.count(F.lit(1)).alias("n"), F.min(i).alias("low"), F.max(i).alias("high"), F.bit_xor(i).alias("ids_xor"))
 
 
+    def provenance(self) -> DataFrame:
+        """(role, n, ids, source, seed, algorithm, policy, identity) of each role that has rows: `ids` is the digest of its row ids in ascending order."""
+        i, source = self.assigned.row_id, self.assigned.fingerprint
+        at = global_position(self.assigned.df.select("_role", i), [F.col("_role"), F.col(i)])
+        rows = at.groupBy("_role").agg(*digest_sums(row_hash(F.col(i)), F.col("pos"))).collect()  # one row a role
+        shared = (f"{source.policy}:{','.join(source.fields)}:{source.digest}", self.seed, self.domain, f"validation={self.policy.validation},test={self.policy.test}")
+        out = [(r["_role"], r["n"], ordered(r).text, *shared, self.identity(Role(r["_role"])).digest) for r in rows]
+        return at.sparkSession.createDataFrame(out, "role string, n long, ids string, source string, seed long, algorithm string, policy string, identity string")
+
+
 def ranked(rows: Rows, seed: int, domain: str = RANK_DOMAIN) -> DataFrame:
     """(row id, rank, pos): positions in the order of (rank, id), found without a global sort in one task."""
     state = rank_state(rows.fingerprint, seed, domain)
@@ -90,7 +106,7 @@ def split(rows: Rows, policy: Policy, seed: int, domain: str = RANK_DOMAIN) -> S
     v, t, train = policy.counts(n)
     role: Column = F.when(F.col("pos") < v, Role.VALIDATION.value).when(F.col("pos") < v + t, Role.TEST.value).otherwise(Role.TRAIN.value)
     assigned = ranked(rows, seed, domain).select(rows.row_id, role.alias("_role"))
-    return Split(rows.with_df(checkpoint(rows.df.join(assigned, rows.row_id))), (v, t, train), policy, seed)
+    return Split(rows.with_df(checkpoint(rows.df.join(assigned, rows.row_id))), (v, t, train), policy, seed, domain)
 
 
 def holdout(rows: Rows, test: Amount, seed: int, domain: str = RANK_DOMAIN) -> Split:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass, field, fields, is_dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from foldwise.functions.hashing import GAMMA, finalize, fnv1a, hex16
+from foldwise.operators.coordinates import descriptor
+from foldwise.operators.state import hadoop_paths
 from foldwise.sources.rows import DataError, Rows
 
 
@@ -24,12 +26,13 @@ class StageError(DataError):
 
 @dataclass(frozen=True)
 class Audit:
-    """What a fit has used: stage names, seeds, data identity, and each component's own record."""
+    """What a fit has used: stage names, seeds, data identity, each component's own record, and the digest of the features' names and types."""
 
     plan: tuple[str, ...]
     seed: int
     data: str
     details: tuple[dict, ...] = ()
+    schema: str = ""
 
     @property
     def plan_hash(self) -> int:
@@ -37,7 +40,11 @@ class Audit:
 
     @property
     def digest(self) -> str:
-        return hex16(fnv1a(json.dumps([self.plan, self.seed, self.data, self.details], sort_keys=True).encode()))
+        return hex16(fnv1a(json.dumps([self.plan, self.seed, self.data, self.details, self.schema], sort_keys=True).encode()))
+
+
+def data_identity(rows: Rows) -> str:
+    return f"{rows.fingerprint.policy}:{rows.fingerprint.digest}:{rows.role.value}"
 
 
 def plain(value):
@@ -158,6 +165,53 @@ class Fitted:
             p = F.when(bad, F.raise_error(F.concat(F.lit("NonFinitePrediction: row "), name))).otherwise(p)
         return out.select(rows.row_id, p.alias("prediction"))
 
+    def checked(self, rows: Rows) -> DataFrame:
+        """The rows with all features, `prediction` and `failure`: (stage path, code) of the first stage that fails for a row, null for a good row."""
+        df, failure = rows.df.drop("error"), F.lit(None).cast("struct<path:array<int>,code:string>")
+        for path, stage in _flat(self.stages):
+            guarded = getattr(stage, "guarded", None)
+            df = guarded(df) if guarded else stage.apply(df).withColumn("error", F.lit(None).cast("string"))
+            failed = F.struct(F.lit(list(path)).cast("array<int>").alias("path"), F.col("error").alias("code"))
+            df = df.withColumn("_failure", F.coalesce(failure, F.when(F.col("error").isNotNull(), failed))).drop("error")
+            failure = F.col("_failure")
+        return df.withColumnRenamed("_failure", "failure")
+
+    def first_failure(self, rows: Rows) -> DataFrame:
+        """(row id, path, code) of the failing row with the least id: no row if all are good. The same for every partitioning; one aggregate."""
+        m = self.checked(rows).agg(first_of(rows.row_id).alias("m")).where("m is not null")
+        return m.select(F.col("m.row").alias(rows.row_id), F.array_join(F.col("m.failure.path").cast("array<string>"), ".").alias("path"), F.col("m.failure.code").alias("code"))
+
+    def write_predictions(self, rows: Rows, path: str) -> None:
+        """Write (row id, prediction) of all rows as Parquet. If any row fails, StageError names the first in the order of ids, found in the same pass; what was written then has no success mark.
+
+        The table is written beside its place and takes it only when all rows are good.
+        """
+        seen, part = Observation(), f"{path}.part-{uuid.uuid4().hex}"
+        out = self.checked(rows).observe(seen, first_of(rows.row_id).alias("first")).select(rows.row_id, "prediction")
+        out.write.parquet(part)
+        first = seen.get["first"]
+        fs, (source, target) = hadoop_paths(rows.df.sparkSession, part, path)
+        if first is not None:
+            fs.delete(source, True)
+            raise StageError(tuple(first["failure"]["path"]), DataError(first["failure"]["code"].partition(":")[0], f"row {first['row']}, {first['failure']['code'].partition(':')[2]}"))
+        if fs.exists(target) or not fs.rename(source, target):
+            fs.delete(source, True)
+            raise DataError("TargetExists", path)
+
+
+def first_of(row_id: str) -> Column:
+    """The least (row, failure) of the rows that have one."""
+    return F.min(F.when(F.col("failure").isNotNull(), F.struct(F.col(row_id).alias("row"), "failure")))
+
+
+def _flat(stages: tuple, path: tuple[int, ...] = ()) -> list[tuple[tuple[int, ...], Stage]]:
+    """Stages with their ordinal paths, chained ones taken apart."""
+    out = []
+    for i, stage in enumerate(stages):
+        parts = (stage.first, stage.second) if hasattr(stage, "first") and hasattr(stage, "second") else None
+        out += _flat(parts, (*path, i)) if parts else [((*path, i), stage)]
+    return out
+
 
 class Blueprint:
     """A chain to be fitted: transforms, at most one supervised feature map, then a learner. Unlawful orders raise TypeError."""
@@ -192,7 +246,7 @@ class Blueprint:
         rows.fitting()
         if not self.parts or not isinstance(self.parts[-1], Learner):
             raise TypeError("a blueprint ends in a learner")
-        audit = Audit(self.plan, seed, f"{rows.fingerprint.policy}:{rows.fingerprint.digest}:{rows.role.value}")
+        audit = Audit(self.plan, seed, data_identity(rows), (), descriptor(rows.df, rows.features)["digest"])
         stages, details = [], []
         for i, part in enumerate(self.parts):
             own = child_seed(seed, audit.plan_hash, i)
@@ -209,7 +263,7 @@ class Blueprint:
                 raise StageError((i,), e) from e
             stages.append(stage)
             details.append(plain({"stage": part.name, "ordinal": i, "seed": own, **stage.record()}))
-        return Fitted(tuple(stages), Audit(audit.plan, seed, audit.data, tuple(details)))
+        return Fitted(tuple(stages), Audit(audit.plan, seed, audit.data, tuple(details), audit.schema))
 
 
 def checked(df: DataFrame, features: tuple[str, ...], outputs: dict[str, Column]) -> DataFrame:

@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def hadoop_paths(spark: SparkSession, *paths: str) -> tuple:
+    """The file system of the first path, and all paths, as Spark's own readers and writers see them."""
+    found = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark._jsc.hadoopConfiguration()), tuple(found)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder of the session and cut its lineage."""
     shared_folder(df.sparkSession)

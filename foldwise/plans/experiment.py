@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import threading
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.functions.digests import derived
 from foldwise.functions.hashing import finalize, fnv1a, framed, hex16
 from foldwise.operators.metrics import Metric
 from foldwise.operators.splits import Amount, Split, holdout, train_validation_test, validation
-from foldwise.operators.stages import Blueprint, Fitted, StageError
+from foldwise.operators.stages import Blueprint, Fitted, StageError, data_identity
+from foldwise.operators.state import hadoop_paths
 from foldwise.sources.rows import DataError, Role, Rows, overlap
 
 PHASES = ("split", "candidate-fit", "validation", "selected-refit", "test", "deployment-refit")
@@ -79,13 +84,41 @@ class Authority:
         return self.reason
 
 
+class SharedAuthority(Authority):
+    """Leave to refit once, for all drivers that share a folder: a retried or second driver can't take it again.
+
+    A mark is created exclusively in the folder, which must be kept as long as that shall hold. Local folders and HDFS create it atomically;
+    other stores do as far as their file system refuses to overwrite.
+    """
+
+    def __init__(self, reason: str, spark: SparkSession, folder: str):
+        super().__init__(reason)
+        self.spark, self.path = spark, f"{folder.rstrip('/')}/refit-{hashlib.sha256(reason.encode()).hexdigest()}"
+
+    def take(self) -> str:
+        super().take()
+        fs, (path,) = hadoop_paths(self.spark, self.path)
+        try:
+            if fs.getUri().getScheme() == "file":
+                local = path.toUri().getPath()
+                os.makedirs(os.path.dirname(local), exist_ok=True)
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            else:
+                fs.create(path, False).close()
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, FileExistsError) or fs.exists(path):
+                raise DataError("RefitAlreadyTaken", self.reason) from None
+            raise
+        return self.reason
+
+
 def observed(*parts: Rows) -> Rows:
     """All rows seen so far, as refit rows: lawful only with an authority (see `refit`)."""
     first = parts[0]
     df = first.df
     for p in parts[1:]:
         df = df.unionByName(p.df)
-    return first.with_df(df, role=Role.REFIT)
+    return first.with_df(df, role=Role.REFIT, fingerprint=derived("observation", *(p.fingerprint for p in parts)))
 
 
 def refit(blueprint: Blueprint, authority: Authority, parts: list[Rows], seed: int) -> Fitted:
@@ -94,9 +127,11 @@ def refit(blueprint: Blueprint, authority: Authority, parts: list[Rows], seed: i
 
 
 def evaluate(fitted: Fitted, trained_on: Rows, held_out: Rows, metric: Metric, truth: str, weight: str | None = None) -> Evaluation:
-    """Score held-out rows, after checking that there are some and that the fit never saw any of them."""
+    """Score held-out rows, after checking that the model was fitted on `trained_on`, that there are some held-out rows, and that the fit never saw any of them."""
     if not held_out.role.evaluates:
         raise DataError("NotEvaluationData", held_out.role.value)
+    if fitted.audit.data != data_identity(trained_on):
+        raise DataError("FingerprintMismatch", f"{fitted.audit.data} was fitted, not {data_identity(trained_on)}")
     held_out.non_empty()
     seen = overlap(trained_on.df, held_out.df, held_out.row_id).limit(1).collect()
     if seen:
@@ -117,11 +152,12 @@ class Experiment:
     #: How far `run` goes.
     STOPS = {"validation": "validate", "train-validation-test": "test", "precommitted": "test"}
 
-    def __init__(self, route: str, rows: Rows, blueprint: Blueprint, metric: Metric, seed: int, validation: Amount | None = None, test: Amount | None = None, weight: str | None = None):
+    def __init__(self, route: str, rows: Rows, blueprint: Blueprint, metric: Metric, seed: int, validation: Amount | None = None, test: Amount | None = None, weight: str | None = None, authorities: str | None = None):
+        """`authorities`: a folder that all drivers share; with it each refit is granted once however often the experiment is started again."""
         if route not in self.ROUTES:
             raise DataError("UnknownRoute", route)
         self.route, self.rows, self.blueprint, self.metric, self.seed = route, rows, blueprint, metric, seed
-        self.amounts, self.weight, self.done = (validation, test), weight, []
+        self.amounts, self.weight, self.done, self.authorities = (validation, test), weight, [], authorities
         self.split: Split | None = None
         self.candidate: Fitted | None = None
         self.selected: Fitted | None = None
@@ -151,6 +187,9 @@ class Experiment:
     def of(self, phase: str) -> int:
         return phase_seed(self.seed, self.blueprint.plan, phase)
 
+    def _granted(self, reason: str) -> Authority:
+        return SharedAuthority(reason, self.rows.df.sparkSession, self.authorities) if self.authorities else Authority(reason)
+
     def _partition(self) -> None:
         v, t = self.amounts
         seed = self.of("split")
@@ -170,7 +209,7 @@ class Experiment:
     def _select(self) -> None:
         v = self.validated
         self.selection = Selection(v.hash, v.metric, self.metric.minimize, v.score, self.candidate.audit.digest)
-        self.authority = Authority(self.selection.hash)
+        self.authority = self._granted(self.selection.hash)
 
     def _refit(self) -> None:
         self.selected = refit(self.blueprint, self.authority, [self.split.train, self.split.validation], self.of("selected-refit"))
@@ -181,7 +220,7 @@ class Experiment:
         else:
             fitted, seen = self.selected, observed(self.split.train, self.split.validation)
         self.tested = evaluate(fitted, seen, self.split.test, self.metric, self.rows.target, self.weight)
-        self.deployment = Authority(self.tested.hash)
+        self.deployment = self._granted(self.tested.hash)
 
     def _deployment_refit(self) -> None:
         parts = [self.split.train, self.split.test] if self.route == "precommitted" else [self.split.train, self.split.validation, self.split.test]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from fractions import Fraction
 from functools import reduce
 
@@ -13,6 +13,7 @@ from foldwise.operators import metrics, ridge, scalers
 from foldwise.operators.encoders import CrossFitted
 from foldwise.operators.resampling import k_fold, rolling_plan
 from foldwise.operators.stages import Blueprint, Mapped, child_seed
+from foldwise.operators.state import shared_folder
 from foldwise.plans import search
 from foldwise.plans.experiment import Experiment, phase_seed
 from foldwise.plans.model_queries import ridge_sql
@@ -143,12 +144,21 @@ def stream_scoring(s, d):
     """A folder of line items scored as a stream; the result is that of the batch."""
     rows = lines(s, d)
     fitted = Blueprint().learn(ridge.Ridge(ridge.Config(PENALTY))).fit(rows.with_df(rows.df, role=Role.TRAIN), SEED)
-    root = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='foldwise-stream-')}/stream-{id(fitted)}"
+    root = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     rows.df.select("row_id", *rows.features).write.parquet(f"{root}/in")
     score_folder(s, fitted, f"{root}/in", f"{root}/out", f"{root}/state", "row_id long, l_quantity double, l_discount double").awaitTermination()
     return s.read.parquet(f"{root}/out").select("row_id", F.round("prediction", 4).alias("prediction"))
 
 
+def first_failure(s, d):
+    """Orders with planted faults: infinite quantities, and numbers of lines that overflow when they are scaled. The first in the order of ids, with its stage."""
+    rows = order_features(s, d)
+    fitted = blueprint().fit(rows.with_df(rows.df, role=Role.TRAIN), SEED)
+    bad = rows.df.withColumns({"quantity": F.when(F.col("o_orderkey") % 1013 == 0, float("inf")).otherwise(F.col("quantity")), "lines": F.when(F.col("o_orderkey") % 97 == 96, 1.5e308).otherwise(F.col("lines"))})
+    late = rows.with_df(bad.where("o_orderkey > 100"))
+    return fitted.first_failure(rows.with_df(bad)).unionByName(fitted.first_failure(late))
+
+
 def audit_trail(s, d):
     e = experiment(s, d, "validation").run("fit_candidate")
     return s.createDataFrame([(i, x["stage"], str(x["seed"])) for i, x in enumerate(e.candidate.audit.details)], "ordinal int, stage string, seed string")
@@ -168,6 +178,7 @@ QUERIES = {
     "deployment_refit": lambda s, d: _model(s, experiment(s, d, "train-validation-test").run("deployment_refit").deployed.model),
     "selection_receipt": selection_receipt,
     "audit_trail": audit_trail,
+    "first_failure": first_failure,
     "cv_ridge_grid": cv_ridge_grid,
     "cv_ridge_best": cv_ridge_best,
     "cv_any_blueprint": cv_any_blueprint,
@@ -270,6 +281,8 @@ ORACLE = {
     "cv_ridge_grid": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, CAST(fold AS INTEGER) AS fold, round(score, 4) AS score FROM c",
     "cv_ridge_best": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p ORDER BY avg(score), i LIMIT 1",
     "cv_any_blueprint": f"WITH {_cv_sql('f', 'o_orderkey', 'y', 3, [0.1, 1000.0], ORDER_FEATURES + ',')} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p",
+    "first_failure": f"""WITH {ORDER_FEATURES}, b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 0 THEN 'NonFiniteInput:quantity' ELSE 'NonFiniteOutput:lines' END AS code FROM f WHERE o_orderkey % 1013 = 0 OR o_orderkey % 97 = 96)
+(SELECT o_orderkey, '0' AS path, code FROM b ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT o_orderkey, '0', code FROM b WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1)""",
     "rolling_rows": f"""WITH {_EVENTS} SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN pos < start THEN 'analysis' ELSE 'assessment' END AS role, event_id FROM w JOIN e ON pos < stop WHERE fold < 3""",
     "rolling_rmse": f"""WITH {_EVENTS}, {_centred_sql("w JOIN e ON e.pos < w.start", "fold", "true", str(PENALTY))}
 SELECT CAST(w.fold AS INTEGER) AS fold, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", round(sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)), 6) AS rmse FROM w JOIN b ON w.fold = b.fold JOIN e ON e.pos >= start AND e.pos < stop GROUP BY ALL""",

@@ -6,9 +6,12 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from foldwise.functions.digests import BASES, PRIMES
+from foldwise.functions.hashing import RANK_DOMAIN
 from foldwise.operators import resampling, splits
 from foldwise.plans.tables import LINES, WORD, finalize_sql, identity, lines, order_features, orders, rank_sql, read, signed_sql
 from foldwise.sources.rows import duplicate_ids, from_pairs, ids_fingerprint, numbered, overlap, restore_check, unsplit
+from foldwise.sources.rows import ordered_fingerprint as rows_fingerprint
 
 SEED = 42
 
@@ -90,6 +93,57 @@ def partition_fingerprint(spark, sf_dir):
     return spark.createDataFrame([(p.policy, p.digest)], "policy string, digest string")
 
 
+def ordered_fingerprint(spark, sf_dir):
+    p = rows_fingerprint(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", ("o_custkey", "o_orderpriority"))
+    return spark.createDataFrame([(p.fields[0], p.digest)], "policy string, digest string")
+
+
+def fold_fingerprints(spark, sf_dir):
+    found = resampling.k_fold(orders(spark, sf_dir), 5, SEED).fingerprints()
+    return spark.createDataFrame([(k, d.n, d.text) for k, d in found.items()], "fold int, n long, digest string")
+
+
+def split_provenance(spark, sf_dir):
+    return splits.train_validation_test(orders(spark, sf_dir), Fraction(1, 5), Fraction(1, 10), SEED).provenance().drop("identity")
+
+
+def _positions(spark, sf_dir):
+    return numbered(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal")), [F.col("c_custkey")], "pos")
+
+
+def positional_weights(spark, sf_dir):
+    """Customers' balances weighted by the balances' squares a row, which come from another frame by position."""
+    rows = _positions(spark, sf_dir)
+    weights = _positions(spark, sf_dir).select("pos", (F.col("c_acctbal") * F.col("c_acctbal") + 1).alias("weight"))
+    return resampling.zipped(rows, weights).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("c_acctbal") * F.col("weight")) / F.sum("weight"), 4).alias("mean"))
+
+
+def positional_gather(spark, sf_dir):
+    """Every third customer by position, the first ten twice."""
+    rows = _positions(spark, sf_dir)
+    third = rows.where("pos % 3 = 0").select("pos")
+    return resampling.gathered(rows, third.unionByName(rows.where("pos < 10").select("pos")).unionByName(rows.where("pos < 10").select("pos")), rows.count()).select("pos", "c_custkey")
+
+
+def bound_positions(spark, sf_dir):
+    """A plan by position, checked against its size, seed and population."""
+    rows = orders(spark, sf_dir)
+    n = rows.df.count()
+    plan = resampling.External(n, 4, SEED, rows_fingerprint(rows.df, "o_orderkey").digest)
+    given = spark.range(n).select(F.col("id").alias("pos"), F.pmod(F.floor(F.col("id") / 7), F.lit(4)).cast("int").alias("fold"))
+    return resampling.bound_by_position(rows, given, plan, SEED).rows.df.select("o_orderkey", "fold")
+
+
+def _digest_sql(source: str, columns: list[str], order: str, by: str = "") -> str:
+    """CTE z: n and digest of the rows of `source` in their order, by the column `by` if given."""
+    text = ", ".join(f"coalesce('+' || replace(CAST({c} AS VARCHAR), chr(31), chr(31) || chr(31)), '-')" for c in columns)
+    powers = [f"list_reduce([{', '.join(f'CASE WHEN (pos >> {k}) & 1 = 1 THEN {pow(b, 1 << k, p)}::BIGINT ELSE 1::BIGINT END' for k in range(24))}], lambda x, y: x * y % {p})" for b, p in zip(BASES, PRIMES)]
+    keep = f"{by}, " if by else ""
+    sums = ", ".join(f"CAST(sum(h % {p} * {w} % {p}) % {p} AS BIGINT) AS d{i}" for i, (w, p) in enumerate(zip(powers, PRIMES)))
+    return f"""h AS (SELECT {keep}CAST('0x' || substr(md5(concat_ws(chr(31) || ',', {text})), 1, 15) AS BIGINT) AS h, row_number() OVER ({f"PARTITION BY {by} " if by else ""}ORDER BY {order}) - 1 AS pos FROM {source}),
+z AS (SELECT {keep}n, n || ':' || format('{{:08x}}{{:08x}}', d0, d1) AS digest FROM (SELECT {keep}count(*) AS n, {sums} FROM h {f"GROUP BY {by}" if by else ""}))"""
+
+
 def bound_assignment(spark, sf_dir):
     rows = order_features(spark, sf_dir)
     given = rows.df.select("o_orderkey", F.pmod("o_custkey", F.lit(4)).cast("int").alias("fold"))
@@ -114,6 +168,12 @@ def batch_totals(spark, sf_dir):
 
 
 QUERIES = {
+    "ordered_fingerprint": ordered_fingerprint,
+    "fold_fingerprints": fold_fingerprints,
+    "split_provenance": split_provenance,
+    "positional_weights": positional_weights,
+    "positional_gather": positional_gather,
+    "bound_positions": bound_positions,
     "split_holdout_rows": lambda s, d: _roles(splits.holdout(orders(s, d), 300, SEED)),
     "split_validation_fraction": lambda s, d: _roles(splits.validation(orders(s, d), Fraction(1, 5), SEED)),
     "split_tvt": lambda s, d: _roles(splits.train_validation_test(orders(s, d), Fraction(1, 5), Fraction(1, 10), SEED)),
@@ -155,6 +215,14 @@ hashed AS (SELECT {signed_sql("h")} AS h FROM x8)"""
 
 _FOLD = finalize_sql("orders", f"xor(CAST(o_orderkey AS UBIGINT), {SEED}::UBIGINT)", "o_orderkey", "r")
 ORACLE = {
+    "ordered_fingerprint": f"""WITH {_digest_sql("orders", ["o_orderkey", "o_custkey", "o_orderpriority"], "o_orderkey")} SELECT 'ordered-rows-v1' AS policy, digest FROM z""",
+    "fold_fingerprints": f"""WITH {finalize_sql("orders", f"xor(CAST(o_orderkey AS UBIGINT), {SEED}::UBIGINT)", "o_orderkey", "r")}, g AS (SELECT o_orderkey, (row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS fold FROM r),
+{_digest_sql("g", ["o_orderkey"], "o_orderkey", "fold")} SELECT CAST(fold AS INTEGER) AS fold, n, digest FROM z""",
+    "split_provenance": f"""WITH t AS ({_role_sql("(n // 5)", "(n // 10)")}), {_digest_sql("t", ["o_orderkey"], "o_orderkey", "role")}
+SELECT role, n, digest AS ids, 'source-identity:orders,1:parquet' AS source, CAST({SEED} AS BIGINT) AS seed, '{RANK_DOMAIN}' AS algorithm, 'validation=1/5,test=1/10' AS policy FROM z""",
+    "positional_weights": "SELECT count(*) AS n, round(sum(b * (b * b + 1)) / sum(b * b + 1), 4) AS mean FROM (SELECT CAST(c_acctbal AS DOUBLE) AS b FROM customer)",
+    "positional_gather": "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer) SELECT pos, c_custkey FROM a WHERE pos % 3 = 0 UNION ALL SELECT pos, c_custkey FROM a, range(0, 2) WHERE pos < 10",
+    "bound_positions": "SELECT o_orderkey, CAST(((row_number() OVER (ORDER BY o_orderkey) - 1) // 7) % 4 AS INTEGER) AS fold FROM orders",
     "split_holdout_rows": _role_sql("0", "300"),
     "split_validation_fraction": _role_sql("(n // 5)", "0"),
     "split_tvt": _role_sql("(n // 5)", "(n // 10)"),

@@ -53,7 +53,7 @@ def decode_stage(given: dict) -> Stage:
 def encode(fitted: Fitted) -> bytes:
     """A chain as canonical JSON with its digest; floats come back bit by bit."""
     a = fitted.audit
-    body = {"magic": MAGIC, "audit": {"plan": a.plan, "seed": a.seed, "data": a.data, "details": a.details}, "stages": [encode_stage(s) for s in fitted.stages]}
+    body = {"magic": MAGIC, "audit": {"plan": a.plan, "seed": a.seed, "data": a.data, "details": a.details, "schema": a.schema}, "stages": [encode_stage(s) for s in fitted.stages]}
     text = json.dumps(body, sort_keys=True, separators=(",", ":"))
     return json.dumps({"body": body, "sha256": hashlib.sha256(text.encode()).hexdigest()}, sort_keys=True, separators=(",", ":")).encode()
 
@@ -69,4 +69,4 @@ def decode(data: bytes) -> Fitted:
     if hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest() != outer.get("sha256"):
         raise DataError("WrongDigest")
     a = body["audit"]
-    return Fitted(tuple(map(decode_stage, body["stages"])), Audit(tuple(a["plan"]), a["seed"], a["data"], tuple(a["details"])))
+    return Fitted(tuple(map(decode_stage, body["stages"])), Audit(tuple(a["plan"]), a["seed"], a["data"], tuple(a["details"]), a.get("schema", "")))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.functions.digests import ordered_digest
 from foldwise.functions.hashing import Fingerprint
 from foldwise.operators.state import global_position, skew_join
 
@@ -122,6 +123,12 @@ def ids_fingerprint(df: DataFrame, row_id: str) -> Fingerprint:
     return Fingerprint("summary", ("row-ids-v1",), f"{r['n']}:{r['x'] or 0}:{r['s'] or 0}")
 
 
+def ordered_fingerprint(df: DataFrame, row_id: str, columns: tuple[str, ...] = ()) -> Fingerprint:
+    """A digest of the rows (the id and other columns) in ascending order of the id: the same for every partitioning, another one if two rows change places or anything in them changes."""
+    kept = [row_id, *(c for c in columns if c != row_id)]
+    return ordered_digest(global_position(df.select(*kept), [F.col(row_id)]), kept).fingerprint()
+
+
 def duplicate_ids(df: DataFrame, row_id: str, order: str | None = None) -> DataFrame:
     """(row_id, n, at) of each id that occurs more than once, with its second position where `order` gives positions."""
     if not order:
