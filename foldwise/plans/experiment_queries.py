@@ -151,7 +151,7 @@ def stream_scoring(s, d):
 
 
 def first_failure(s, d):
-    """Orders with planted faults: infinite quantities, and numbers of lines that overflow when they are scaled. The first in the order of ids, with its stage."""
+    """Orders with planted faults: infinite quantities, which scaling refuses, and numbers of lines so large that their predictions overflow. The first in the order of ids, with its stage."""
     rows = order_features(s, d)
     fitted = blueprint().fit(rows.with_df(rows.df, role=Role.TRAIN), SEED)
     bad = rows.df.withColumns({"quantity": F.when(F.col("o_orderkey") % 1013 == 0, float("inf")).otherwise(F.col("quantity")), "lines": F.when(F.col("o_orderkey") % 97 == 96, 1.5e308).otherwise(F.col("lines"))})
@@ -281,8 +281,8 @@ ORACLE = {
     "cv_ridge_grid": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, CAST(fold AS INTEGER) AS fold, round(score, 4) AS score FROM c",
     "cv_ridge_best": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p ORDER BY avg(score), i LIMIT 1",
     "cv_any_blueprint": f"WITH {_cv_sql('f', 'o_orderkey', 'y', 3, [0.1, 1000.0], ORDER_FEATURES + ',')} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p",
-    "first_failure": f"""WITH {ORDER_FEATURES}, b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 0 THEN 'NonFiniteInput:quantity' ELSE 'NonFiniteOutput:lines' END AS code FROM f WHERE o_orderkey % 1013 = 0 OR o_orderkey % 97 = 96)
-(SELECT o_orderkey, '0' AS path, code FROM b ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT o_orderkey, '0', code FROM b WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1)""",
+    "first_failure": f"""WITH {ORDER_FEATURES}, b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 0 THEN '0' ELSE '1' END AS path, CASE WHEN o_orderkey % 1013 = 0 THEN 'NonFiniteInput:quantity' ELSE 'NonFiniteOutput:prediction' END AS code FROM f WHERE o_orderkey % 1013 = 0 OR o_orderkey % 97 = 96)
+(SELECT o_orderkey, path, code FROM b ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT o_orderkey, path, code FROM b WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1)""",
     "rolling_rows": f"""WITH {_EVENTS} SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN pos < start THEN 'analysis' ELSE 'assessment' END AS role, event_id FROM w JOIN e ON pos < stop WHERE fold < 3""",
     "rolling_rmse": f"""WITH {_EVENTS}, {_centred_sql("w JOIN e ON e.pos < w.start", "fold", "true", str(PENALTY))}
 SELECT CAST(w.fold AS INTEGER) AS fold, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", round(sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)), 6) AS rmse FROM w JOIN b ON w.fold = b.fold JOIN e ON e.pos >= start AND e.pos < stop GROUP BY ALL""",
