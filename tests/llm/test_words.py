@@ -187,8 +187,10 @@ def test_seating():
     assert pitman_yor.reseated(np.array([1, 10**12]), np.array([0, 0]), np.array([1e-9, 1e-6]), 0.5, 1.0, np.random.default_rng(2))[0] == 1
 
 
-def test_model_of_a_corpus(spark, docs):
+@pytest.mark.parametrize("part_bytes", [4 << 20, 3000])
+def test_model_of_a_corpus(spark, docs, monkeypatch, part_bytes):
     """Scores and base scores against a plain recomputation from the samples' tables; probabilities add up to 1 in every context."""
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", part_bytes)  # the smaller one splits all buckets into parts
     rows = [(r[0], r[1]) for r in awkward()]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "n", "held", "chunk", "bucket")}).repartition(3)
     held = F.pmod(F.col("doc_id"), F.lit(3)) == 1
@@ -207,7 +209,9 @@ def test_model_of_a_corpus(spark, docs):
 
     bits, buckets = 3, 4
     requests = pitman_yor.requested(df, "doc_id", "text", held, buckets, bits).cache()
-    cells = pitman_yor.counted(requests, buckets).cache()
+    asked, heavy = pitman_yor.parted(requests)
+    cells = pitman_yor.counted(asked, heavy, buckets).cache()
+    assert (heavy.count() > 1) == (part_bytes == 3000) and cells.groupBy("bucket").count().where("count > 1").count() == 0
     start = pitman_yor.sums_of_ones(cells, bits)
     totals = pitman_yor.totals_of(start, bits, v, None)[0]
     seats = pitman_yor.seated(cells, spark.sparkContext.broadcast(totals), 1, 2, bits, 5).cache()
@@ -244,7 +248,7 @@ def test_model_of_a_corpus(spark, docs):
     for u in [*contexts[:: max(1, len(contexts) // 8)], (255 << bits) | 1]:
         for s in range(2):
             assert sum(p(s, w, u) for w in known) + p(s, -1, u) == pytest.approx(1, abs=1e-9)
-    answers = pitman_yor.answered(requests, seats, spark.sparkContext.broadcast(samples), buckets, bits)
+    answers = pitman_yor.answered(asked, heavy, seats, spark.sparkContext.broadcast(samples), buckets, bits)
     final = {(r["doc_id"], r["n_tokens"]): r["score"] for r in pitman_yor.added_up(requests, answers, "doc_id", n, v, buckets).collect()}
     import pyarrow as pa
 
