@@ -34,15 +34,16 @@ def _repeat(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = written(verdicts.groupBy("id").agg(F.sum("copies").cast("int").alias("total"), F.min("copies").cast("int").alias("least"), F.max("copies").cast("int").alias("most")))
     usual = v.where("least = most").groupBy("most").count().orderBy(F.desc("count"), "most").first()
     usual = usual["most"] if usual else 0
-    other = v.where(f"least <> most or most <> {usual}").select(F.col("id").alias("_id"), F.when(F.col("least") == F.col("most"), F.col("most")).otherwise(0).alias("_copies"))
-    mixed = v.where("least <> most").select(F.col("id").alias("_id"), F.col("total").alias("_copies"))
+    other = v.where(f"least <> most or most <> {usual}").select("id", F.when(F.col("least") == F.col("most"), F.col("most")).otherwise(0).alias("copies"))
+    mixed = v.where("least <> most").select("id", F.col("total").alias("copies"))
     near = lambda side: F.broadcast(side) if side.count() <= BROADCAST else side.hint("shuffle_hash")
-    rows = docs.withColumn("_id", _name(docs))
-    copies = lambda df: df.select(*[f"`{c}`" for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_n")).drop("_n")
-    out = copies(rows.join(near(other), "_id", "left").withColumn("_copies", F.coalesce("_copies", F.lit(usual))))
+    # whole rows stand in a struct, so that no column of theirs can clash with the names used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _name(docs).alias("id"))
+    copies = lambda df: df.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+    out = copies(rows.join(near(other), "id", "left").select("row", F.coalesce("copies", F.lit(usual)).alias("copies")))
     if mixed.isEmpty():
         return out
-    return out.unionByName(copies(rows.join(near(mixed), "_id").dropDuplicates(["_id"])))
+    return out.unionByName(copies(rows.join(near(mixed), "id").dropDuplicates(["id"])))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

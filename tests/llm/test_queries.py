@@ -79,3 +79,24 @@ def test_pipeline_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "secret_scan", "mix", "encode"])
+def test_stages_with_clashing_columns(spark, sf, tmp_path, stage):
+    """Columns named as the stages' own helpers come through as they were; rows are those of the table without them."""
+    names = ("_id", "_n", "_copies", "id", "row", "copies", "doc", "n")
+    plain, run = spark.read.parquet(f"{sf}/documents.parquet"), dict(corpus_pipeline.STAGES)[stage]
+    docs = plain.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in names})
+    run(spark, docs, sf).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    if stage == "encode":
+        assert got.count() == docs.count()
+        return
+    assert got.columns == docs.columns and got.where(" or ".join(f"`{c}` <> '{c}-' || doc_id" for c in names)).count() == 0
+    if stage == "secret_scan":
+        assert got.count() == docs.count()
+    elif stage == "mix":
+        words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+        assert 0.9 < got.agg(F.sum(words)).first()[0] / (1.5 * docs.agg(F.sum(words)).first()[0]) < 1.1
+    else:
+        assert 0 < got.count() < docs.count() and got.groupBy("doc_id").count().where("count > 1").isEmpty()
