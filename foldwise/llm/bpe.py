@@ -2,12 +2,15 @@
 
 Texts are cut into pieces by the tokenizer's pattern. Pieces that the batch has not met before are laid out in one flat
 array of symbols; each round looks the adjacent pairs up by binary search over the sorted pair keys and merges the pair of
-lowest rank of every piece at once, until no piece holds a known pair. The vocabulary file is a parameter.
+lowest rank of every piece at once, until no piece holds a known pair. A long piece would take a round of its whole length
+for each of its many ranks: its symbols are linked instead, and a round touches the pairs of one rank and their new
+neighbours only. The vocabulary file is a parameter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,8 +25,8 @@ from foldwise.llm.common import chunks, table
 #: The byte-level pre-tokenizer's published pattern; \s without the four separators U+001C to U+001F, which it doesn't count as space. Fixed value.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Characters of text in one round, texts at a time, pieces that a task remembers at most.
-ROUND_CHARS, DOCS, MOST_PIECES = 1 << 20, 500, 200_000
+#: Characters of text in one round, texts at a time, pieces and their bytes that a task remembers at most, bytes from which a piece is long.
+ROUND_CHARS, DOCS, MOST_PIECES, MOST_BYTES, LONG = 1 << 20, 500, 200_000, 16 << 20, 1000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,9 +65,71 @@ class ByteBPE:
         self.known = {t: k for k, t in enumerate(self.added)}
         self.flat = [np.array([i], dtype=np.int64) for i in self.added.values()]
         self.lengths = [np.ones(len(self.added), dtype=np.int64)]
+        self.held = 0
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of symbols, by binary search; the number of all pairs for one that is unknown."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], len(self.keys))
+
+    def merge_long(self, raw: bytes) -> np.ndarray:
+        """Token ids of one long piece: rounds by ascending rank over linked symbols.
+
+        `waiting` has for each rank the positions that had such a pair when it came about; those that have changed since are left out when their turn comes.
+        """
+        symbols = self.base[np.frombuffer(raw, dtype=np.uint8)]
+        n, none = len(symbols), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, alive = np.full(n, none, dtype=np.int64), np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        turns: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Note the pairs that begin at the positions `at`, each once."""
+            inner = at[after[at] < n]
+            rank[at] = none
+            rank[inner] = self.ranks(symbols[inner], symbols[after[inner]])
+            inner = inner[rank[inner] < none]
+            inner = inner[np.argsort(rank[inner], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[inner], prepend=-1))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(inner)]):
+                r = int(rank[inner[lo]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(turns, r)
+                waiting[r].append(inner[lo:hi])
+
+        look(np.arange(n))
+        while turns:
+            r = heapq.heappop(turns)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            hit = hit[alive[hit] & (rank[hit] == r)]
+            if not len(hit):
+                continue
+            run = np.concatenate([[True], after[hit[:-1]] != hit[1:]])
+            start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+            gone = after[hit]
+            symbols[hit] = self.made[np.searchsorted(self.keys, symbols[hit] * self.width + symbols[gone])]
+            alive[gone] = False
+            after[hit] = after[gone]
+            inner = after[hit] < n
+            before[after[hit[inner]]] = hit[inner]
+            look(np.unique(np.concatenate([hit, before[hit[before[hit] >= 0]]])))
+        return symbols[alive]
 
     def merge(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces, one after another, and the number of ids of each piece (none of them empty)."""
+        if not any(len(r) >= LONG for r in raw):
+            return self._merge_short(raw)
+        short = [r for r in raw if len(r) < LONG]
+        ids, n = self._merge_short(short) if short else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        parts = iter(np.split(ids, np.cumsum(n)[:-1]) if short else ())
+        out = [self.merge_long(r) if len(r) >= LONG else next(parts) for r in raw]
+        return np.concatenate(out), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+
+    def _merge_short(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         symbols = self.base[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         piece = np.repeat(np.arange(len(raw)), size)
@@ -72,10 +137,8 @@ class ByteBPE:
         none = len(self.keys)
         while len(symbols):
             left = np.flatnonzero(piece[1:] == piece[:-1])
-            key = symbols[left] * self.width + symbols[left + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
             rank = np.full(len(symbols), none, dtype=np.int64)
-            rank[left] = np.where(self.keys[at] == key, self.rank[at], none)
+            rank[left] = self.ranks(symbols[left], symbols[left + 1])
             begins = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
             counts = np.diff(np.append(begins, len(symbols)))
             best = np.repeat(np.minimum.reduceat(rank, begins), counts)
@@ -114,7 +177,7 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
         cuts = [self.cut(t) for t in texts]
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > MOST_PIECES or self.held > MOST_BYTES:
             self._reset()
         known, fresh = self.known, []
         before = len(known)
@@ -124,6 +187,7 @@ class ByteBPE:
                     known[w] = before + len(fresh)
                     fresh.append(w.encode())
         if fresh:
+            self.held += sum(map(len, fresh))
             ids, n = self.merge(fresh)
             self.flat.append(ids)
             self.lengths.append(n)

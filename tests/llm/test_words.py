@@ -269,3 +269,25 @@ def test_model_query(spark, sf):
     got = registry.queries()["op13_pitman_yor"](spark, sf)
     r = {x["held_out"]: x for x in pitman_yor.perplexity(got).collect()}
     assert r[True]["perplexity"] < 0.6 * r[True]["base_perplexity"] and r[False]["perplexity"] < r[True]["perplexity"]
+
+
+def test_long_pieces():
+    """One piece of a million letters, and long ones of few letters, spaces and the same letter, equal the library's ids within seconds."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    from foldwise.llm import bpe
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    own = bpe.ByteBPE(open(bpe.default_tokenizer(), encoding="utf-8").read())
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("ab", "aaab", "theion", "abcdefghijklmnopqrstuvwxyz", "\u00e9a\u4e00", " ", "!-=") for n in (999, 1000, 1001, 30_000)]
+    texts += ["a" * 50_001, "x" + " " * 20_000 + "y", "word " * 500 + "z" * 1500 + " word" * 500]
+    for t, ids, want in zip(texts, own.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == want.ids and own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
+    text = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    start = time.perf_counter()
+    ids = own.encode_batch([text])[0]
+    assert time.perf_counter() - start < 60  # some seconds on a free machine
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
