@@ -84,6 +84,7 @@ class Named(Stage):
     label: str
     version: int
     outputs: dict[str, Column] = field(hash=False)
+    sql: tuple[tuple[str, str], ...] | None = None
 
     @property
     def name(self) -> str:
@@ -116,6 +117,13 @@ class Mapped(Transform):
         self.stage = Named(label, version, outputs)
         self.name = self.stage.name
 
+    @classmethod
+    def of_sql(cls, label: str, expressions: dict[str, str], version: int = 1) -> Mapped:
+        """A map given as SQL expressions: it can be kept in an artifact."""
+        out = cls(label, {k: F.expr(e) for k, e in expressions.items()}, version)
+        out.stage = Named(label, version, out.stage.outputs, tuple(expressions.items()))
+        return out
+
     def fit(self, rows: Rows, seed: int) -> Stage:
         return self.stage
 

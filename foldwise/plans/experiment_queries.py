@@ -18,9 +18,10 @@ from foldwise.plans import search
 from foldwise.plans.experiment import Experiment, phase_seed
 from foldwise.plans.model_queries import ridge_sql
 from foldwise.plans.sufficient import rolling_scores
-from foldwise.plans.tables import LINES, ORDER_FEATURES, WORD, finalize_sql, identity, lines, order_features, rank_sql, read
+from foldwise.plans.tables import LINES, ORDER_FEATURES, WORD, finalize_sql, identity, lines, order_features, priced, rank_sql, read
 from foldwise.sources import artifacts
 from foldwise.sources.rows import Role, unsplit
+from foldwise.streaming import metrics as stream_metrics
 from foldwise.streaming.scoring import score_folder
 
 SEED, PENALTY, PENALTIES = 42, 0.1, [0.01, 1.0, 100.0, 10000.0]
@@ -150,6 +151,28 @@ def stream_scoring(s, d):
     return s.read.parquet(f"{root}/out").select("row_id", F.round("prediction", 4).alias("prediction"))
 
 
+def artifact_folder(s, d):
+    """A chain with a map and a cross-fitted encoder, kept as a folder with the encoder's table and read back: predictions of all rows by both."""
+    rows = order_features(s, d)
+    b = Blueprint().via(Mapped.of_sql("per-line", {"per_line": "quantity / lines"})).via(CrossFitted("o_custkey", "encoded", 5, then=scalers.StandardScaler())).learn(_RIDGE)
+    fitted = b.fit(rows.with_df(rows.df, role=Role.TRAIN), SEED)
+    at = f"{shared_folder(s)}/artifact-{uuid.uuid4().hex}"
+    artifacts.save(fitted, s, at)
+    a, again = fitted.predict(rows), artifacts.load(s, at).predict(rows).withColumnRenamed("prediction", "again")
+    return a.join(again, "o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction") == F.col("again")).alias("same"))
+
+
+def stream_metric(s, d):
+    """RMSE of a stream of scored line items, batch by batch, measured once more after a restart."""
+    root = f"{shared_folder(s)}/metric-{uuid.uuid4().hex}"
+    scored = priced(s, d).df.select(F.col("l_extendedprice").alias("truth"), (F.col("l_quantity") * 1500.0).alias("prediction"))
+    scored.repartition(6).write.parquet(f"{root}/in")
+    for _ in range(2):
+        stream = s.readStream.schema("truth double, prediction double").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        stream_metrics.measure_stream(stream, metrics.rmse(), f"{root}/parts", f"{root}/state").awaitTermination()
+    return s.createDataFrame([(round(stream_metrics.value(s, metrics.rmse(), f"{root}/parts"), 6),)], "value double")
+
+
 def first_failure(s, d):
     """Orders with planted faults: infinite quantities, which scaling refuses, and numbers of lines so large that their predictions overflow. The first in the order of ids, with its stage."""
     rows = order_features(s, d)
@@ -179,6 +202,8 @@ QUERIES = {
     "selection_receipt": selection_receipt,
     "audit_trail": audit_trail,
     "first_failure": first_failure,
+    "artifact_folder": artifact_folder,
+    "stream_metric": stream_metric,
     "cv_ridge_grid": cv_ridge_grid,
     "cv_ridge_best": cv_ridge_best,
     "cv_any_blueprint": cv_any_blueprint,
@@ -281,6 +306,8 @@ ORACLE = {
     "cv_ridge_grid": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, CAST(fold AS INTEGER) AS fold, round(score, 4) AS score FROM c",
     "cv_ridge_best": f"WITH {_CV} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p ORDER BY avg(score), i LIMIT 1",
     "cv_any_blueprint": f"WITH {_cv_sql('f', 'o_orderkey', 'y', 3, [0.1, 1000.0], ORDER_FEATURES + ',')} SELECT CAST(i AS INTEGER) AS index, CAST(p AS DOUBLE) AS penalty, round(avg(score), 4) AS score FROM c GROUP BY i, p",
+    "artifact_folder": "SELECT count(*) AS n, true AS same FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
+    "stream_metric": "SELECT round(sqrt(avg((l_extendedprice - l_quantity * 1500.0::DOUBLE) ** 2)), 6) AS value FROM lineitem",
     "first_failure": f"""WITH {ORDER_FEATURES}, b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 0 THEN '0' ELSE '1' END AS path, CASE WHEN o_orderkey % 1013 = 0 THEN 'NonFiniteInput:quantity' ELSE 'NonFiniteOutput:prediction' END AS code FROM f WHERE o_orderkey % 1013 = 0 OR o_orderkey % 97 = 96)
 (SELECT o_orderkey, path, code FROM b ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT o_orderkey, path, code FROM b WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1)""",
     "rolling_rows": f"""WITH {_EVENTS} SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN pos < start THEN 'analysis' ELSE 'assessment' END AS role, event_id FROM w JOIN e ON pos < stop WHERE fold < 3""",
