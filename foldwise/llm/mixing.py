@@ -7,6 +7,8 @@ Within a length, documents are chosen by a seeded hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +29,8 @@ def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies:
 
     sizes: distinct positive sizes; counts: documents of each. All of the budget but the last words (ROOM) is spread over all
     sizes in proportion; what that rounds off goes to the sizes of most documents. The rest is fitted by the dynamic
-    programme, whose bits are the reachable sums; it also starts with the sizes of most documents.
+    programme, whose bits are the reachable sums; it also starts with the sizes of most documents. Of n steps the bits before
+    2 * sqrt(n) are held at once.
     """
     extra = np.zeros(len(sizes), dtype=np.int64)
     total = int((sizes * counts).sum())
@@ -47,22 +50,31 @@ def fit_budget(budget: int, sizes: np.ndarray, counts: np.ndarray, most_copies:
         extra[i] += more
         left[i] -= more
         rest -= more * int(sizes[i])
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
+    mask, steps = (1 << (rest + 1)) - 1, []
     for i in order.tolist():
         many, unit = min(int(left[i]), rest // int(sizes[i])), 1
-        while many > 0 and not reach >> rest & 1:
+        while many > 0:
             take = min(unit, many)  # a count is split into 1, 2, 4, ... and the remainder
-            steps.append((reach, i, take))
-            reach |= (reach << take * int(sizes[i])) & mask
+            steps.append((i, take))
             many -= take
             unit *= 2
-        if reach >> rest & 1:
-            break
+    forward = lambda reach, i, take: reach | reach << take * int(sizes[i]) & mask
+    # of the bits before each step every k-th is kept; those between are worked out again on the way back
+    k, reach, kept, done = max(1, math.isqrt(len(steps))), 1, [], 0
+    while done < len(steps) and not reach >> rest & 1:
+        if done % k == 0:
+            kept.append(reach)
+        reach, done = forward(reach, *steps[done]), done + 1
     at = reach.bit_length() - 1
-    for before, i, take in reversed(steps):
-        if not before >> at & 1:
-            at -= take * int(sizes[i])
-            extra[i] += take
+    for block in range(len(kept) - 1, -1, -1):
+        some = steps[block * k : min(done, block * k + k)]
+        before = [kept[block]]
+        for step in some[:-1]:
+            before.append(forward(before[-1], *step))
+        for bits, (i, take) in zip(reversed(before), reversed(some)):
+            if not bits >> at & 1:
+                at -= take * int(sizes[i])
+                extra[i] += take
     return base, extra
 
 

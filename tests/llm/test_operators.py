@@ -539,3 +539,17 @@ def test_recall_of_planted_passages(spark):
     found = Counter(kinds[i] for i in got)
     print({c: found[c] for c in cases})
     assert found[(51, 0)] == found[(100, 0)] == 100 and found[(100, 2)] >= 90 and found[(60, 1)] >= 60 and found[(40, 0)] >= 70
+
+
+def test_budget_of_many_lengths_is_lean():
+    """20,000 even lengths beside a text of half a million words, and an odd budget that no sum can meet: all steps are gone through."""
+    import tracemalloc
+
+    sizes = np.append(2 * np.arange(1, 20_001), 524_286)
+    counts = np.ones(len(sizes), dtype=np.int64)
+    budget = int((sizes * counts).sum() * 0.7) | 1
+    tracemalloc.start()
+    base, extra = mixing.fit_budget(budget, sizes, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert budget - int((sizes * (base * counts + extra)).sum()) == 1 and peak < 200 << 20
