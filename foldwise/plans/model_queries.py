@@ -116,12 +116,11 @@ def ridge_matrix_free(s, d):
     """Orders' prices by a one-hot vector of 500 groups of customers, solved over the rows: no 500 x 500 matrix is made."""
     k = F.pmod("o_custkey", F.lit(HOT))
     df = read(s, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.transform(F.sequence(F.lit(0), F.lit(HOT - 1)), lambda i: (i == k).cast("double")).alias("hot"))
-    df = written(df)
+    df = written(df.repartition(s.sparkContext.defaultParallelism))  # read once an iteration, by all cores
     rows = unsplit(df, "o_orderkey", identity("orders"), target="price", role=Role.TRAIN)
     view = View.vector(df, "hot", size=HOT)
-    models = ridge.fits(rows, [ridge.Config(HOT_PENALTY, solver=k, tolerance=1e-13) for k in ridge.ROW_SOLVERS], view=view)
-    got = [(k, i, round(float(v), 2)) for k, m in zip(ridge.ROW_SOLVERS, models) for i, v in enumerate((m.intercept, *m.coefficients), -1)]
-    return s.createDataFrame(got, "solver string, position int, value double")
+    m = ridge.Ridge(ridge.Config(HOT_PENALTY, solver="row-lsqr", tolerance=1e-12), view=view).fit(rows)
+    return s.createDataFrame([(i, round(float(v), 2)) for i, v in enumerate((m.intercept, *m.coefficients), -1)], "position int, value double")
 
 
 def _embedded(s, d, size=64):
@@ -333,9 +332,9 @@ SELECT o_orderkey, CASE WHEN v <= 32767 AND floor(v) = v THEN v END AS value, CA
     "weighted_ridge_coefficients": _coefficient_sql("x1"),
     "ridge_solvers": "SELECT solver, true AS agrees FROM (VALUES ('cholesky'), ('qr'), ('lsqr'), ('cg')) t(solver)",
     "ridge_matrix_free": f"""WITH g AS (SELECT o_custkey % {HOT} AS k, count(*) AS n, avg(CAST(o_totalprice AS DOUBLE)) AS y FROM orders GROUP BY 1),
-b AS (SELECT sum(n * {HOT_PENALTY} / (n + {HOT_PENALTY}) * y) / sum(n * {HOT_PENALTY} / (n + {HOT_PENALTY})) AS b0 FROM g), s AS (SELECT * FROM (VALUES ('row-lsqr'), ('row-cg')) t(solver))
-SELECT solver, CAST(-1 AS INTEGER) AS position, round(b0, 2) AS value FROM s, b UNION ALL
-SELECT solver, CAST(p AS INTEGER), round(coalesce(n * (y - b0) / (n + {HOT_PENALTY}), 0), 2) + 0.0 FROM s, b, range(0, {HOT}) t(p) LEFT JOIN g ON g.k = p""",
+b AS (SELECT sum(n * {HOT_PENALTY} / (n + {HOT_PENALTY}) * y) / sum(n * {HOT_PENALTY} / (n + {HOT_PENALTY})) AS b0 FROM g)
+SELECT CAST(-1 AS INTEGER) AS position, round(b0, 2) AS value FROM b UNION ALL
+SELECT CAST(p AS INTEGER), round(coalesce(n * (y - b0) / (n + {HOT_PENALTY}), 0), 2) + 0.0 FROM b, range(0, {HOT}) t(p) LEFT JOIN g ON g.k = p""",
     "dense_gram": f"""WITH {_E}, m AS (SELECT p, avg(v) AS m FROM e GROUP BY p), c AS (SELECT vec_id, e.p, v - m AS v FROM e JOIN m ON e.p = m.p)
 SELECT CAST(a.p AS INTEGER) AS i, CAST(b.p AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS value FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.p <= b.p GROUP BY a.p, b.p""",
     "dense_standardize": f"WITH {_E}, m AS (SELECT p, avg(v) AS m, 1 / sqrt(var_pop(v)) AS s FROM e GROUP BY p) SELECT vec_id, CAST(e.p AS INTEGER) AS position, round((v - m) * s, 6) + 0.0 AS value FROM e JOIN m ON e.p = m.p",
