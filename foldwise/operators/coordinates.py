@@ -182,3 +182,34 @@ def vectors(df: DataFrame, view: View, keep: tuple[str, ...] = (), name: str = "
 def named_columns(df: DataFrame, view: View) -> DataFrame:
     """A vector column taken apart into a column for each of its coordinates: the inverse of `vectors`."""
     return df.withColumns({n: F.get(F.col(view.column), i).cast("double") for i, n in enumerate(view.names)})
+
+
+@dataclass(frozen=True)
+class Isomorphic:
+    """Rows of another shape seen through a view: `to` gives the view's coordinates from the other shape's columns, `back` these columns from the coordinates."""
+
+    view: View
+    to: dict[str, Column]
+    back: dict[str, Column]
+
+    def __post_init__(self) -> None:
+        if self.view.column is not None or set(self.to) != set(self.view.names):
+            raise DataError("InvalidFeatureNames", ", ".join(sorted(set(self.to) ^ set(self.view.names))) or str(self.view.column))
+        if both := set(self.back) & set(self.to):
+            raise DataError("ClashingColumns", ", ".join(sorted(both)))
+
+    def read(self, df: DataFrame) -> DataFrame:
+        """The frame with the view's coordinates in place of the other shape's columns."""
+        if both := [n for n in self.to if n in df.columns]:
+            raise DataError("ClashingColumns", ", ".join(both))
+        return df.select("*", *[c.alias(n) for n, c in self.to.items()]).drop(*self.back)
+
+    def build(self, df: DataFrame) -> DataFrame:
+        """The other shape's columns in place of the coordinates: what `read` takes, if both directions agree."""
+        return df.select("*", *[c.alias(n) for n, c in self.back.items()]).drop(*self.to)
+
+    def broken(self, df: DataFrame) -> DataFrame:
+        """The rows of `df` that don't come back as they were."""
+        kept = df.select(*df.columns, F.struct(*self.back).alias("_was"))
+        again = self.build(self.read(kept))
+        return again.where(~F.struct(*self.back).eqNullSafe(F.col("_was"))).select(*df.columns)

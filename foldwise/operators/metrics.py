@@ -55,8 +55,16 @@ KINDS = ("NonFiniteTruth", "NonFinitePrediction", "NonFiniteResidual", "NonFinit
 
 
 def bits(c: Column) -> Column:
-    """The raw bits of a double as a long."""
-    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), c).cast("long")
+    """The raw bits of a double as a long, by arithmetic; every NaN has those of the usual one."""
+    size, one = F.abs(c), F.lit(1).cast("long")
+    e = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))  # off by one at most; what is left of the number tells
+    m = size / F.pow(F.lit(2.0), e)
+    normal = lambda e, m: F.shiftleft(e + 1023, 52) + ((m - 1) * 2.0**52).cast("long")
+    finite = F.when(m >= 2, normal(e + one, m / 2)).when(m < 1, normal(e - one, m * 2)).otherwise(normal(e, m))
+    least = (size * 2.0**537 * 2.0**537).cast("long")  # below the least normal number: in units of 2**-1074
+    magnitude = F.when(size < 2.0**-1022, least).when(size == float("inf"), F.lit(2047 << 52)).otherwise(finite)
+    negative = (c < 0) | ((c == 0) & (F.pow(c, F.lit(-1.0)) < 0))
+    return F.when(F.isnan(c), F.lit(4095 << 51)).when(negative, magnitude + F.lit(-(1 << 63))).otherwise(magnitude)
 
 
 def _unfit(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -128,6 +129,56 @@ class Mapped(Transform):
         return self.stage
 
 
+@dataclass(frozen=True)
+class Renamed(Stage):
+    """A fitted stage whose failures have other codes."""
+
+    inner: Stage
+    codes: Callable[[Column], Column] = field(hash=False)
+
+    @property
+    def name(self) -> str:
+        return self.inner.name
+
+    @property
+    def features(self) -> tuple[str, ...]:
+        return getattr(self.inner, "features", ())
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return self.inner.apply(df)
+
+    def guarded(self, df: DataFrame) -> DataFrame:
+        guarded, before = getattr(self.inner, "guarded", None), [F.col("_before")] if "error" in df.columns else []
+        df = df.withColumnRenamed("error", "_before")
+        out = guarded(df) if guarded else self.inner.apply(df).withColumn("error", F.lit(None).cast("string"))
+        return out.withColumn("error", F.coalesce(*before, F.when(F.col("error").isNotNull(), self.codes(F.col("error"))))).drop("_before")
+
+    def record(self) -> dict:
+        return self.inner.record()
+
+
+class MapError(Transform):
+    """A transform whose failures, in a fit and row by row, get other codes; what it learns and gives out is the same."""
+
+    def __init__(self, part: Transform, codes: dict[str, str]):
+        if part.supervised:
+            raise TypeError("a supervised feature map is no transform")
+        self.part, self.codes, self.name = part, dict(codes), part.name
+
+    def column(self, code: Column) -> Column:
+        """The code with its kind, what stands before a colon, exchanged; other kinds stay."""
+        kind, out = F.substring_index(code, ":", 1), code
+        for old, new in self.codes.items():
+            out = F.when(kind == old, F.concat(F.lit(new), F.substr(code, F.length(kind) + 1))).otherwise(out)
+        return out
+
+    def fit(self, rows: Rows, seed: int) -> Stage:
+        try:
+            return Renamed(self.part.fit(rows, seed), self.column)
+        except DataError as e:
+            raise DataError(self.codes.get(e.code, e.code), str(e).partition(": ")[2]) from e
+
+
 class FeatureMap(Transform):
     """Learns from targets too. Its output for the fitting rows isn't a replay (out-of-fold encodings), so nothing may be fitted on that but a learner."""
 

@@ -107,18 +107,26 @@ def search_one_pass(s, d):
     return s.createDataFrame(got, "index int, scaler string, penalty double, fold int, score double")
 
 
-def _space():
-    return search.int_range(1, 4) * (search.log_uniform(1e-4, 1.0) * search.choice(True, False))
+#: What `grid_candidates` and `random_candidates` search: how coordinates are scaled, and a penalty.
+_SPACE = search.choice(*_SCALERS) * search.log_uniform(0.1, 100_000.0)
+_POINTS, _TRIALS, _STREAM_SEED = 4, 12, 91
 
 
-def _candidates(s, got):
-    return s.createDataFrame([(i, a, round(b, 10), c) for i, (a, (b, c)) in enumerate(got)], "i int, depth int, rate double, enabled boolean")
+def _objectives(s, d, candidates):
+    """The mean RMSE over five folds of each candidate, from one pass over the rows."""
+    trials = search.cross_validated(candidates, _chosen, k_fold(order_features(s, d), 5, SEED), metrics.rmse(), SEED, "o_totalprice")[1]
+    return s.createDataFrame([(t.index, t.candidate[0], round(t.candidate[1], 6), round(t.objective, 4)) for t in trials], "index int, scaler string, penalty double, objective double")
+
+
+#: Prices of a unit that `study_select` tries; the last gives no number.
+_SLOPES = [500.0, 1500.0, 2500.0, float("nan")]
 
 
 def study_select(s, d):
-    trials = search.study([5, 3, 1], lambda c: abs(c - 3.0))[1]
-    best = search.select(trials, True)
-    return s.createDataFrame([(best.candidate, best.objective, len(trials))], "candidate int, objective double, n int")
+    """Line items priced at so much a unit: the candidate of least RMSE, and how many were tried and have failed."""
+    rows = priced(s, d).df.select(F.col("l_extendedprice").alias("truth"), "l_quantity")
+    best, trials = search.study(_SLOPES, lambda c: metrics.rmse().evaluate(rows.withColumn("prediction", F.col("l_quantity") * c)))
+    return s.createDataFrame([(best.candidate, round(best.objective, 4), len(trials), sum(t.error is not None for t in trials))], "candidate double, objective double, n int, failed int")
 
 
 #: Encoder and learner of `crossfit_pipeline`.
@@ -210,8 +218,8 @@ QUERIES = {
     "search_one_pass": search_one_pass,
     "rolling_rmse": rolling_rmse,
     "rolling_rows": rolling_rows,
-    "grid_candidates": lambda s, d: _candidates(s, search.grid(_space(), 5)),
-    "random_candidates": lambda s, d: _candidates(s, search.random(_space(), 50, 91)),
+    "grid_candidates": lambda s, d: _objectives(s, d, search.grid(_SPACE, _POINTS)),
+    "random_candidates": lambda s, d: _objectives(s, d, search.random(_SPACE, _TRIALS, _STREAM_SEED)),
     "study_select": study_select,
     "crossfit_pipeline": crossfit_pipeline,
     "artifact_round_trip": artifact_round_trip,
@@ -256,7 +264,7 @@ c AS (SELECT i, p, w.k AS fold, sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) *
 
 _LINE = LINES + ", h AS (SELECT row_id, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_discount AS DOUBLE) AS x2, CAST(l_extendedprice AS DOUBLE) AS y FROM l),"
 _CV = _cv_sql("h", "row_id", "y", 5, PENALTIES, _LINE)
-_STREAM = finalize_sql("i", "CAST((CAST(91 AS UHUGEINT) + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)", "i", "r").replace("CASE WHEN xor(h, h >> 31) >= 9223372036854775808::UBIGINT THEN CAST(CAST(xor(h, h >> 31) AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(xor(h, h >> 31) AS BIGINT) END", "xor(h, h >> 31)")
+_STREAM = finalize_sql("i", f"CAST((CAST({_STREAM_SEED} AS UHUGEINT) + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)", "i", "q").replace("CASE WHEN xor(h, h >> 31) >= 9223372036854775808::UBIGINT THEN CAST(CAST(xor(h, h >> 31) AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(xor(h, h >> 31) AS BIGINT) END", "xor(h, h >> 31)")
 
 
 
@@ -272,6 +280,22 @@ z AS (SELECT *, n * v1 * f1 * f1 + {penalty} AS a, n * c12 * f1 * f2 AS o, n * v
 b AS (SELECT *, (c * p1 - o * p2) / (a * c - o * o) * f1 AS b1, (a * p2 - o * p1) / (a * c - o * o) * f2 AS b2 FROM z)"""
 
 
+_KINDS = ", ".join(f"({i}, '{k}')" for i, k in enumerate(_SCALERS))
+
+
+def _search_sql(candidates: str) -> str:
+    """CTEs up to c: the RMSE of each candidate (i, kind, p) and fold k, each by its own fit."""
+    return f"""{ORDER_FEATURES}, {finalize_sql("f", f"xor(CAST(o_orderkey AS UBIGINT), {SEED}::UBIGINT)", "o_orderkey, x1, x2, y", "r")},
+g AS (SELECT *, (row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS fold FROM r),
+pen AS ({candidates}),
+{_centred_sql("range(0, 5) t(k) JOIN g ON g.fold <> t.k CROSS JOIN pen", "k, i, kind, pen.p", "kind <> 'none'", "p")},
+c AS (SELECT CAST(i AS INTEGER) AS i, kind, p, CAST(k AS INTEGER) AS k, sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)) AS score FROM b JOIN g ON g.fold = b.k GROUP BY i, kind, p, k)"""
+
+
+def _objectives_sql(candidates: str, before: str = "") -> str:
+    return f"WITH {before}{_search_sql(candidates)} SELECT i AS index, kind AS scaler, round(p, 6) AS penalty, round(avg(score), 4) AS objective FROM c GROUP BY i, kind, p"
+
+
 def _audit_sql() -> str:
     """The stages of a candidate's fit, each with the finalizer of phase seed, plan and ordinal."""
     state = phase_seed(SEED, _PLAN, "candidate-fit") ^ fnv1a("\x1f".join(_PLAN).encode())
@@ -313,14 +337,14 @@ ORACLE = {
     "rolling_rows": f"""WITH {_EVENTS} SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN pos < start THEN 'analysis' ELSE 'assessment' END AS role, event_id FROM w JOIN e ON pos < stop WHERE fold < 3""",
     "rolling_rmse": f"""WITH {_EVENTS}, {_centred_sql("w JOIN e ON e.pos < w.start", "fold", "true", str(PENALTY))}
 SELECT CAST(w.fold AS INTEGER) AS fold, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", round(sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)), 6) AS rmse FROM w JOIN b ON w.fold = b.fold JOIN e ON e.pos >= start AND e.pos < stop GROUP BY ALL""",
-    "search_one_pass": f"""WITH {ORDER_FEATURES}, {finalize_sql("f", f"xor(CAST(o_orderkey AS UBIGINT), {SEED}::UBIGINT)", "o_orderkey, x1, x2, y", "r")},
-g AS (SELECT *, (row_number() OVER (ORDER BY rank, o_orderkey) - 1) % 5 AS fold FROM r),
-pen AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {q!r})" for i, (k, q) in enumerate(_CHOICES))}) t(i, kind, p)),
-{_centred_sql("range(0, 5) t(k) JOIN g ON g.fold <> t.k CROSS JOIN pen", "k, i, kind, pen.p", "kind <> 'none'", "p")}
-SELECT CAST(i AS INTEGER) AS index, kind AS scaler, CAST(p AS DOUBLE) AS penalty, CAST(k AS INTEGER) AS fold, round(sqrt(avg((y - my - (x1 - m1) * b1 - (x2 - m2) * b2) ** 2)), 4) AS score FROM b JOIN g ON g.fold = b.k GROUP BY ALL""",
-    "grid_candidates": "SELECT CAST(row_number() OVER (ORDER BY a, b, e DESC) - 1 AS INTEGER) AS i, CAST(a AS INTEGER) AS depth, round(exp(ln(0.0001) + b * (ln(1.0) - ln(0.0001)) / 4), 10) AS rate, e AS enabled FROM range(1, 5) t(a), range(0, 5) u(b), (VALUES (true), (false)) v(e)",
-    "random_candidates": f"WITH i AS (SELECT i FROM range(0, 150) t(i)), {_STREAM}, p AS (SELECT i // 3 AS i, max(CASE WHEN i % 3 = 0 THEN rank END) AS a, max(CASE WHEN i % 3 = 1 THEN rank END) AS b, max(CASE WHEN i % 3 = 2 THEN rank END) AS c FROM r GROUP BY 1) SELECT CAST(i AS INTEGER) AS i, CAST(1 + (a >> 1) % 4 AS INTEGER) AS depth, round(exp(ln(0.0001) + CAST(b >> 11 AS DOUBLE) / 9007199254740992 * (ln(1.0) - ln(0.0001))), 10) AS rate, (c >> 1) % 2 = 0 AS enabled FROM p",
-    "study_select": "SELECT CAST(c AS INTEGER) AS candidate, CAST(abs(c - 3) AS DOUBLE) AS objective, CAST(3 AS INTEGER) AS n FROM (VALUES (5), (3), (1)) t(c) ORDER BY abs(c - 3) LIMIT 1",
+    "search_one_pass": f"""WITH {_search_sql("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {q!r})" for i, (k, q) in enumerate(_CHOICES)) + ") t(i, kind, p)")}
+SELECT i AS index, kind AS scaler, CAST(p AS DOUBLE) AS penalty, k AS fold, round(score, 4) AS score FROM c""",
+    "grid_candidates": _objectives_sql(f"SELECT CAST(row_number() OVER (ORDER BY a, e) - 1 AS INTEGER) AS i, kind, exp(ln(0.1) + e * (ln(100000.0) - ln(0.1)) / {_POINTS - 1}) AS p FROM (VALUES {_KINDS}) u(a, kind), range(0, {_POINTS}) v(e)"),
+    "random_candidates": _objectives_sql(
+        "SELECT CAST(drawn.i AS INTEGER) AS i, kind, exp(ln(0.1) + CAST(y >> 11 AS DOUBLE) / 9007199254740992 * (ln(100000.0) - ln(0.1))) AS p FROM drawn JOIN (VALUES " + _KINDS + f") u(a, kind) ON (x >> 1) % {len(_SCALERS)} = a",
+        f"i AS (SELECT i FROM range(0, {2 * _TRIALS}) t(i)), {_STREAM}, drawn AS (SELECT i // 2 AS i, max(CASE WHEN i % 2 = 0 THEN rank END) AS x, max(CASE WHEN i % 2 = 1 THEN rank END) AS y FROM q GROUP BY 1), ",
+    ),
+    "study_select": f"SELECT c AS candidate, round(sqrt(avg((l_extendedprice - l_quantity * c) ** 2)), 4) AS objective, CAST({len(_SLOPES)} AS INTEGER) AS n, CAST(1 AS INTEGER) AS failed FROM lineitem, (VALUES {', '.join(f'({c!r}::DOUBLE)' for c in _SLOPES if c == c)}) t(c) GROUP BY c ORDER BY objective LIMIT 1",
     "artifact_round_trip": "SELECT count(*) // 5 AS n, true AS same FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
     "stream_scoring": f"WITH {_LINE} {ridge_sql('h', 'x1', 'x2', 'y', '1.0', PENALTY)} SELECT row_id, round(b0 + x1 * b1 + x2 * b2, 4) AS prediction FROM h, ridge",
 }

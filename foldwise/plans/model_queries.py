@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.operators import coordinates, encoders, metrics, ridge, scalers
-from foldwise.operators.coordinates import View
+from foldwise.operators.coordinates import Isomorphic, View
 from foldwise.operators.resampling import k_fold
-from foldwise.operators.stages import Blueprint
+from foldwise.operators.stages import Blueprint, MapError
 from foldwise.operators.state import written
 from foldwise.plans.tables import LINES, ORDER_FEATURES, finalize_sql, identity, lines, order_features, priced, read
 from foldwise.sources.rows import Role, unsplit
@@ -165,6 +165,33 @@ def view_descriptor(s, d):
     return s.createDataFrame([(i, n, kind, same) for i, (n, kind) in enumerate(fields)], "position int, name string, kind string, same boolean")
 
 
+def raw_bits(s, d):
+    """The bits of numbers of both signs."""
+    v = F.col("o_totalprice").cast("double") / (F.col("o_orderkey") + 1) - 1000.0
+    return read(s, d, "orders").select("o_orderkey", metrics.bits(v).alias("bits"))
+
+
+def coordinates_imap(s, d):
+    """The coordinates of another shape of row, and that shape built from them again."""
+    cents = Isomorphic(
+        View(("price", "size")),
+        {"price": F.col("cents") / 100.0, "size": F.col("p_size").cast("double")},
+        {"cents": F.round(F.col("price") * 100).cast("long"), "p_size": F.col("size").cast("int")},
+    )
+    df = read(s, d, "part").select("p_partkey", F.round(F.col("p_retailprice").cast("double") * 100).cast("long").alias("cents"), "p_size")
+    seen = cents.read(df)
+    again = cents.build(seen).select("p_partkey", "cents", F.col("p_size").cast("long").alias("p_size"))
+    return seen.join(again, "p_partkey")
+
+
+def failure_codes(s, d):
+    """How many rows fail with which code when a scaler's own codes are given other names."""
+    rows = _train(order_features(s, d))
+    fitted = Blueprint().via(MapError(scalers.StandardScaler(), {"NonFiniteInput": "UnusableOrder"})).learn(ridge.Ridge(ridge.Config(PENALTY))).fit(rows, SEED)
+    odd = rows.df.withColumn("quantity", F.when(F.col("o_orderkey") % 7 == 0, float("nan")).when(F.col("o_orderkey") % 7 == 1, 1.7e308).otherwise(F.col("quantity")))
+    return fitted.checked(rows.with_df(odd)).groupBy("failure.code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def prices_equivalent(s, d):
     """Orders whose price is within a tolerance of their lines' prices less discount, with tax."""
     lines_ = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("double")).alias("sum"))
@@ -268,6 +295,9 @@ QUERIES = {
     "dense_solvers": dense_solvers,
     "view_descriptor": view_descriptor,
     "prices_equivalent": prices_equivalent,
+    "raw_bits": raw_bits,
+    "coordinates_imap": coordinates_imap,
+    "failure_codes": failure_codes,
     "ridge_predict": ridge_predict,
     "ridge_attribution": ridge_attribution,
     "ridge_evidence": ridge_evidence,
@@ -342,6 +372,9 @@ SELECT CAST(a.p AS INTEGER) AS i, CAST(b.p AS INTEGER) AS j, round(sum(a.v * b.v
 k AS (SELECT vec_id, (a - ma) * sa AS x1, (b - mb) * sb AS x2, y FROM x, m), {ridge_sql("k", "x1", "x2", "y", "1.0", PENALTY)} SELECT vec_id, round(b0 + x1 * b1 + x2 * b2, 6) + 0.0 AS prediction FROM k, ridge""",
     "dense_solvers": "SELECT solver, true AS agrees FROM (VALUES ('cholesky'), ('qr'), ('lsqr'), ('cg'), ('row-lsqr'), ('row-cg')) t(solver)",
     "view_descriptor": "SELECT CAST(p AS INTEGER) AS position, 'embedding[' || p || ']' AS name, 'double' AS kind, true AS same FROM range(0, 3) t(p)",
+    "raw_bits": "SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS DOUBLE) / CAST(o_orderkey + 1 AS DOUBLE) - 1000.0::DOUBLE AS BIT) AS BIGINT) AS bits FROM orders",
+    "coordinates_imap": "SELECT p_partkey, round(CAST(p_retailprice AS DOUBLE) * 100) / 100.0::DOUBLE AS price, CAST(p_size AS DOUBLE) AS size, CAST(round(CAST(p_retailprice AS DOUBLE) * 100) AS BIGINT) AS cents, CAST(p_size AS BIGINT) AS p_size FROM part",
+    "failure_codes": "SELECT CASE o_orderkey % 7 WHEN 0 THEN 'UnusableOrder:quantity' WHEN 1 THEN 'NonFiniteOutput:prediction' END AS code, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
     "prices_equivalent": "SELECT abs(p - s) <= greatest(10000.0, 0.25 * greatest(abs(p), abs(s))) AS equivalent, count(*) AS n FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS p FROM orders) JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DOUBLE)) AS s FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1",
     "ridge_predict": f"WITH {_L}, {ridge_sql('k', 'x1', 'x2', 'y', '1.0', PENALTY)} SELECT row_id, round(b0 + x1 * b1 + x2 * b2, 4) AS prediction FROM k, ridge",
     "ridge_attribution": f"WITH {_L}, {ridge_sql('k', 'x1', 'x2', 'y', '1.0', PENALTY)} SELECT row_id, round(b0, 4) AS intercept, round(x1 * b1, 4) AS from_l_quantity, round(x2 * b2, 4) AS from_l_discount, round(b0 + x1 * b1 + x2 * b2, 4) AS prediction FROM k, ridge",

@@ -10,7 +10,7 @@ from foldwise.functions.digests import BASES, PRIMES
 from foldwise.functions.hashing import RANK_DOMAIN
 from foldwise.operators import resampling, splits
 from foldwise.plans.tables import LINES, WORD, finalize_sql, identity, lines, order_features, orders, rank_sql, read, signed_sql
-from foldwise.sources.rows import duplicate_ids, from_pairs, ids_fingerprint, numbered, overlap, restore_check, unsplit
+from foldwise.sources.rows import duplicate_ids, ids_fingerprint, numbered, overlap, paired, restore_check, unsplit
 from foldwise.sources.rows import ordered_fingerprint as rows_fingerprint
 
 SEED = 42
@@ -151,7 +151,9 @@ def bound_assignment(spark, sf_dir):
 
 
 def source_pairs(spark, sf_dir):
-    return from_pairs(spark, [((60.0, 40.0), 210.0), ((75.0, 25.0), 265.0), ((90.0, 15.0), 315.0)], ("area", "age")).df
+    """Parts as pairs of inputs and a price, without the key."""
+    inputs = {"size": F.col("p_size"), "letters": F.length("p_name")}
+    return paired(read(spark, sf_dir, "part"), inputs, F.col("p_retailprice"), [F.col("p_size"), F.desc("p_partkey")], identity("part")).df
 
 
 def source_numbered(spark, sf_dir):
@@ -243,7 +245,7 @@ c AS (SELECT o_orderkey, count(*) AS b FROM p GROUP BY o_orderkey)
 SELECT code, count(*) AS n FROM (SELECT CASE WHEN b > 1 THEN 'DuplicatePreparedRow' WHEN a.o_orderkey IS NULL THEN 'UnknownPreparedRow' WHEN b IS NULL THEN 'MissingPreparedRow' END AS code FROM orders a FULL JOIN c ON a.o_orderkey = c.o_orderkey) WHERE code IS NOT NULL GROUP BY code""",
     "evaluation_overlap": f"SELECT o_orderkey FROM ({_role_sql('0', '(n // 5)')}) a JOIN ({_role_sql('0', '(n // 5)', SEED + 1)}) b USING (o_orderkey) WHERE a.role = 'train' AND b.role = 'test'",
     "bound_assignment": "SELECT CAST(o_custkey % 4 AS INTEGER) AS fold, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY o_custkey % 4",
-    "source_pairs": "SELECT CAST(i AS BIGINT) AS row_id, CAST(a AS DOUBLE) AS area, CAST(b AS DOUBLE) AS age, CAST(y AS DOUBLE) AS target FROM (VALUES (0, 60, 40, 210), (1, 75, 25, 265), (2, 90, 15, 315)) t(i, a, b, y)",
+    "source_pairs": "SELECT row_number() OVER (ORDER BY p_size, p_partkey DESC) - 1 AS row_id, CAST(p_size AS DOUBLE) AS size, CAST(length(p_name) AS DOUBLE) AS letters, CAST(p_retailprice AS DOUBLE) AS target FROM part",
     "source_numbered": "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey DESC) - 1 AS row_id FROM customer",
     "batch_totals": "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total, true AS bounded FROM part",
 }

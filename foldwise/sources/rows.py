@@ -111,6 +111,12 @@ def from_pairs(spark: SparkSession, pairs: list[tuple[tuple[float, ...], float]]
     return unsplit(df, "row_id", Fingerprint("content-digest", ("sha256",), digest), features=features, target="target")
 
 
+def paired(df: DataFrame, features: dict[str, Column], target: Column, order: list[Column], fingerprint: Fingerprint | None = None) -> Rows:
+    """Pairs of inputs and a target that a frame holds without a key: ids are their positions in a total order."""
+    df = numbered(df, order).select("row_id", *[c.cast("double").alias(f) for f, c in features.items()], target.cast("double").alias("target"))
+    return unsplit(df, "row_id", fingerprint, features=tuple(features), target="target")
+
+
 def read_parquet(spark: SparkSession, path: str, row_id: str, version: str = "1", **parts) -> Rows:
     """A Parquet table as unsplit rows, identified by its path and version."""
     return unsplit(spark.read.parquet(path), row_id, Fingerprint("source-identity", (path, version), "parquet"), **parts)

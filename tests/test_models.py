@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from foldwise.operators import coordinates, encoders, metrics, ridge, scalers
 from foldwise.operators.resampling import k_fold
-from foldwise.operators.stages import Blueprint, Mapped
+from foldwise.operators.stages import Blueprint, MapError, Mapped, StageError
 from foldwise.plans import search
 from foldwise.plans.experiment import Authority, Experiment, ExperimentError, evaluate, phase_seed
 from foldwise.sources import artifacts
@@ -117,6 +117,60 @@ def test_exact_sum(spark):
         metrics.exact_sum(spark.createDataFrame([(float("inf"),)], "v double"), F.col("v"))
 
 
+def test_raw_bits(spark):
+    powers = [2.0**e for e in range(-1074, 1024)]
+    near = [f(p) for p in powers[60::7] for f in (lambda p: np.nextafter(p, 0.0), lambda p: np.nextafter(p, np.inf))]
+    drawn = [v for v in np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 3000).view(np.float64).tolist() if v == v]
+    values = [*powers, *map(float, near), *drawn, 0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan")]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", metrics.bits(F.col("v")), metrics.bits(-F.col("v"))).collect()
+    for v, b, negative in got:
+        if v != v:
+            assert b == negative == 0x7FF8 << 48
+        else:
+            assert (b, negative) == (int(np.float64(v).view(np.int64)), int(np.float64(-v).view(np.int64)))
+    assert spark.sql("SELECT cast(null AS double) AS v").select(metrics.bits(F.col("v"))).first()[0] is None
+
+
+def test_isomorphic_views(spark):
+    iso = coordinates.Isomorphic(coordinates.View(("price",)), {"price": F.col("cents") / 100.0}, {"cents": F.round(F.col("price") * 100).cast("long")})
+    df = spark.createDataFrame([(1, 250), (2, 1), (3, None)], "id long, cents long")
+    assert sorted(iso.read(df).collect()) == [(1, 2.5), (2, 0.01), (3, None)] and sorted(iso.build(iso.read(df)).collect()) == sorted(df.collect())
+    assert iso.broken(df).count() == 0
+    lossy = coordinates.Isomorphic(coordinates.View(("price",)), {"price": F.floor(F.col("cents") / 100.0).cast("double")}, iso.back)
+    assert [r["id"] for r in lossy.broken(df).orderBy("id").collect()] == [1, 2]
+    with pytest.raises(DataError, match="ClashingColumns"):
+        iso.read(df.withColumn("price", F.lit(1)))
+    with pytest.raises(DataError, match="InvalidFeatureNames"):
+        coordinates.Isomorphic(coordinates.View(("price", "size")), iso.to, iso.back)
+
+
+def test_renamed_failures(spark):
+    from foldwise.sources.rows import unsplit
+
+    df = spark.createDataFrame([(i, float(i), float(i % 3), 2.0 * i) for i in range(9)], "id long, x double, z double, y double")
+    rows = train(unsplit(df, "id", features=("x", "z"), target="y"))
+    codes = {"NonFiniteInput": "Unusable", "ConstantCoordinate": "Flat"}
+    learner = ridge.Ridge(ridge.Config(0.1))
+    plain, renamed = (Blueprint().via(t).learn(learner).fit(rows, 1) for t in (scalers.StandardScaler(), MapError(scalers.StandardScaler(), codes)))
+    assert plain.audit.digest == renamed.audit.digest and sorted(plain.predict(rows).collect()) == sorted(renamed.predict(rows).collect())
+    bad = rows.with_df(df.withColumn("x", F.when(F.col("id") == 4, float("nan")).when(F.col("id") == 2, 1.7e308).otherwise(F.col("x"))))
+    assert {r["id"]: r["failure"]["code"] for r in renamed.checked(bad).where("failure is not null").collect()} == {4: "Unusable:x", 2: "NonFiniteOutput:prediction"}
+    stage = renamed.stages[0].guarded(bad.df.withColumn("error", F.when(F.col("id") == 4, "Earlier")))
+    assert {r["id"]: r["error"] for r in stage.where("error is not null").collect()} == {4: "Earlier"} and "_before" not in stage.columns
+    with pytest.raises(StageError, match="stage 0: Flat: z") as e:
+        Blueprint().via(MapError(scalers.StandardScaler(constant="reject"), codes)).learn(learner).fit(rows.with_df(df.withColumn("z", F.lit(1.0))), 1)
+    assert e.value.code == "Flat"
+
+
+def test_pairs_without_a_key(spark):
+    from foldwise.sources.rows import paired
+
+    df = spark.createDataFrame([(3, 1, "b"), (1, 2, "a"), (1, 2, "a"), (None, 5, None)], "a int, b int, c string")
+    got = [[tuple(r) for r in paired(df.repartition(n), {"a": F.col("a"), "b": F.col("b")}, F.col("a") + F.col("b"), [F.col("a"), F.col("c")]).df.orderBy("row_id").collect()] for n in (1, 3)]
+    assert got[0] == got[1] == [(0, None, 5.0, None), (1, 1.0, 2.0, 3.0), (2, 1.0, 2.0, 3.0), (3, 3.0, 1.0, 4.0)]
+    assert paired(df.limit(0), {"a": F.col("a")}, F.col("b"), [F.col("a")]).df.count() == 0
+
+
 def test_cross_fit_never_sees_own_fold(spark):
     rows = from_pairs(spark, [((i % 3, 0), 10.0 * i) for i in range(30)], ("x", "z"))
     plan = k_fold(rows, 5, 7)
