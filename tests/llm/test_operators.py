@@ -541,6 +541,61 @@ def test_recall_of_planted_passages(spark):
     assert found[(51, 0)] == found[(100, 0)] == 100 and found[(100, 2)] >= 90 and found[(60, 1)] >= 60 and found[(40, 0)] >= 70
 
 
+def brute_units(text):
+    """Whole lines of LEAST to LONGEST words as (start, end, words)."""
+    at = 0
+    for line in (text or "").split("\n"):
+        words = line.split()
+        if substrings.LEAST <= len(words) <= substrings.LONGEST:
+            start = at + line.index(words[0])
+            yield start, start + len(line.strip()), words
+        at += len(line) + 1
+
+
+def shingle_set(words):
+    return {tuple(words[i : i + substrings.SHINGLE]) for i in range(len(words) - substrings.SHINGLE + 1)}
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """Whole lines of 10 to 64 words: every pair of documents with equal or similar ones is joined, nothing else is."""
+    rnd, rows = random.Random(11), []
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    bases = [[word() for _ in range(n)] for n in (9, 10, 12, 15, 19, 20, 21, 30, 40, 50, 60, 64) for _ in range(4)]
+    for i in range(160):
+        lines = []
+        for base in rnd.sample(bases, 2):
+            line = list(base)
+            if rnd.random() < 0.4:
+                line[rnd.choice([0, -1, len(line) // 2])] = word()
+            lines.append(" ".join(line))
+        own = [" ".join(word() for _ in range(rnd.randint(0, 9))) for _ in range(3)]
+        rows.append((i, "\n".join([own[0], lines[0], own[1], " " + lines[1] + " ", own[2]])))
+    got = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    passage = {(r["doc_id"], r["start"], r["end"]): r["passage"] for r in got}
+    units = [(i, s, e, shingle_set(w)) for i, text in rows for s, e, w in brute_units(text)]
+    pairs = joined = 0
+    linked_units = set()
+    for k, (i, s, e, x) in enumerate(units):
+        for j, u, v, y in units[k + 1 :]:
+            if i != j and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                pairs += 1
+                linked_units |= {(i, s, e), (j, u, v)}
+                joined += passage.get((i, s, e), "none") == passage.get((j, u, v), "other")
+    assert pairs > 500 and joined >= 0.99 * pairs
+    alone = {(i, s, e) for i, s, e, _ in units} - linked_units
+    shorter = [(i, s, e) for i, s, e in alone if e in {r["end"] for r in got if r["doc_id"] == i and r["start"] == s}]
+    assert alone and len(shorter) <= 0.2 * len(alone)  # these are windows too, or like one
+
+
+def test_paragraphs_are_whole_lines():
+    texts = ["a b c d e f g h i\n" + " ".join(f"x{i}" for i in range(10)) + " \r\n\n" + " ".join(f"y{i}" for i in range(64)) + "\n" + " ".join(f"z{i}" for i in range(65)), None, "\n\n"]
+    w = substrings.windows(texts)
+    found = {texts[0][s:e] for s, e in zip(w["start"], w["end"])}
+    lines = [line.strip() for line in texts[0].split("\n")]
+    assert lines[1] in found and lines[3] in found and lines[0] not in found and lines[4] not in found and set(w["doc"]) == {0}
+    assert len(set(zip(w["first"].tolist(), w["many"].tolist()))) == len(w["first"])
+
+
 def test_budget_of_many_lengths_is_lean():
     """20,000 even lengths beside a text of half a million words, and an odd budget that no sum can meet: all steps are gone through."""
     import tracemalloc
