@@ -1,9 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over characters.
 
-Two Kneser-Ney models of five-character sequences, one of toxic and one of ordinary texts, back off to the same shared
-counts, which come from all documents, labelled or not. A text's evidence is its length-normalised log-likelihood ratio:
-over the whole text, over its best short and long windows, and what single ratios have beyond a floor, on average. A
-logistic calibration on labelled rows that the models haven't seen turns these into a score.
+Two models of five-character sequences, one of toxic and one of ordinary texts. Each discounts its counts absolutely and
+backs off to one character less; its lower orders hold the class's own counts of texts, summed by suffix, and only the
+distribution of single characters under all of them is one of continuations, shared by both classes and taken from all
+documents, labelled or not. A text's evidence is its length-normalised log-likelihood ratio: over the whole text, over its
+best short and long windows, and what single ratios have beyond a floor, on average; a ratio is first brought nearer to
+zero by SURE standard errors, so that a sequence of one or two texts says nothing. A logistic calibration on labelled rows
+that the models haven't seen turns these into a score. The README gives the figures of other smoothings.
 """
 
 from __future__ import annotations
@@ -124,10 +127,10 @@ def counted(docs: DataFrame) -> DataFrame:
 def ratios(counts: DataFrame) -> DataFrame:
     """(key, seen, ratio): how many texts have each whole sequence that a class has, and its log P(toxic)/P(ordinary), as far as it is sure.
 
-    A sequence's probability is the product of its characters' after those before them. Each is interpolated Kneser-Ney: a
-    class discounts its counts of up to five characters and spreads what that frees by its own model of one character less,
-    at last by the shared distribution of characters, which counts the different sequences that end in them in all
-    documents. SURE standard errors of the counts' log ratio are taken off each ratio's size. A sequence that neither class
+    A sequence's probability is the product of its characters' after those before them. A class discounts its counts of two
+    to five characters (texts that have a whole sequence, summed by suffix) and spreads what that frees by its own model of
+    one character less, at last by the shared distribution of characters, which counts the different sequences that end in
+    them in all documents. SURE standard errors of the counts' log ratio are taken off each ratio's size. A sequence that neither class
     has says nothing and is left out.
     """
     types = counts.groupBy(F.col("key").bitwiseAND(F.lit(63)).alias("below")).agg(F.count(F.lit(1)).alias("c"))  # 64 rows

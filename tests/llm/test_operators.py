@@ -541,6 +541,46 @@ def test_recall_of_planted_passages(spark):
     assert found[(51, 0)] == found[(100, 0)] == 100 and found[(100, 2)] >= 90 and found[(60, 1)] >= 60 and found[(40, 0)] >= 70
 
 
+def brute_ratios(counts):
+    """The ratios of `toxicity.ratios`, worked out in dictionaries: counts has (other, ordinary, toxic) by sequence."""
+    ends = Counter(k & 63 for k in counts)
+    lower = [{c: (n + 1) / (len(counts) + 64) for c, n in ends.items()}] * 2
+    seen = {k: n for k, n in counts.items() if n[1] + n[2]}
+    raw = dict.fromkeys(seen, 0.0)
+    for order in range(2, toxicity.ORDER + 1):
+        models = []
+        for side in (1, 2):
+            n = Counter()
+            for k, v in seen.items():
+                n[k & (1 << 6 * order) - 1] += v[side]
+            total, kinds = Counter(), Counter()
+            for k, v in n.items():
+                total[k >> 6] += v
+                kinds[k >> 6] += v > 0
+            below = lambda k: lower[side - 1][k & (1 << 6 * (order - 1)) - 1]  # noqa: B023, E731
+            models.append({k: (max(v - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * kinds[k >> 6] * below(k)) / total[k >> 6] if total[k >> 6] else below(k) for k, v in n.items()})
+        for k in raw:
+            start = k >> 6 * (toxicity.ORDER - order)
+            if start in models[0]:
+                raw[k] += np.log(models[1][start] / models[0][start])
+        lower = models
+    error = {k: np.sqrt(1 / (n[2] + 0.5) + 1 / (n[1] + 0.5)) for k, n in seen.items()}
+    out = {k: np.sign(x) * max(abs(x) - toxicity.SURE * error[k], 0) for k, x in raw.items()}
+    return {k: (sum(counts[k]), x) for k, x in out.items() if x}
+
+
+def test_toxic_ratios_against_brute_force(spark):
+    rnd, counts = random.Random(5), {}
+    for _ in range(400):
+        key = sum(rnd.choice([0, 1, 2, 5]) << 6 * k for k in range(5))
+        counts[key] = (rnd.randint(0, 9), rnd.choice([0, 0, 3, 40]), rnd.choice([0, 0, 3, 200]))
+    got = toxicity.ratios(spark.createDataFrame([(k, *v) for k, v in counts.items()], "key long, n_other long, n_ordinary long, n_toxic long")).collect()
+    want = brute_ratios(counts)
+    assert {r["key"] for r in got} == set(want) and len(want) > 20
+    for r in got:
+        assert r["seen"] == want[r["key"]][0] and r["ratio"] == pytest.approx(want[r["key"]][1], rel=1e-5, abs=1e-6)
+
+
 def brute_units(text):
     """Whole lines of LEAST to LONGEST words as (start, end, words)."""
     at = 0
