@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -114,12 +114,47 @@ class FeatureSchema:
         return hex16(fnv1a(b"".join(map(framed, ("feature-schema-v1", *self.names)))))
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """Rows of which few coordinates aren't zero, less a point `at`, as a matrix: products with vectors never write the zeros out."""
+
+    row: np.ndarray
+    index: np.ndarray
+    value: np.ndarray
+    many: int
+    at: np.ndarray
+
+    __array_ufunc__ = None  # a vector times the rows comes to __rmatmul__
+
+    def __len__(self) -> int:
+        return self.many
+
+    def __sub__(self, point: np.ndarray) -> Sparse:
+        return replace(self, at=self.at + point)
+
+    def __matmul__(self, c: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * c[self.index], minlength=self.many) - self.at @ c
+
+    def __rmatmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.index, weights=self.value * v[self.row], minlength=len(self.at)) - v.sum() * self.at
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        out = np.zeros((self.many, len(self.at)))
+        out[self.row, self.index] = self.value
+        return out - self.at
+
+
+#: What the column of a sparse view holds: places in ascending order, from 0, and their values; other places hold zeros.
+SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+
 @dataclass(frozen=True)
 class View:
-    """The coordinates that a fit reads from each row: named numeric columns, or one vector column with a schema."""
+    """The coordinates that a fit reads from each row: named numeric columns, or one vector column with a schema, written out or sparse."""
 
     names: tuple[str, ...]
     column: str | None = None
+    sparse: bool = False
 
     @classmethod
     def vector(cls, df: DataFrame, column: str, schema: FeatureSchema | None = None, size: int | None = None) -> View:
@@ -133,6 +168,15 @@ class View:
             schema = FeatureSchema(tuple(f"{column}[{i}]" for i in range(size)))
         return cls(schema.names, column)
 
+    @classmethod
+    def of_sparse(cls, df: DataFrame, column: str, size: int) -> View:
+        """A column of `indices` and `values` (see SPARSE) as `size` coordinates, called by their places."""
+        if not size or size < 1:
+            raise DataError("NoFeatures")
+        view = cls(tuple(f"{column}[{i}]" for i in range(size)), column, True)
+        view.check(df)
+        return view
+
     def __len__(self) -> int:
         return len(self.names)
 
@@ -145,17 +189,30 @@ class View:
     def check(self, df: DataFrame) -> None:
         if self.column is None:
             check_schema(df, self.names)
+        elif self.sparse:
+            kind = df.schema[self.column].dataType
+            if not isinstance(kind, T.StructType) or [(f.name, type(f.dataType), type(getattr(f.dataType, "elementType", None))) for f in kind] != [(f.name, T.ArrayType, type(f.dataType.elementType)) for f in SPARSE]:
+                raise DataError("UnsupportedFeatureType", f"{self.column}: {kind.simpleString()}")
         elif not isinstance(df.schema[self.column].dataType, T.ArrayType):
             raise DataError("UnsupportedFeatureType", self.column)
 
+    def written_out(self) -> None:
+        """Refuse a sparse view where every coordinate is needed as a number of its own."""
+        if self.sparse:
+            raise DataError("UnsupportedFeatureType", f"{self.column}: sparse")
+
     def columns(self, df: DataFrame) -> list[Column]:
-        """What to select for `matrix`: doubles, or one array of doubles."""
+        """What to select for `matrix`: doubles, one array of doubles, or places and values."""
+        if self.sparse:
+            return [F.col(self.column)[k].alias(f"_{k}") for k in ("indices", "values")]
         if self.column is not None:
             return [F.col(self.column).cast("array<double>").alias("_v")]
         return [coordinate(df, f).alias(f"_v{i}") for i, f in enumerate(self.names)]
 
     def matrix(self, batch: pa.RecordBatch, first: int) -> np.ndarray:
         """The rows of an Arrow batch whose columns from `first` on are those of `columns`, written straight into one matrix."""
+        if self.sparse:
+            return np.asarray(self.rows(batch, first))
         if self.column is not None:
             return batch.column(first).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(self))
         out = np.empty((len(batch), len(self)))
@@ -163,24 +220,46 @@ class View:
             out[:, i] = batch.column(first + i).to_numpy(zero_copy_only=False)
         return out
 
+    def rows(self, batch: pa.RecordBatch, first: int) -> np.ndarray | Sparse:
+        """The same, sparse rows as they are."""
+        if not self.sparse:
+            return self.matrix(batch, first)
+        places, values = batch.column(first), batch.column(first + 1)
+        many = np.diff(places.offsets.to_numpy())
+        return Sparse(np.repeat(np.arange(len(batch)), many), places.flatten().to_numpy(), values.flatten().to_numpy(), len(batch), np.zeros(len(self)))
+
     def problem(self, rows: Rows) -> Column:
-        """The first bad coordinate as (index, name, code), or null; a vector that is missing or of another size comes first, at index -1."""
+        """The first bad coordinate as (index, name, code), or null; a vector that is missing, of another size, or sparse with bad places comes first, at index -1."""
         if self.column is None:
             return problems(rows)
         v = F.col(self.column)
+        if self.sparse:
+            return self._sparse_problem(v["indices"], v["values"])
         bad = F.array_position(F.transform(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), True)
         of = lambda i, name, code: F.struct(i.cast("int").alias("index"), name.alias("name"), F.lit(code).alias("code"))
         whole = F.lit(self.column)
         return F.when(v.isNull(), of(F.lit(-1), whole, "Missing")).when(F.size(v) != len(self), of(F.lit(-1), whole, "DimensionMismatch")).when(bad > 0, of(bad - 1, F.element_at(F.lit(list(self.names)), bad.cast("int")), "NonFinite"))
 
+    def _sparse_problem(self, places: Column, values: Column) -> Column:
+        of = lambda i, name, code: F.struct(i.cast("int").alias("index"), name.alias("name"), F.lit(code).alias("code"))
+        whole = lambda code: of(F.lit(-1), F.lit(self.column), code)
+        # ascending from before the first place: what isn't becomes the size, which nothing exceeds
+        last = F.aggregate(places, F.lit(-1), lambda a, i: F.when((i > a) & (i < len(self)), i).otherwise(len(self)))
+        bad = F.array_position(F.transform(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), True)
+        at = F.element_at(places, F.when(bad > 0, bad.cast("int")))
+        sized = F.when(places.isNull() | values.isNull(), whole("Missing")).when(F.size(places) != F.size(values), whole("DimensionMismatch"))
+        return sized.when(last >= len(self), whole("InvalidIndex")).when(bad > 0, of(at, F.concat(F.lit(f"{self.column}["), at.cast("string"), F.lit("]")), "NonFinite"))
+
 
 def vectors(df: DataFrame, view: View, keep: tuple[str, ...] = (), name: str = "features") -> DataFrame:
     """The columns `keep` and the view's coordinates as one array of doubles."""
+    view.written_out()
     return df.select(*keep, view.columns(df)[0].alias(name) if view.column else F.array(*view.columns(df)).alias(name))
 
 
 def named_columns(df: DataFrame, view: View) -> DataFrame:
     """A vector column taken apart into a column for each of its coordinates: the inverse of `vectors`."""
+    view.written_out()
     return df.withColumns({n: F.get(F.col(view.column), i).cast("double") for i, n in enumerate(view.names)})
 
 

@@ -147,8 +147,11 @@ def centre(rows: Rows, weighted: bool, view: View | None = None) -> Centre:
 AT_ONCE = 1 << 22
 
 
-def _parts(batches, view: View, first: int):
-    """The batches as (batch, matrix of coordinates), in parts of bounded size."""
+def _parts(batches, view: View, first: int, sparse: bool = False):
+    """The batches as (batch, matrix of coordinates), in parts of bounded size; `sparse`: those of a sparse view as they are."""
+    if sparse and view.sparse:
+        yield from ((batch, view.rows(batch, first)) for batch in batches if len(batch))
+        return
     rows = max(1, AT_ONCE // max(1, len(view)))
     for whole in batches:
         for lo in range(0, len(whole), rows):
@@ -348,12 +351,12 @@ class Problem:
         df = self.rows.df
         return df.select(weight_of(self.rows, self.weighted).alias("_w"), F.col(self.rows.target).cast("double").alias("_y"), *self.view.columns(df))
 
-    def _fold(self, step, merge=added) -> dict:
+    def _fold(self, step, merge=added, sparse: bool = True) -> dict:
         view = self.view
 
         def over(batches):
             held = None
-            for batch, x in _parts(batches, view, 2):
+            for batch, x in _parts(batches, view, 2, sparse):
                 y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 0))
                 state = step(x, y, w)
                 held = state if held is None else merge(held, state)
@@ -378,7 +381,7 @@ class Problem:
             def step(x, y, w):
                 x = x - mean
                 r = x @ c + t * (y - ym)
-                return {"s": np.array([w @ (r * r)]), "g": x.T @ (w * r)}
+                return {"s": np.array([w @ (r * r)]), "g": (w * r) @ x}
 
             got = self._fold(step)
             return float(got["s"][0]), got["g"]
@@ -388,7 +391,7 @@ class Problem:
     def triangle(self, mean: np.ndarray, ym: float) -> np.ndarray:
         """The triangle of the weighted, centred rows and target: each task reduces its rows, rounds of tasks the triangles."""
         qr = lambda m: {"r": np.linalg.qr(m, mode="r")}
-        return self._fold(lambda x, y, w: qr(np.column_stack([x - mean, y - ym]) * np.sqrt(w)[:, None]), lambda a, b: qr(np.vstack([a["r"], b["r"]])))["r"]
+        return self._fold(lambda x, y, w: qr(np.column_stack([x - mean, y - ym]) * np.sqrt(w)[:, None]), lambda a, b: qr(np.vstack([a["r"], b["r"]])), sparse=False)["r"]
 
 
 class Backend:
@@ -482,7 +485,7 @@ def evidence(problem: Problem, coefficients: np.ndarray, intercept: float, penal
     def step(x, y, w):
         x = x - mean
         r = x @ b + (intercept + mean @ b - ym) - (y - ym)
-        return {"s": np.array([w @ (r * r), w @ r]), "g": x.T @ (w * r)}
+        return {"s": np.array([w @ (r * r), w @ r]), "g": (w * r) @ x}
 
     got = problem._fold(step)
     if not (np.isfinite(got["s"]).all() and np.isfinite(got["g"]).all()):
@@ -500,11 +503,18 @@ class Model(Stage):
     kkt: float | None = None
     name: str = "ridge"
     column: str | None = None
+    sparse: bool = False
+
+    def _contributions(self) -> Column:
+        """Each coordinate of the vector column times its coefficient; of a sparse one those that the row holds."""
+        c, b = F.col(self.column), F.lit(list(self.coefficients))
+        if self.sparse:
+            return F.zip_with(c["indices"], c["values"], lambda i, x: x * F.get(b, i))
+        return F.zip_with(c.cast("array<double>"), b, lambda x, b: x * b)
 
     def prediction(self) -> Column:
         if self.column:
-            parts = F.zip_with(F.col(self.column).cast("array<double>"), F.lit(list(self.coefficients)), lambda x, b: x * b)
-            return F.aggregate(parts, F.lit(self.intercept), lambda a, x: a + x)
+            return F.aggregate(self._contributions(), F.lit(self.intercept), lambda a, x: a + x)
         out = F.lit(self.intercept)
         for f, b in zip(self.features, self.coefficients):
             out = out + F.col(f).cast("double") * F.lit(b)
@@ -519,7 +529,7 @@ class Model(Stage):
     def explained(self, df: DataFrame) -> DataFrame:
         """Intercept, each feature's contribution (an array for a vector column), and the prediction that they add up to."""
         if self.column:
-            parts = [F.zip_with(F.col(self.column).cast("array<double>"), F.lit(list(self.coefficients)), lambda x, b: x * b).alias("contributions")]
+            parts = [self._contributions().alias("contributions")]
         else:
             parts = [(F.col(f).cast("double") * F.lit(b)).alias(f"from_{f}") for f, b in zip(self.features, self.coefficients)]
         return df.select("*", F.lit(self.intercept).alias("intercept"), *parts, self.prediction().alias("prediction"))
@@ -555,5 +565,5 @@ def fits(rows: Rows, configs: list[Config], weighted: bool = False, view: View |
         beta, intercept, receipt = backend.solve(problem, config)
         receipt = replace(receipt, passes=problem.passes - before, assumptions=tuple(backend.assumptions))
         objective, kkt = evidence(problem, beta, intercept, config.penalty)
-        out.append(Model(problem.view.names, tuple(map(float, beta)), intercept, receipt, objective, kkt, column=problem.view.column))
+        out.append(Model(problem.view.names, tuple(map(float, beta)), intercept, receipt, objective, kkt, column=problem.view.column, sparse=problem.view.sparse))
     return out

@@ -58,6 +58,8 @@ def moments(rows: Rows) -> Moments:
 
 def vector_spread(df: DataFrame, view: View, extra: list[Column] = ()) -> dict[str, np.ndarray]:
     """n, and sum, low and high of every coordinate of a view, then of the extra columns, in one pass."""
+    if view.sparse:
+        return _sparse_spread(df, view)
     m, k = len(view), len(extra)
 
     def step(batches):
@@ -72,8 +74,31 @@ def vector_spread(df: DataFrame, view: View, extra: list[Column] = ()) -> dict[s
     return tree_fold(df.select(*[c.cast("double").alias(f"_e{i}") for i, c in enumerate(extra)], *view.columns(df)), step, merge).get(None)
 
 
+def _sparse_spread(df: DataFrame, view: View) -> dict[str, np.ndarray]:
+    """The same of a sparse view: only what the rows hold is added up, and a coordinate that some row doesn't hold is zero there."""
+
+    def step(batches):
+        state = {"n": np.zeros(1, dtype=np.int64), "held": np.zeros(len(view), dtype=np.int64), "sum": np.zeros(len(view)), "low": np.full(len(view), np.inf), "high": np.full(len(view), -np.inf)}
+        for batch in batches:
+            x = view.rows(batch, 0)
+            state["n"] += len(x)
+            state["held"] += np.bincount(x.index, minlength=len(view))
+            state["sum"] += np.bincount(x.index, weights=x.value, minlength=len(view))
+            np.minimum.at(state["low"], x.index, x.value)
+            np.maximum.at(state["high"], x.index, x.value)
+        return {None: state} if state["n"][0] else {}
+
+    merge = lambda a, b: {k: a[k] + b[k] for k in ("n", "held", "sum")} | {"low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"])}
+    got = tree_fold(df.select(*view.columns(df)), step, merge).get(None)
+    if got:
+        some = got["held"] < got["n"][0]
+        got["low"][some], got["high"][some] = np.minimum(got["low"][some], 0), np.maximum(got["high"][some], 0)
+    return got
+
+
 def vector_problem(rows: Rows, view: View) -> None:
-    """Refuse the bad vector of the least row id."""
+    """Refuse the bad vector of the least row id, and sparse ones: scaled about means, they'd be sparse no longer."""
+    view.written_out()
     view.check(rows.df)
     bad = rows.df.select(F.col(rows.row_id).alias("row"), view.problem(rows).alias("p")).where("p is not null").agg(F.min(F.struct("row", "p")).alias("m")).first()["m"]
     if bad:

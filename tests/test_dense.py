@@ -178,3 +178,38 @@ def test_exact_products():
     a, b = tiles.products(m[:300], m[:300], e, e), tiles.products(m[300:], m[300:], e, e)
     assert (tiles.total({k: a[k] + b[k] for k in a}, e[:, None] + e[None, :], 2 * tiles.BITS) == got).all()
     assert math.isinf(tiles._scaled(1 << 40, 2000))
+
+
+def test_sparse_view_equals_dense(spark):
+    rng = np.random.default_rng(21)
+    x = np.where(rng.random((300, 7)) < 0.3, rng.normal(size=(300, 7)) + 2.0, 0.0)
+    y, w = x @ np.arange(7.0) + rng.normal(size=300), rng.random(300) + 0.5
+    data = [(i, float(y[i]), float(w[i]), x[i].tolist(), (np.flatnonzero(x[i]).tolist(), x[i][x[i] != 0].tolist())) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, y double, w double, v array<double>, s struct<indices:array<int>,values:array<double>>").repartition(5)
+    rows = unsplit(df, "id", target="y", weight="w", role=Role.TRAIN)
+    dense, sparse = View.vector(df, "v", size=7), View.of_sparse(df, "s", 7)
+    for solver in (*ridge.SOLVERS, *ridge.ROW_SOLVERS):
+        a, b = (ridge.Ridge(ridge.Config(0.3, solver=solver, tolerance=1e-13), True, view).fit(rows) for view in (dense, sparse))
+        assert np.allclose(a.coefficients, b.coefficients, rtol=1e-8) and a.objective == pytest.approx(b.objective) and b.kkt < 1e-6
+    got = b.apply(df).select("id", "prediction").toPandas().sort_values("id")["prediction"].to_numpy()
+    assert np.allclose(got, b.intercept + x @ np.array(b.coefficients))
+    for bad, code in (("null", "Missing"), ("named_struct('indices', array(1), 'values', array(1D, 2D))", "DimensionMismatch"), ("named_struct('indices', array(2, 2), 'values', array(1D, 2D))", "InvalidIndex"), ("named_struct('indices', array(7), 'values', array(1D))", "InvalidIndex"), ("named_struct('indices', array(0, int(null)), 'values', array(1D, 2D))", "InvalidIndex"), ("named_struct('indices', array(3), 'values', array(double('NaN')))", "NonFinite")):
+        broken = df.withColumn("s", F.expr(f"if(id = 9, {bad}, s)"))
+        with pytest.raises(DataError, match=f"{code}.*row 9"):
+            ridge.Ridge(ridge.Config(0.3, solver="row-lsqr"), view=sparse).fit(rows.with_df(broken))
+    with pytest.raises(DataError, match="UnsupportedFeatureType"):
+        scalers.StandardScaler(view=sparse).fit(rows)
+
+
+def test_a_fold_is_one_job(spark):
+    """Its first tasks run side by side: a local iterator over their partitions ran them one after another, a job each."""
+    df, sc = spark.range(40).repartition(8), spark.sparkContext
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    sc.setJobGroup("one-fold", "counted")
+    try:
+        got = tree_fold(df, lambda batches: {None: {"n": np.array([sum(len(b) for b in batches)])}})
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got[None]["n"].tolist() == [40] and len(sc.statusTracker().getJobIdsForGroup("one-fold")) == 1
