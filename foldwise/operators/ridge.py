@@ -159,22 +159,51 @@ def _parts(batches, view: View, first: int, sparse: bool = False):
             yield batch, view.matrix(batch, first)
 
 
-def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None, view: View | None = None) -> dict:
-    """The Gram sums about the weighted means, of all rows under None, or of each value of the column `by`, in one pass.
+@dataclass(frozen=True)
+class Sums:
+    """How products about a point become whole numbers, and whole numbers Gram sums: what states of the same pass share."""
+
+    point: np.ndarray
+    left: np.ndarray
+    e: np.ndarray
+
+    @classmethod
+    def about(cls, at: Centre, weighted: bool) -> Sums:
+        size = np.concatenate([at.off, [at.y_off, 1.0]])
+        if not np.isfinite(size).all():
+            raise DataError("NonFiniteSolution")
+        e = tiles.exponents(size)
+        return cls(np.append(at.x, at.y), e + (tiles.exponents(np.array([at.weight]))[0] if weighted else 0), e)
+
+    def matrix(self, state: dict) -> np.ndarray:
+        out = tiles.total(state, self.left[:, None] + self.e[None, :], 2 * tiles.BITS)
+        if not np.isfinite(out).all():
+            raise DataError("NonFiniteSolution")
+        return out
 
-    Tasks multiply blocks of rows in whole numbers (see `tiles`), so the sums don't depend on the order of the rows. With
-    `by`, all groups are taken about the same point, so that they add up. d x d numbers a group reach the driver.
-    """
-    view, d = view_of(rows, view), len(at.x)
-    point, size = np.append(at.x, at.y), np.concatenate([at.off, [at.y_off, 1.0]])
-    if not np.isfinite(size).all():
-        raise DataError("NonFiniteSolution")
-    e = tiles.exponents(size)
-    left = e + (tiles.exponents(np.array([at.weight]))[0] if weighted else 0)
+    def gram(self, g: np.ndarray, mean: np.ndarray, state: dict) -> Gram:
+        """A matrix of sums, taken about the mean."""
+        d = len(self.point) - 1
+        sw, single, two = g[-1, -1], g[:-1, -1], (g[:-1, :-1] + g[:-1, :-1].T) / 2
+        two = two - np.outer(mean, single) - np.outer(single, mean) + sw * np.outer(mean, mean)
+        one = single - mean * sw
+        return Gram(float(sw), one[:d], float(one[d]), two[:d, :d], two[:d, d], float(two[d, d]), self.point[:d] + mean[:d], float(self.point[d] + mean[d]), int(state["n"][0]), state["least"], state["most"])
+
+
+def merged(a: dict, b: dict) -> dict:
+    """The state of both states' rows."""
+    sums = added({k: a[k] for k in ("high", "low", "n")}, b)
+    return sums | {"least": np.minimum(a["least"], b["least"]), "most": np.maximum(a["most"], b["most"])}
+
+
+def states(rows: Rows, weighted: bool, sums: Sums, by: str | None, view: View | None, most: int | None = None):
+    """What to fold, and the fold's step: batches to states by None or the values of the column `by`; with `most`, an iterator of such dicts of some `most` keys."""
+    view = view_of(rows, view)
+    point, left, e = sums.point, sums.left, sums.e
     keys = int(by is not None)
     frame = rows.df.select(*([F.col(by).alias("_by")] if keys else []), weight_of(rows, weighted).alias("_w"), F.col(rows.target).cast("double").alias("_y"), *view.columns(rows.df))
 
-    def step(batches):
+    def parts(batches):
         held: dict = {}
         for batch, x in _parts(batches, view, 2 + keys):
             y, w = (batch.column(i + keys).to_numpy(zero_copy_only=False) for i in (1, 0))
@@ -191,26 +220,28 @@ def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None, view: V
                 coordinates = x if len(groups) == 1 else x[of == i]
                 state |= {"least": coordinates.min(axis=0), "most": coordinates.max(axis=0)}
                 held[k] = merged(held[k], state) if k in held else state
-        return held
+            if most and len(held) >= most:
+                yield held
+                held = {}
+        yield held
 
-    def merged(a, b):
-        sums = added({k: a[k] for k in ("high", "low", "n")}, b)
-        return sums | {"least": np.minimum(a["least"], b["least"]), "most": np.maximum(a["most"], b["most"])}
+    return frame, parts if most else lambda batches: next(parts(batches))
 
-    found = {k: (tiles.total(s, left[:, None] + e[None, :], 2 * tiles.BITS), s) for k, s in tree_fold(frame, step, merged).items()}
-    if not all(np.isfinite(g).all() for g, _ in found.values()):
-        raise DataError("NonFiniteSolution")
+
+def grams(rows: Rows, weighted: bool, at: Centre, by: str | None = None, view: View | None = None) -> dict:
+    """The Gram sums about the weighted means, of all rows under None, or of each value of the column `by`, in one pass.
+
+    Tasks multiply blocks of rows in whole numbers (see `tiles`), so the sums don't depend on the order of the rows. With
+    `by`, all groups are taken about the same point, so that they add up. d x d numbers a group reach the driver.
+    """
+    d, sums = len(at.x), Sums.about(at, weighted)
+    frame, step = states(rows, weighted, sums, by, view)
+    found = {k: (sums.matrix(s), s) for k, s in tree_fold(frame, step, merged).items()}
     # groups in a fixed order, so that their sum has the same bits whichever task came first
     found = dict(sorted(found.items(), key=lambda x: (x[0] is None, str(type(x[0])), x[0] if x[0] is not None else 0)))
     total = sum(g[-1, -1] for g, _ in found.values())
     mean = sum(g[:-1, -1] for g, _ in found.values()) / total if total else np.zeros(d + 1)
-    out = {}
-    for k, (g, s) in found.items():
-        sw, single, two = g[-1, -1], g[:-1, -1], (g[:-1, :-1] + g[:-1, :-1].T) / 2
-        two = two - np.outer(mean, single) - np.outer(single, mean) + sw * np.outer(mean, mean)
-        one = single - mean * sw
-        out[k] = Gram(float(sw), one[:d], float(one[d]), two[:d, :d], two[:d, d], float(two[d, d]), point[:d] + mean[:d], float(point[d] + mean[d]), int(s["n"][0]), s["least"], s["most"])
-    return out
+    return {k: sums.gram(g, mean, s) for k, (g, s) in found.items()}
 
 
 def solve(gram: Gram, config: Config) -> tuple[np.ndarray, float, Receipt]:

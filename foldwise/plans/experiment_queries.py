@@ -17,7 +17,7 @@ from foldwise.operators.state import shared_folder
 from foldwise.plans import search
 from foldwise.plans.experiment import Experiment, phase_seed
 from foldwise.plans.model_queries import ridge_sql
-from foldwise.plans.sufficient import rolling_scores
+from foldwise.plans.sufficient import rolling_frame
 from foldwise.plans.tables import LINES, ORDER_FEATURES, WORD, finalize_sql, identity, lines, order_features, priced, rank_sql, read
 from foldwise.sources import artifacts
 from foldwise.sources.rows import Role, unsplit
@@ -77,8 +77,8 @@ def _events(s, d):
 
 def rolling_rmse(s, d):
     """RMSE of a standardised ridge regression at every origin, each fitted on all events before; one pass for all."""
-    found = rolling_scores(rolling_plan(_events(s, d), 500, 200, 100), blueprint())
-    return s.createDataFrame([(o.fold, o.start, o.end, round(o.score, 6)) for o in found], "fold int, start long, end long, rmse double")
+    found = rolling_frame(rolling_plan(_events(s, d), 500, 200, 100), blueprint())
+    return found.select("fold", "start", "end", F.round("score", 6).alias("rmse"))
 
 
 def rolling_rows(s, d):

@@ -2,7 +2,7 @@
 
 A chain of maps, scalers and a ridge regression sees its rows through their Gram sums alone: maps are columns, a scaler's
 moments are the sums' diagonal, the scaled rows' sums follow from the rows' own, and so do a model's squares on any group.
-Sums of groups add up; nothing is subtracted.
+Sums of groups add up; only whole numbers are subtracted, which is exact.
 """
 
 from __future__ import annotations
@@ -11,14 +11,19 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions import tiles
 from foldwise.operators import ridge
 from foldwise.operators.coordinates import View
 from foldwise.operators.resampling import RollingPlan
 from foldwise.operators.ridge import Gram
 from foldwise.operators.scalers import Moments, ScaleOnlyScaler, StandardScaler, inverse_deviations
 from foldwise.operators.stages import Blueprint, Mapped, Named
+from foldwise.operators.state import written
+from foldwise.operators.tree import tree_fold
 from foldwise.sources.rows import DataError, Rows
 
 
@@ -128,32 +133,134 @@ class Origin:
     score: float
 
 
-def rolling_scores(plan: RollingPlan, blueprint: Blueprint) -> list[Origin]:
-    """(Weighted) RMSE at every origin: each model is fitted on all rows before it and scored on the rows of its window.
+#: Parts into which blocks are dealt for running sums (the driver gets a state for each), and blocks that a task gives out at once.
+PARTS, AT_ONCE = 256, 1024
+_STATE = "block long, part long, sums binary, range binary"
+
+
+def _flat(block: int, part: int, s: dict) -> dict:
+    sums, span = np.concatenate([s["high"].ravel(), s["low"].ravel(), s["n"]]), np.concatenate([s["least"], s["most"]])
+    return {"block": block, "part": part, "sums": sums.tobytes(), "range": span.tobytes()}
+
+
+def _state(sums: bytes, span: bytes) -> dict:
+    """A state from its bytes; sums are whole numbers, so that those of a range are exactly the difference of two running sums."""
+    x, r = np.frombuffer(sums, dtype=np.int64), np.frombuffer(span, dtype=float)
+    shape = (tiles.LIMBS, len(r) // 2 + 2, len(r) // 2 + 2)
+    half = len(x) // 2
+    return {"high": x[:half].reshape(shape), "low": x[half:-1].reshape(shape), "n": x[-1:], "least": r[: len(r) // 2], "most": r[len(r) // 2 :]}
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("part", pa.int64()), ("sums", pa.binary()), ("range", pa.binary())]))
+
+
+def _running(rows: Rows, chain: Chain, weighted: bool, at: ridge.Centre, sums: ridge.Sums, last: int) -> tuple[DataFrame, np.ndarray]:
+    """(block, sums, range): each block's state and all before it; and the mean of all rows, about the point. Tasks add up parts of neighbouring blocks, beginning with what lies before a part."""
+    width = -(-(last + 1) // PARTS)
+    frame, step = ridge.states(rows, weighted, sums, "_block", chain.learner.view, AT_ONCE)
+
+    def own(batches):
+        for held in step(batches):
+            if held:
+                yield _batch([_flat(b, b // width, s) for b, s in held.items()])
+
+    blocks = written(frame.mapInArrow(own, _STATE))
+
+    def by_part(batches):
+        out: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = _state(r["sums"], r["range"])
+                out[r["part"]] = ridge.merged(out[r["part"]], s) if r["part"] in out else s
+        return out
+
+    before, total = {}, None
+    for part, s in sorted(tree_fold(blocks, by_part, ridge.merged).items()):
+        before[part] = total
+        total = s if total is None else ridge.merged(total, s)
+    g, begin = sums.matrix(total), rows.df.sparkSession.sparkContext.broadcast(before)
+
+    def add(batches):
+        block = part = state = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if block is not None and r["block"] != block:
+                    out.append(_flat(block, part, state))
+                if r["part"] != part:
+                    part, state = r["part"], begin.value[r["part"]]
+                block, s = r["block"], _state(r["sums"], r["range"])
+                state = s if state is None else ridge.merged(state, s)
+            if out:
+                yield _batch(out)
+        if block is not None:
+            yield _batch([_flat(block, part, state)])
+
+    running = blocks.repartition("part").sortWithinPartitions("part", "block").mapInArrow(add, _STATE).drop("part")
+    return running, g[:-1, -1] / g[-1, -1] if g[-1, -1] else np.zeros(len(g) - 1)
+
+
+def rolling_frame(plan: RollingPlan, blueprint: Blueprint) -> DataFrame:
+    """(fold, start, end, score, steps, coefficients, intercept) of every origin: each model is fitted on all rows before it, its (weighted) RMSE is of the rows of its window.
 
     One pass: positions are cut at all windows' beginnings and ends, each block between two cuts has its Gram sums, running
-    sums of blocks are the analysis rows, and a window is a range of blocks. The driver gets d x d numbers a block, of which there are
-    two an origin at most. The maps of the blueprint must work on single rows; a blueprint that isn't a chain of maps, scalers and ridge is refused.
+    sums of blocks are the analysis rows, and a window is the difference of two. Sums, fits and scores stay in tasks, whatever
+    the number of origins. The maps of the blueprint must work on single rows; a blueprint that isn't a chain of maps,
+    scalers and ridge is refused. The first origin's error is raised.
     """
     chain = Chain.of(blueprint)
     if chain is None:
         raise DataError("NotSufficient", " > ".join(blueprint.plan))
-    rows = plan.rows.with_df(plan.rows.df.withColumn("_block", plan.block(F.col("pos"))))
-    weighted, counts = sums_by(rows, chain, "_block")
-    out, running, done = [], None, -1
-    blocks = sorted(weighted)
-    for fold, start, end in plan.ranges():
-        first, last = plan.block_of(start), plan.block_of(end - 1)
-        for b in blocks:
-            if done < b < first:
-                running = (weighted[b], counts[b]) if running is None else (running[0] + weighted[b], running[1] + counts[b])
-        done = first - 1
-        fit = chain.fit(*running)
-        inside = [weighted[b] for b in blocks if first <= b <= last]
-        total = sum(g.sw for g in inside)
-        if total <= 0:
-            raise DataError("ZeroTotalWeight", f"origin {fold}")
-        out.append(Origin(fold, start, end, fit, math.sqrt(sum(map(fit.squares, inside)) / total)))
+    rows = chain.mapped(plan.rows.with_df(plan.rows.df.withColumn("_block", plan.block(F.col("pos")))))
+    at, last = ridge.centre(rows, chain.learner.weighted, chain.learner.view), plan.block_of(plan.n - 1)
+    kinds = [chain.learner.weighted, *([False] if chain.learner.weighted and chain.scalers else [])]
+    scales = [ridge.Sums.about(at, w) for w in kinds]
+    start = F.col("fold") * plan.step + plan.initial
+    found = rows.df.sparkSession.range(plan.folds).select(F.col("id").alias("fold")).withColumn("start", start).withColumn("end", F.least(start + plan.assess, F.lit(plan.n)))
+    found, means = found.withColumn("_from", plan.block(F.col("start") - 1)).withColumn("_to", plan.block(F.col("end") - 1)), []
+    for i, (weighted, scale) in enumerate(zip(kinds, scales)):
+        running, mean = _running(rows, chain, weighted, at, scale, last)
+        running = written(running)
+        means.append(mean)
+        for side in ("from", "to") if i == 0 else ("from",):
+            found = found.join(running.select(F.col("block").alias(f"_{side}"), F.col("sums").alias(f"{side}{i}"), F.col("range").alias(f"{side}_range{i}")), f"_{side}")
+    plain, schema = Chain((), chain.scalers, chain.learner), pa.schema([("fold", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("steps", pa.list_(pa.struct([("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))]))), ("coefficients", pa.list_(pa.float64())), ("intercept", pa.float64()), ("error", pa.list_(pa.string()))])
+
+    def fitted(r: dict) -> dict:
+        out = dict.fromkeys(schema.names) | {k: r[k] for k in ("fold", "start", "end")}
+        try:
+            known = [_state(r[f"from{i}"], r[f"from_range{i}"]) for i in range(len(scales))]
+            sums = [scale.gram(scale.matrix(s), mean, s) for scale, s, mean in zip(scales, known, means)]
+            fit = plain.fit(sums[0], sums[-1])
+            until = _state(r["to0"], r["to_range0"])
+            inside = until | {k: until[k] - known[0][k] for k in ("high", "low", "n")}
+            window = scales[0].gram(scales[0].matrix(inside), means[0], inside)
+            if window.sw <= 0:
+                raise DataError("ZeroTotalWeight", f"origin {r['fold']}")
+            steps = [{"mean": None if mean is None else list(mean), "inverse": list(inverse)} for mean, inverse in fit.steps]
+            return out | {"score": math.sqrt(fit.squares(window) / window.sw), "steps": steps, "coefficients": list(fit.coefficients), "intercept": fit.intercept}
+        except DataError as e:
+            return out | {"error": [e.code, str(e)[len(e.code) + 2 :]]}
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_pylist([fitted(r) for r in batch.to_pylist()], schema=schema)
+
+    out = written(found.mapInArrow(run, "fold int, start long, end long, score double, steps array<struct<mean:array<double>,inverse:array<double>>>, coefficients array<double>, intercept double, error array<string>"))
+    bad = out.where("error is not null").agg(F.min(F.struct("fold", "error")).alias("m")).first()["m"]
+    if bad:
+        raise DataError(*bad["error"])
+    return out.drop("error")
+
+
+def rolling_scores(plan: RollingPlan, blueprint: Blueprint) -> list[Origin]:
+    """The origins of `rolling_frame` on the driver, by fold: a model of d numbers each."""
+    out = []
+    for r in rolling_frame(plan, blueprint).orderBy("fold").collect():
+        steps = tuple((None if s["mean"] is None else np.array(s["mean"]), np.array(s["inverse"])) for s in r["steps"])
+        out.append(Origin(r["fold"], r["start"], r["end"], Fit(steps, np.array(r["coefficients"]), r["intercept"]), r["score"]))
     return out
 
 

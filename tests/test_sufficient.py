@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import encoders, metrics, ridge, scalers
 from foldwise.operators.coordinates import View
-from foldwise.operators.resampling import k_fold, rolling_plan
+from foldwise.operators.resampling import RollingPlan, k_fold, rolling_plan
 from foldwise.operators.stages import Blueprint, Mapped, Named, Transform
-from foldwise.plans import search
+from foldwise.plans import search, sufficient
 from foldwise.plans.sufficient import Chain, rest, rolling_scores
 from foldwise.sources.rows import DataError, Role, unsplit
 
@@ -140,3 +140,27 @@ def test_rolling_errors(spark, rows):
 def test_rest():
     found = rest({"a": 1, "b": 20, "c": 300})
     assert found == {"a": 320, "b": 301, "c": 21} and math.isfinite(found["a"])
+
+
+@pytest.mark.parametrize("name", ["standard", "weighted"])
+@pytest.mark.parametrize("initial, assess, step", [(20, 20, 10), (30, 25, 7)])
+def test_rolling_frame_adds_up_parts_of_blocks_in_tasks(spark, rows, monkeypatch, name, initial, assess, step):
+    """Sums and fits of the origins aren't brought to the driver; parts, blocks cut by tasks and gaps in the blocks' numbers give what separate fits give."""
+    monkeypatch.setattr(sufficient, "PARTS", 3)
+    monkeypatch.setattr(sufficient, "AT_ONCE", 2)
+    plan = rolling_plan(rows, initial, assess, step)
+    monkeypatch.setattr(RollingPlan, "ranges", None)  # a list of all origins
+    found = {r["fold"]: r for r in sufficient.rolling_frame(plan, BLUEPRINTS[name](2.0)).collect()}
+    data = sorted(((r["pos"], r["x"], r["z"], r["y"], r["w"]) for r in plan.rows.df.collect()))
+    x, y, w = np.array([r[1:3] for r in data]), np.array([r[3] for r in data]), np.array([r[4] for r in data])
+    w = w if name == "weighted" else np.ones(240)
+    assert sorted(found) == list(range(plan.folds))
+    for i, r in found.items():
+        start, end = initial + i * step, min(initial + i * step + assess, 240)
+        assert (r["start"], r["end"]) == (start, end)
+        z = (x - x[:start].mean(axis=0)) / x[:start].std(axis=0)
+        mean, ym = np.average(z[:start], axis=0, weights=w[:start]), np.average(y[:start], weights=w[:start])
+        c, v = z[:start] - mean, w[:start]
+        beta = np.linalg.solve((c * v[:, None]).T @ c + 2 * np.eye(2), (c * v[:, None]).T @ (y[:start] - ym))
+        off = y[start:end] - ym - (z[start:end] - mean) @ beta
+        assert r["score"] == pytest.approx(math.sqrt(np.average(off**2, weights=w[start:end])), rel=1e-8)
