@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm import bpe, embeddings, graph, mixing, quality_classifier, quality_rules, secrets, sharding, simhash, substrings, toxicity
 from foldwise.llm.common import chunks, min_labels
+from foldwise.operators.state import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -648,3 +649,15 @@ def test_budget_of_many_lengths_is_lean():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert budget - int((sizes * (base * counts + extra)).sum()) == 1 and peak < 200 << 20
+
+
+def test_passages_are_compared_band_by_band(spark, monkeypatch):
+    """The shingles of one band's groups are shuffled at a time: a table of links for each band, written before the next begins."""
+    kept, bands = [], substrings.tune_bands()
+    monkeypatch.setattr(substrings, "written", lambda df: kept.append(written(df)) or kept[-1])
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: 38 + i % 3], f"x{i}"])) for i in range(6)]
+    got = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(6)) and {r["component_id"] for r in got} == {0}
+    links = [df for df in kept if df.columns == ["a", "b"]]
+    assert len(links) == bands and sum(df.count() > 0 for df in links) > 1
